@@ -96,7 +96,10 @@ def page_facts(fetch_log: DataFrame, rules: list[Rule] | None = None) -> DataFra
     """Report columns plus the facts the site passes need (see ``schema``)."""
     df = with_jsonld(extract(fetch_log))
     issues = _default_issues() if rules is None else evaluate(rules)
-    return df.withColumn("page_issues", issues).select(*_fact_columns())
+    df = df.withColumn("page_issues", issues)
+    # The generator is a barrier: a filter on a derived column would otherwise be pushed below
+    # these projections, with every expression it depends on copied into it.
+    return df.select(F.inline(F.array(F.struct(*_fact_columns()))))
 
 
 @built_once
