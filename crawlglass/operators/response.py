@@ -27,7 +27,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def add_response_columns(fetch_log: DataFrame) -> DataFrame:
+def add_response_columns(fetch_log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Status, header and verdict columns; ``audit_stage`` tells how far a page got."""
     failed = F.col("error").isNotNull()
     ok = lambda value, default: F.when(failed, F.lit(default)).otherwise(value)
@@ -55,6 +55,7 @@ def add_response_columns(fetch_log: DataFrame) -> DataFrame:
         F.col("error").alias("_error"),
         F.coalesce(site, urls.site_of(F.coalesce("final_url", "url"))).alias("site"),
         F.col("html").alias("_html"),
+        *(keep or []),
     )
     stage = (
         F.when(F.col("_error").isNotNull(), "failed")

@@ -54,9 +54,9 @@ def _verdict_columns() -> list[tuple[str, Column]]:
     ]
 
 
-def extract(fetch_log: DataFrame) -> DataFrame:
+def extract(fetch_log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All page columns before rules; keeps the underscore columns rules refer to."""
-    df = add_response_columns(fetch_log)
+    df = add_response_columns(fetch_log, keep)
     df = add_tokens(df)
     df = add_body_columns(add_head_columns(df))
     for name, column in _verdict_columns():
@@ -92,14 +92,19 @@ def _fact_columns() -> list[Column]:
     return report + [_typed(n, t) for n, t in FACT_TYPES.items()]
 
 
-def page_facts(fetch_log: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Report columns plus the facts the site passes need (see ``schema``)."""
-    df = with_jsonld(extract(fetch_log))
+def page_facts(
+    fetch_log: DataFrame, rules: list[Rule] | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """Report columns plus the facts the site passes need (see ``schema``).
+
+    ``keep`` names further fetch-log columns to carry along.
+    """
+    df = with_jsonld(extract(fetch_log, keep))
     issues = _default_issues() if rules is None else evaluate(rules)
     df = df.withColumn("page_issues", issues)
     # The generator is a barrier: a filter on a derived column would otherwise be pushed below
     # these projections, with every expression it depends on copied into it.
-    return df.select(F.inline(F.array(F.struct(*_fact_columns()))))
+    return df.select(F.inline(F.array(F.struct(*_fact_columns()))), *(keep or []))
 
 
 @built_once
