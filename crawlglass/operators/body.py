@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlglass.columns import built_once
 from crawlglass.functions import html as H, text as T, urls
 from crawlglass.operators.head import resolve
+from crawlglass.operators.response import add_response_columns
+from crawlglass.operators.tokens import add_tokens
 
 SKIPPED_LINKS = ("mailto:", "tel:", "javascript:", "#")
 
@@ -134,3 +136,16 @@ def _derived_columns() -> dict[str, Column]:
 
 def add_body_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(_first_columns()).withColumns(_derived_columns())
+
+
+def heading_steps(fetch_log: DataFrame) -> DataFrame:
+    """``(crawl_seq, pos, previous, level)`` of adjacent headings (one page per window)."""
+    tokens = add_tokens(add_response_columns(fetch_log))
+    page = Window.partitionBy("crawl_seq").orderBy("pos")
+    # outer: an inner generator would push a copy of the extraction into a filter below it
+    return (
+        tokens.select("crawl_seq", F.posexplode_outer("_levels").alias("pos", "level"))
+        .filter(F.col("level").isNotNull())
+        .withColumn("previous", F.lag("level").over(page))
+        .select("crawl_seq", "pos", "previous", "level")
+    )

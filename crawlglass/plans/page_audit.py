@@ -107,6 +107,15 @@ def page_facts(
     return df.select(F.inline(F.array(F.struct(*_fact_columns()))), *(keep or []))
 
 
+def page_columns(fetch_log: DataFrame, names: list[str]) -> DataFrame:
+    """Only the named report or fact columns; what they do not need is never computed."""
+    types = {**REPORT_TYPES, **FACT_TYPES}
+    df = extract(fetch_log)
+    if {"schema_types", "schema_gaps", "jsonld_invalid"} & set(names):
+        df = with_jsonld(df)
+    return df.select(F.inline(F.array(F.struct(*[_typed(n, types[n]) for n in names]))))
+
+
 @built_once
 def _report_columns() -> list[Column]:
     return [_typed(n, t) for n, t in REPORT_TYPES.items()]
@@ -132,4 +141,4 @@ def page_audit(fetch_log: DataFrame, rules: list[Rule] | None = None) -> DataFra
     )
 
 
-__all__ = ["REPORT_FIELDS", "as_report", "extract", "page_audit", "page_facts", "with_jsonld"]
+__all__ = ["REPORT_FIELDS", "as_report", "extract", "page_audit", "page_columns", "page_facts", "with_jsonld"]

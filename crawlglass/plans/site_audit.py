@@ -90,11 +90,15 @@ def apply_findings(facts: DataFrame, findings: DataFrame) -> DataFrame:
             )
         )
     )
-    return (
-        joined.withColumn("all_issues", F.concat("page_issues", site))
-        .withColumn("issues", F.transform("all_issues", lambda i: i.message))
-        .drop("_site_issues")
-    )
+    empty = F.array().cast(_LINKS)
+    return joined.withColumns(
+        {
+            "all_issues": F.concat("page_issues", site),
+            "broken_links": F.coalesce("broken_links", empty),
+            "redirecting_links": F.coalesce("redirecting_links", empty),
+            "canonical_target_status": F.coalesce("canonical_target_status", F.lit(0)),
+        }
+    ).withColumn("issues", F.transform("all_issues", lambda i: i.message)).drop("_site_issues")
 
 
 def audited_pages(

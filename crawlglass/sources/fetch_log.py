@@ -71,7 +71,7 @@ def pacing_audit(
     A busy host's rows are cut into time buckets, so no task sorts all of them;
     the first row of a bucket takes its predecessor from a per-bucket maximum.
     """
-    rows = log.withColumn(
+    rows = log.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withColumn(
         "_bucket", F.floor(F.unix_micros("fetched_at") / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
     )
     ends = rows.groupBy("host", "_bucket").agg(F.max("fetched_at").alias("_end"))
