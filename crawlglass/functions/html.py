@@ -14,6 +14,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, functions as F
 
 from crawlglass.functions.text import strip
+from crawlglass.functions.urls import let
 
 _ATTRS = r"""(?:[^'"<>]++|"[^"]*+"|'[^']*+')*+>"""
 _COMMENT = r"<!--(?:.*?-->|.*)"
@@ -32,6 +33,7 @@ PAGE_REGEX = f"(?is){_RAW}|{_raw_element('noscript')}|{_REST}"
 NOSCRIPT_REGEX = f"(?is){_RAW}|{_REST}"
 MARKUP_REGEX = f"(?is){_TAG}"
 ATTRIBUTE_REGEX = r"""(?s)([^\s"'<>/=]+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?"""
+_SPACES = " \t\n\r\x0b\x0c"
 # Stands for a removed token, so that the texts around it stay apart.
 GAP = "<!>"
 
@@ -46,7 +48,7 @@ def extract_all(text: Column, regex: str, group: int = 0) -> Column:
 
 def _is(token: Column, names: str) -> Column:
     """Whether a token is a start tag of one of the ``|``-separated names."""
-    return token.rlike(rf"(?i)^<(?:{names})(?:[\s/>])")
+    return token.startswith("<") & token.rlike(rf"(?i)^<(?:{names})(?:[\s/>])")
 
 
 def _code_point(hex_digits: Column) -> Column:
@@ -87,7 +89,7 @@ def tokens(html: Column) -> Column:
 
 
 def is_noscript(token: Column) -> Column:
-    return token.rlike(r"(?i)^<noscript\b")
+    return token.startswith("<") & token.rlike(r"(?i)^<noscript\b")
 
 
 def all_tokens(toks: Column) -> Column:
@@ -100,17 +102,17 @@ def all_tokens(toks: Column) -> Column:
 
 def visible_tokens(toks: Column) -> Column:
     """Tokens without comments, scripts, styles and noscript blocks."""
-    return F.filter(toks, lambda t: ~t.rlike(r"(?i)^<(?:[!?]|(?:script|style|noscript)\b)"))
+    return F.filter(toks, lambda t: ~(t.startswith("<") & t.rlike(r"(?i)^<(?:[!?]|(?:script|style|noscript)\b)")))
 
 
 def markup(toks: Column) -> Column:
     """Tokens joined back, with hidden ones replaced by a gap."""
-    hidden = lambda t: t.rlike(r"(?i)^<(?:[!?]|(?:script|style)\b)")
+    hidden = lambda t: t.startswith("<") & t.rlike(r"(?i)^<(?:[!?]|(?:script|style)\b)")
     return F.array_join(F.transform(toks, lambda t: F.when(hidden(t), F.lit(GAP)).otherwise(t)), "")
 
 
 def is_text(token: Column) -> Column:
-    return ~token.rlike(r"(?i)^<[a-z/!?]")
+    return ~(token.startswith("<") & token.rlike(r"(?i)^<[a-z/!?]"))
 
 
 def texts(pieces: Column) -> Column:
@@ -121,7 +123,8 @@ def texts(pieces: Column) -> Column:
 
 def inner_text(markup_piece: Column) -> Column:
     """Text nodes of a piece of markup, trimmed and joined without separator."""
-    return F.array_join(texts(F.split(markup_piece, MARKUP_REGEX, -1)), "")
+    pieces = F.array_join(texts(F.split(markup_piece, MARKUP_REGEX, -1)), "")
+    return F.when(markup_piece.contains("<"), pieces).otherwise(strip(decode_entities(markup_piece)))
 
 
 def elements(text: Column, tag: str) -> Column:
@@ -138,7 +141,7 @@ def start_tag(element: Column) -> Column:
 
 
 def content(element: Column) -> Column:
-    return F.regexp_replace(element, rf"(?is)^<[a-z][a-z0-9:-]*+{_ATTRS}", "")
+    return F.substring(element, F.length(start_tag(element)) + 1, F.length(element))
 
 
 def start_tags(toks: Column, names: str) -> Column:
@@ -151,18 +154,27 @@ def has_start_tag(toks: Column, names: str) -> Column:
 
 
 def parse_tag(tag: Column) -> Column:
-    """``struct<tag, names, vals>`` of a start tag, values decoded."""
-    body = F.regexp_replace(tag, r"^<[A-Za-z][^\s/>]*+", "")
-    unquoted = lambda v: F.when(
-        v.rlike("""^["']"""), F.substring(v, F.lit(2), F.length(v) - 2)
-    ).otherwise(v)
-    return F.struct(
-        F.lower(F.regexp_extract(tag, r"^<([A-Za-z][^\s/>]*+)", 1)).alias("tag"),
-        F.transform(extract_all(body, ATTRIBUTE_REGEX, 1), F.lower).alias("names"),
-        F.transform(
-            extract_all(body, ATTRIBUTE_REGEX, 2), lambda v: decode_entities(unquoted(v))
-        ).alias("vals"),
-    )
+    """``struct<tag, names, vals>`` of a start tag, values decoded.
+
+    The tag name is the first match of the attribute pattern, so it also heads
+    the two arrays; no attribute that is looked up is called like its tag.
+    """
+
+    def value(pair: Column) -> Column:
+        raw = F.ltrim(F.substring(pair, F.instr(pair, "=") + 1, F.length(pair)), F.lit(_SPACES))
+        quoted = raw.startswith('"') | raw.startswith("'")
+        plain = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(pair.contains("="), decode_entities(plain)).otherwise("")
+
+    def parsed(pairs: Column) -> Column:
+        name = lambda pair: F.lower(F.rtrim(F.substring_index(pair, "=", 1), F.lit(_SPACES)))
+        return F.struct(
+            name(F.get(pairs, F.lit(0))).alias("tag"),
+            F.transform(pairs, name).alias("names"),
+            F.transform(pairs, value).alias("vals"),
+        )
+
+    return let(extract_all(tag, ATTRIBUTE_REGEX), parsed)
 
 
 def attribute(tag: Column, name: str) -> Column:

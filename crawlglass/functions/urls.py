@@ -76,7 +76,8 @@ def root_host(host: Column) -> Column:
 
 
 def site_of(url: Column) -> Column:
-    return root_host(netloc(url))
+    """Root host of a URL, in one match."""
+    return F.regexp_extract(url, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:www\.)?([^/?#]*)", 1)
 
 
 def same_site(url: Column, site: Column) -> Column:
@@ -147,7 +148,13 @@ def _unsplit(sch: Column, host: Column, pth: Column, qry: Column, frag: Column)
 
 
 def _clean(url: Column) -> Column:
-    return F.translate(F.ltrim(url, F.lit(_C0_AND_SPACE)), "\t\r\n", "")
+    cleaned = F.translate(F.ltrim(url, F.lit(_C0_AND_SPACE)), "\t\r\n", "")
+    return F.when(url.rlike(r"^[\x00-\x20]|[\t\r\n]"), cleaned).otherwise(url)
+
+
+# References that need no re-assembly: absolute web URLs, and paths from the root without dot segments.
+_PLAIN_ABSOLUTE = r"^https?://[^/?#\s]++(?:/[^?#\s]*+)?(?:\?[^#\s]++)?(?:#\S++)?\z"
+_PLAIN_ROOTED = r"^/(?!/)(?:[^?#\s./]++|/(?!\.)|(?<!/)\.)*+(?:\?[^#\s]++)?(?:#\S++)?\z"
 
 
 def join_parts(base: Column, base_parts: Column, ref: Column) -> Column:
@@ -186,9 +193,15 @@ def join_parts(base: Column, base_parts: Column, ref: Column) -> Column:
             )
         )
 
+    plain_base = base_parts.scheme.isin("http", "https") & (base_parts.netloc != "")
     return (
         F.when(base == "", ref)
         .when(ref == "", base)
+        .when(ref.startswith("http") & ref.rlike(_PLAIN_ABSOLUTE), ref)
+        .when(
+            ref.startswith("/") & plain_base & ref.rlike(_PLAIN_ROOTED),
+            F.concat(base_parts.scheme, F.lit("://"), base_parts.netloc, ref),
+        )
         .otherwise(let(_clean(ref), lambda c: let(split(c), resolved)))
     )
 

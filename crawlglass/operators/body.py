@@ -41,9 +41,13 @@ def _blank(value: Column) -> Column:
 
 def links() -> Column:
     """One struct per followed anchor, in document order, with the target resolved."""
+    opened = F.transform("_anchors", lambda e: F.struct(e.alias("e"), H.start_tag(e).alias("start")))
     anchors = F.transform(
-        "_anchors",
-        lambda e: F.struct(H.parse_tag(H.start_tag(e)).alias("a"), H.content(e).alias("inner")),
+        opened,
+        lambda x: F.struct(
+            H.parse_tag(x.start).alias("a"),
+            F.substring(x.e, F.length(x.start) + 1, F.length(x.e)).alias("inner"),
+        ),
     )
     with_href = F.filter(anchors, lambda x: H.has_attribute(x.a, "href"))
     described = F.transform(
@@ -84,7 +88,7 @@ def _first_columns() -> dict[str, Column]:
     item_types = F.flatten(
         F.transform(
         "_annotated",
-        lambda t: F.split(T.strip(F.coalesce(H.attribute(t, "itemtype"), F.lit(""))), f"[{T.WHITESPACE}]+"),
+        lambda t: F.split(T.strip(F.coalesce(H.attribute(t, "itemtype"), F.lit(""))), T.WHITESPACE_RUN),
         )
     )
     last_segment = lambda t: F.substring_index(F.rtrim(t, F.lit("/")), "/", -1)

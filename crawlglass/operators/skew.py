@@ -80,18 +80,18 @@ def with_position(df: DataFrame, order: list[str], name: str, label: str) -> Dat
     # upper bits: sort partition, lower 33 bits: row within it
     partition = F.shiftright("_row", 33)
     sizes = (
-        stored.groupBy(partition.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+        stored.groupBy(partition.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()
     )
     starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
+    for part, n in sizes:
+        starts.append((part, total))
         total += n
-    lookup = df.sparkSession.createDataFrame(starts, "p bigint, start bigint")
+    lookup = df.sparkSession.createDataFrame(starts, "_part bigint, _first bigint")
     local = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        stored.join(F.broadcast(lookup), partition == F.col("p"))
-        .withColumn(name, F.col("start") + local)
-        .drop("_row", "p", "start")
+        stored.join(F.broadcast(lookup), partition == F.col("_part"))
+        .withColumn(name, F.col("_first") + local)
+        .drop("_row", "_part", "_first")
     )
 
 

@@ -34,18 +34,18 @@ def _array_columns() -> dict[str, Column]:
     def is_jsonld(token: Column) -> Column:
         tag = H.parse_tag(F.regexp_extract(token, r"^<[^>]*+>", 0))
         declared = F.coalesce(H.attribute(tag, "type") == "application/ld+json", F.lit(False))
-        return token.rlike(r"(?i)^<script\b") & declared
+        return token.startswith("<") & token.rlike(r"(?i)^<script\b") & declared
 
     return {
         "_head": _usable(H.start_tags(F.col("_all"), HEAD_TAGS)),
         "_resources": H.start_tags(F.col("_visible"), RESOURCE_TAGS),
         "_levels": _usable(
             F.transform(
-                F.filter("_all", lambda t: t.rlike(r"(?i)^<h[1-6][\s/>]")),
+                F.filter("_all", lambda t: t.startswith("<") & t.rlike(r"(?i)^<h[1-6][\s/>]")),
                 lambda t: F.substring(t, 3, 1).cast("int"),
             )
         ),
-        "_annotated": _usable(F.transform(F.filter("_all", lambda t: t.rlike(annotated)), H.parse_tag)),
+        "_annotated": _usable(F.transform(F.filter("_all", lambda t: t.startswith("<") & t.rlike(annotated)), H.parse_tag)),
         "_jsonld": _usable(
             F.transform(
                 F.filter("_all", is_jsonld),
