@@ -8,6 +8,8 @@ and analyse them independently.
 
 from __future__ import annotations
 
+from crawlglass.sources.fetch_log import spread
+
 
 def _cases(*pairs: tuple[str, str], default: str = "''") -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {default} END"
@@ -216,7 +218,7 @@ ROBOTS_AGENT = "Mozilla/5.0 (compatible; auditbot/1.0)"
 
 
 def spark_pages(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def enriched_log(spark, sf_dir: str):

@@ -11,7 +11,6 @@ from crawlglass.functions import text as T, urls
 from crawlglass.operators import duplicates, hreflang, link_status, rules, tally
 from crawlglass.operators.body import heading_steps
 from crawlglass.operators.response import from_pages
-from crawlglass.operators.skew import first_per_key, take_first
 from crawlglass.plans import crawl
 from crawlglass.plans.page_audit import page_columns, page_facts
 from crawlglass.plans.site_audit import apply_findings, audited_pages, site_findings
@@ -144,7 +143,7 @@ register("prj_anchor_quality", enriched(_COUNTS[-2:]), _count_sql(_COUNTS[-2:]))
 
 
 def _pixel_width(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = fetch_log.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select(
         "doc_id", T.pixel_width(F.col("text"), 20).alias("title_px"), T.pixel_width(F.col("text"), 14).alias("description_px")
     )
@@ -516,7 +515,7 @@ def _maps(spark, sf_dir):
 def _walk(cap):
     def run(spark, sf_dir):
         seeds, docs = _maps(spark, sf_dir)
-        return sitemaps.sitemap_walk(seeds, docs, max_sitemaps=cap).select("site", "sitemap_url")
+        return sitemaps.sitemap_walk(seeds, sitemaps.document_locations(docs), max_sitemaps=cap).select("site", "sitemap_url")
 
     return run
 

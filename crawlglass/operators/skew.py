@@ -9,8 +9,8 @@ from crawlglass.storage import materialize
 # A key with more left rows than this is split over SALTS join partitions.
 HOT_ROWS = 200_000
 SALTS = 64
-# Up to this many rows a sorted limit is cheap; above it ranks are computed in parallel.
-SMALL_LIMIT = 10_000
+# Size of the frequency sketch that finds hot keys, and how many it may report.
+TRACKED_ITEMS, TRACKED_TOP = 100_000, 1_000
 
 
 def _hash(keys: list[str]) -> Column:
@@ -22,6 +22,22 @@ def hot_keys(counted: DataFrame, keys: list[str], n: str, hot_rows: int) -> Data
     return counted.filter(F.col(n) > hot_rows).select(_hash(keys).alias("_key")).distinct()
 
 
+def heavy_keys(left: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Hashes of the heaviest keys, at most ``TRACKED_TOP``, from a fixed-size frequency sketch.
+
+    Nothing is shuffled by key.  The counts are estimates, which is enough: they
+    only decide how rows are spread, never which rows take part.
+    """
+    sketch = F.expr(f"approx_top_k(_key, {TRACKED_TOP}, {TRACKED_ITEMS})").alias("_top")
+    return (
+        left.select(_hash(keys).alias("_key"))
+        .agg(sketch)
+        .select(F.inline("_top"))
+        .filter(F.col("count") > hot_rows)
+        .select(F.col("item").alias("_key"))
+    )
+
+
 def join_unique(
     left: DataFrame,
     right: DataFrame,
@@ -37,11 +53,12 @@ def join_unique(
     ``spread`` column (not by a random number, so a recomputed task gives the
     same rows), and the one matching right row is repeated for each of them.
     Only the hashes of hot keys are broadcast; their number is bounded by
-    construction, see :func:`hot_keys`.
+    construction, see :func:`heavy_keys` and :func:`hot_keys` (pass the latter
+    as ``hot`` where exact counts exist anyway).
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     if hot is None:
-        hot = hot_keys(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", limit)
+        hot = heavy_keys(left, keys, limit)
     flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salted_left = (
         left.withColumn("_key", _hash(keys))
@@ -104,10 +121,3 @@ def with_group_position(df: DataFrame, group: str, order: list[str], name: str,
     hot = hot_keys(starts, [group], "_n", HOT_ROWS)
     joined = join_unique(ranked, starts.drop("_n"), [group], spread="_global", hot=hot)
     return joined.withColumn(name, F.col("_global") - F.col("_start")).drop("_global", "_start")
-
-
-def take_first(df: DataFrame, order: list[str], n: int, label: str) -> DataFrame:
-    """The first ``n`` rows in ``order``."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(n)
-    return with_position(df, order, "_position", label).filter(F.col("_position") < n).drop("_position")

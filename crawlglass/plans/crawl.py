@@ -40,7 +40,7 @@ def eligible(candidates: DataFrame, policy: DataFrame | None, same_domain: bool)
 
 
 def page_links(facts: DataFrame) -> DataFrame:
-    """``(url, pos, target)``: the internal http links a crawl can follow."""
+    """``(url, pos, target)``: the links a crawl follows, which are the internal http ones."""
     return (
         facts.select(urls.normalize(F.col("url")).alias("url"), F.explode("links").alias("l"))
         .filter("l.is_internal AND l.is_web")

@@ -121,9 +121,9 @@ def _report_columns() -> list[Column]:
     return [_typed(n, t) for n, t in REPORT_TYPES.items()]
 
 
-def as_report(df: DataFrame) -> DataFrame:
-    """Project to the declared page report."""
-    return df.select(*_report_columns())
+def as_report(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Project to the declared page report, after any columns in ``keep``."""
+    return df.select(*(keep or []), *_report_columns())
 
 
 def page_audit(fetch_log: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

@@ -14,8 +14,18 @@ RETRY_STATUSES = (429, 500, 502, 503, 504)
 DEFAULT_DELAY, JITTER_FLOOR = 0.3, 0.85
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a file scan of few partitions (a Parquet row group is not split further).
+
+    A scan with at least as many partitions as cores, as any large one has, is left
+    alone.  Only for plain scans: asking other plans for their partitions may run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(FETCH_LOG_SCHEMA).format(fmt).load(path)
+    return spread(spark.read.schema(FETCH_LOG_SCHEMA).format(fmt).load(path))
 
 
 def assign_crawl_seq(log: DataFrame) -> DataFrame:

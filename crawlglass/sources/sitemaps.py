@@ -68,11 +68,21 @@ def _cap_per_site(df: DataFrame, order: list[str], cap: int, taken: DataFrame |
     return ranked.filter(F.col("_pos") + F.coalesce("_used", F.lit(0)) < cap).drop("_pos", "_used")
 
 
+def document_locations(docs: DataFrame) -> DataFrame:
+    """``(sitemap_url, is_index, pos, loc)`` of all documents; written, so bodies are read once."""
+    found = docs.select(
+        "sitemap_url", is_index(F.col("body")).alias("is_index"), F.posexplode(locations(F.col("body"))).alias("pos", "loc")
+    )
+    return materialize(found, "sitemap-locations")
+
+
 def sitemap_walk(
-    seeds: DataFrame, docs: DataFrame, max_sitemaps: int = MAX_SITEMAPS
+    seeds: DataFrame, locs: DataFrame, max_sitemaps: int = MAX_SITEMAPS
 ) -> DataFrame:
     """Sitemap documents reached from ``seeds(site, sitemap_url, pos)``, level by level.
 
+    ``locs`` is :func:`document_locations`.
+
     Returns ``(site, sitemap_url, level, path)``; ``path`` holds the positions on
     the way down, so (level, path) is the breadth-first order.  A document counts
     for the cap of its site even when it could not be collected.  Every level is
@@ -85,9 +95,7 @@ def sitemap_walk(
         F.lit(0).alias("level"),
         F.array(F.col("pos").cast("bigint")).alias("path"),
     )
-    children = docs.filter(is_index(F.col("body"))).select(
-        "sitemap_url", F.posexplode(locations(F.col("body"))).alias("pos", "loc")
-    )
+    children = locs.filter("is_index").drop("is_index")
     reached, total, level = None, 0, 0
     while True:
         frontier = first_per_key(frontier, ["site", "sitemap_url"], ["path"])
@@ -114,11 +122,11 @@ def sitemap_walk(
         )
 
 
-def page_locations(reached: DataFrame, docs: DataFrame, same_domain: bool = True) -> DataFrame:
+def page_locations(reached: DataFrame, locs: DataFrame, same_domain: bool = True) -> DataFrame:
     """Page URLs of the reached urlset documents: ``(site, url, level, path)``, first occurrence only."""
     found = (
-        reached.join(docs.filter(~is_index(F.col("body"))), "sitemap_url")
-        .select("site", "level", "path", F.posexplode(locations(F.col("body"))).alias("pos", "loc"))
+        reached.join(locs.filter("NOT is_index"), "sitemap_url")
+        .select("site", "level", "path", "pos", "loc")
         .filter(urls.has_web_scheme(F.col("loc")))
     )
     if same_domain:
@@ -140,7 +148,8 @@ def sitemap_expand(
     same_domain: bool = True,
 ) -> DataFrame:
     """Walk ``seeds(site, sitemap_url, pos)`` to page URLs; ``site`` is a root host."""
-    pages = page_locations(sitemap_walk(seeds, docs, max_sitemaps), docs, same_domain)
+    locs = document_locations(docs)
+    pages = page_locations(sitemap_walk(seeds, locs, max_sitemaps), locs, same_domain)
     if max_urls:
         pages = _cap_per_site(pages, ["level", "path"], max_urls, None, "sitemap-urls")
     return pages

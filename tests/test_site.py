@@ -51,7 +51,7 @@ def test_join_unique_equals_plain_join(spark):
             assert Counter(map(tuple, got.select("id", "k").collect())) == want, (how, hot)
 
 
-def test_positions_and_take_first(spark, monkeypatch):
+def test_positions(spark):
     values = random.Random(1).sample(range(10_000), 700)
     df = spark.createDataFrame([(v, "a" if v % 3 else "b") for v in values], "v int, g string").repartition(7)
     ranked = {r.v: r.p for r in skew.with_position(df, ["v"], "p", "t").collect()}
@@ -60,8 +60,6 @@ def test_positions_and_take_first(spark, monkeypatch):
     for g in "ab":
         members = sorted(v for v in values if ("a" if v % 3 else "b") == g)
         assert [grouped[g, v] for v in members] == list(range(len(members)))
-    monkeypatch.setattr(skew, "SMALL_LIMIT", 0)
-    assert {r.v for r in skew.take_first(df, ["v"], 31, "t").collect()} == set(sorted(values)[:31])
 
 
 def test_hreflang_reciprocity(spark):
@@ -190,7 +188,7 @@ def test_sitemap_walk(spark):
     assert found(max_urls=2) == [base + "a", base + "b?x=1&y=2"]
     assert found(max_sitemaps=2) == [base + "a", base + "b?x=1&y=2"]
     assert "https://other.com/external" in found(same_domain=False)
-    walked = sitemaps.sitemap_walk(seeds, read)
+    walked = sitemaps.sitemap_walk(seeds, sitemaps.document_locations(read))
     assert [r.sitemap_url for r in walked.orderBy("level", "path").collect()] == [
         base + "sitemap.xml", base + "pages.xml", base + "blog.xml.gz", base + "missing.xml"]
 
@@ -274,3 +272,35 @@ def test_streams(spark, tmp_path):
         if r.issue == "Missing meta description":
             by_window[r.window_start] += r.n
     assert by_window and set(by_window.values()) == {3}
+
+
+def test_complete_run(spark):
+    from crawlglass.plans.run import audit_run
+
+    home, a, b = "https://www.example.com/", "https://example.com/a", "https://example.com/b"
+    rows = [
+        page(10, doc(title="Home page title", body='<a href="https://example.com/a">to a</a><a href="/private/x">secret</a>'), url=home),
+        page(11, doc(title="Shared page title", body='<a href="/b">to b</a>'), url=a),
+        page(12, doc(title="Shared page title"), url=b),
+        page(13, doc(title="Unlinked page here"), url="https://example.com/unlinked"),
+        page(14, doc(title="Private page here"), url="https://www.example.com/private/x"),
+        page(15, doc(title="Elsewhere"), url="https://other.com/"),
+    ]
+    fetched = log(spark, rows)
+    robots_txt = spark.createDataFrame(
+        [("www.example.com", 200, "User-agent: *\nDisallow: /private\nSitemap: https://www.example.com/s.xml")], "host string, status int, text string")
+    docs = spark.createDataFrame([("https://www.example.com/s.xml", "<urlset><loc>https://example.com/unlinked</loc></urlset>")], "sitemap_url string, body string")
+    run = lambda **o: {r.crawl_seq: (r.url, r.issues) for r in audit_run(fetched, robots_txt=robots_txt, sitemap_docs=docs, **o).collect()}
+    # the link from /a resolves to example.com/b
+    out = run(start_url=home)
+    assert [out[i][0] for i in range(3)] == [home, a, b] and len(out) == 3
+    assert "Duplicate title (shared by 2 pages)" in out[1][1] and "Duplicate title (shared by 2 pages)" not in out[0][1]
+    assert [out[i][0] for out in [run(start_url=home, max_pages=2)] for i in sorted(out)] == [home, a]
+    with_map = run(start_url=home, from_sitemap="auto")
+    assert with_map[1][0] == "https://example.com/unlinked" and len(with_map) == 4
+    lines = spark.createDataFrame([(0, "# x"), (1, "https://other.com/"), (2, b)], "pos int, line string")
+    assert {u for u, _ in run(url_lines=lines, list_only=True).values()} == {"https://other.com/", b}
+    assert len(run(start_url=home, respect_robots=False)) == 4
+    for bad in ({}, {"start_url": "example.com"}, {"from_sitemap": "auto"}):
+        with pytest.raises(ValueError):
+            run(**bad)
