@@ -10,6 +10,13 @@ from crawlglass.operators.head import resolve
 from crawlglass.operators.response import add_response_columns
 from crawlglass.operators.tokens import add_tokens
 
+# Columns add_body_columns provides.
+BODY_COLUMNS = frozenset(
+    """h1 h1_count h2_count h3_count h4_count h5_count h6_count heading_order_issues word_count visible_chars
+    text_html_ratio microdata_types rdfa_used links mixed_content jsonld_scripts images_total images_missing_alt
+    images_missing_dimensions images_lazy_loaded internal_links external_links nofollow_links sponsored_links
+    ugc_links empty_anchor_links generic_anchor_links""".split()
+)
 SKIPPED_LINKS = ("mailto:", "tel:", "javascript:", "#")
 
 
@@ -39,19 +46,23 @@ def _blank(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) == ""
 
 
-def links() -> Column:
-    """One struct per followed anchor, in document order, with the target resolved."""
-    opened = F.transform("_anchors", lambda e: F.struct(e.alias("e"), H.start_tag(e).alias("start")))
-    anchors = F.transform(
-        opened,
+def _anchor_parts() -> Column:
+    return F.transform("_anchors", lambda e: F.struct(e.alias("e"), H.start_tag(e).alias("start")))
+
+
+def _anchor_tags() -> Column:
+    return F.transform(
+        "_anchor_parts",
         lambda x: F.struct(
             H.parse_tag(x.start).alias("a"),
             F.substring(x.e, F.length(x.start) + 1, F.length(x.e)).alias("inner"),
         ),
     )
-    with_href = F.filter(anchors, lambda x: H.has_attribute(x.a, "href"))
-    described = F.transform(
-        with_href,
+
+
+def _anchor_texts() -> Column:
+    return F.transform(
+        F.filter("_anchor_tags", lambda x: H.has_attribute(x.a, "href")),
         lambda x: F.struct(
             T.strip(H.attribute(x.a, "href")).alias("raw"),
             F.lower(F.coalesce(H.attribute(x.a, "rel"), F.lit(""))).alias("rel"),
@@ -59,16 +70,23 @@ def links() -> Column:
             x.inner.rlike(r"(?i)<img[\s/>]").alias("has_img"),
         ),
     )
+
+
+def _anchor_urls() -> Column:
     skipped = lambda x: F.substring(x.raw, 1, 11).rlike("^(?:" + "|".join(SKIPPED_LINKS) + ")")
-    resolved = F.transform(
-        F.filter(described, lambda x: ~skipped(x)),
+    return F.transform(
+        F.filter("_anchor_texts", lambda x: ~skipped(x)),
         lambda x: F.struct(
             urls.normalize(resolve(x.raw)).alias("url"),
             x.rel.alias("rel"), x.label.alias("label"), x.has_img.alias("has_img"),
         ),
     )
+
+
+def _links() -> Column:
+    """One struct per followed anchor, in document order, with the target resolved."""
     return F.transform(
-        resolved,
+        "_anchor_urls",
         lambda x, i: F.struct(
             i.cast("int").alias("pos"),
             x.url.alias("url"),
@@ -83,6 +101,18 @@ def links() -> Column:
     )
 
 
+@built_once
+def _link_columns() -> list[tuple[str, Column]]:
+    """Steps from anchor markup to ``links``; one column each keeps the analyzer's work linear."""
+    return [
+        ("_anchor_parts", _anchor_parts()),
+        ("_anchor_tags", _anchor_tags()),
+        ("_anchor_texts", _anchor_texts()),
+        ("_anchor_urls", _anchor_urls()),
+        ("links", _links()),
+    ]
+
+
 @built_once
 def _first_columns() -> dict[str, Column]:
     item_types = F.flatten(
@@ -108,7 +138,6 @@ def _first_columns() -> dict[str, Column]:
         ),
         "rdfa_used": F.exists("_annotated", lambda t: H.has_attribute(t, "typeof") | H.has_attribute(t, "vocab")),
         "_images": F.filter("_resources", lambda t: t.tag == "img"),
-        "links": links(),
         "mixed_content": F.when(F.col("is_https"), _count("_resources", insecure)).otherwise(F.lit(0)),
         "jsonld_scripts": F.size("_jsonld"),
     }
@@ -139,7 +168,10 @@ def _derived_columns() -> dict[str, Column]:
 
 
 def add_body_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns(_first_columns()).withColumns(_derived_columns())
+    df = df.withColumns(_first_columns())
+    for name, column in _link_columns():
+        df = df.withColumn(name, column)
+    return df.withColumns(_derived_columns())
 
 
 def heading_steps(fetch_log: DataFrame) -> DataFrame:

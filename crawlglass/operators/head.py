@@ -8,6 +8,15 @@ from crawlglass.columns import built_once
 from crawlglass.functions import html as H, text as T, urls
 
 
+# Columns add_head_columns provides.
+HEAD_COLUMNS = frozenset(
+    """title title_length title_pixel_width meta_description meta_description_length meta_description_pixel_width
+    meta_robots lang viewport charset base_href favicon pagination_next pagination_prev canonical canonical_links
+    header_canonical canonical_count canonical_source canonical_is_self hreflang hreflang_has_xdefault
+    bad_hreflang_codes og_tags twitter_tags""".split()
+)
+
+
 def _text_or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlglass.columns import built_once
-from crawlglass.operators.body import add_body_columns
-from crawlglass.operators.head import add_head_columns
+from crawlglass.operators.body import BODY_COLUMNS, add_body_columns
+from crawlglass.operators.head import HEAD_COLUMNS, add_head_columns
 from crawlglass.operators.response import add_response_columns
 from crawlglass.operators.rules import Rule, evaluate, page_rules
 from crawlglass.operators.structured import scan_jsonld
@@ -54,19 +54,30 @@ def _verdict_columns() -> list[tuple[str, Column]]:
     ]
 
 
-def extract(fetch_log: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """All page columns before rules; keeps the underscore columns rules refer to."""
-    df = add_response_columns(fetch_log, keep)
-    df = add_tokens(df)
-    df = add_body_columns(add_head_columns(df))
-    for name, column in _verdict_columns():
-        df = df.withColumn(name, column)
-    return df.drop(
-        "_tokens", "_all", "_markup", "_visible", "_visible_markup", "_base", "_head", "_resources",
-        "_levels", "_annotated", "_title_element", "_h1_elements", "_anchors", "_text", "_images",
-        "_link_header", "_structured", "_canonical_hrefs", "_single_hrefs", "_alternates", "_resolved",
-        "_canonical_norms", "_page_norm", "_alternate_norms",
-    )
+_SCRATCH = """
+_tokens _all _markup _visible _visible_markup _base _head _resources _levels _annotated _title_element _h1_elements
+_anchors _text _images _link_header _structured _canonical_hrefs _single_hrefs _alternates _resolved _canonical_norms
+_page_norm _alternate_norms _anchor_parts _anchor_tags _anchor_texts _anchor_urls
+""".split()
+_VERDICT = {"parse_ok", "indexability_reason", "indexable"}
+
+
+def extract(
+    fetch_log: DataFrame, keep: list[str] | None = None, names: set[str] | None = None
+) -> DataFrame:
+    """All page columns before rules; keeps the underscore columns rules refer to.
+
+    With ``names``, groups of columns that none of the names needs are left out of the plan.
+    """
+    df = add_tokens(add_response_columns(fetch_log, keep))
+    if names is None or names & (HEAD_COLUMNS | _VERDICT):
+        df = add_head_columns(df)
+    if names is None or names & BODY_COLUMNS:
+        df = add_body_columns(df)
+    if names is None or names & _VERDICT:
+        for name, column in _verdict_columns():
+            df = df.withColumn(name, column)
+    return df.drop(*_SCRATCH)
 
 
 def with_jsonld(df: DataFrame) -> DataFrame:
@@ -110,7 +121,7 @@ def page_facts(
 def page_columns(fetch_log: DataFrame, names: list[str]) -> DataFrame:
     """Only the named report or fact columns; what they do not need is never computed."""
     types = {**REPORT_TYPES, **FACT_TYPES}
-    df = extract(fetch_log)
+    df = extract(fetch_log, names=set(names))
     if {"schema_types", "schema_gaps", "jsonld_invalid"} & set(names):
         df = with_jsonld(df)
     return df.select(F.inline(F.array(F.struct(*[_typed(n, types[n]) for n in names]))))
