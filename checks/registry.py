@@ -679,7 +679,12 @@ register("stream_dedup", lambda s, d: _drained(
 
 def _stream_tally(spark, sf_dir):
     """Windows the watermark has passed; the last ones stay open when the input ends."""
-    return _drained(streaming.stream_issue_tally(_stream_input(spark, sf_dir)))
+    tallied = _drained(streaming.stream_issue_tally(_stream_input(spark, sf_dir)))
+    return tallied.select(F.unix_seconds("window_start").alias("window_start"), "issue", "n")
 
 
-register("stream_issue_tally", _stream_tally)
+register("stream_issue_tally", _stream_tally, Q.query(f"""
+SELECT window_start, issue, n FROM (
+  SELECT CAST(floor((1704067200 + crawl_seq * 60) / 3600) * 3600 AS BIGINT) AS window_start, {_KEY} AS issue, count(*) AS n
+  FROM page_issues GROUP BY ALL) WHERE window_start + 3600 <= (SELECT max(1704067200 + crawl_seq * 60) FROM facts) - 3600""",
+    Q.CTES + Q.LINKS + Q.JSONLD + Q.PAGE_ISSUES))

@@ -9,8 +9,9 @@ from crawlglass.storage import materialize
 # A key with more left rows than this is split over SALTS join partitions.
 HOT_ROWS = 200_000
 SALTS = 64
-# Size of the frequency sketch that finds hot keys, and how many it may report.
-TRACKED_ITEMS, TRACKED_TOP = 100_000, 1_000
+# Size of the frequency sketch that finds hot keys (it sees keys above a share of about 1e-4),
+# how many keys it may report, and how many tasks merge the sketches of all partitions.
+TRACKED_ITEMS, TRACKED_TOP, SKETCH_GROUPS = 30_000, 1_000, 256
 
 
 def _hash(keys: list[str]) -> Column:
@@ -25,14 +26,19 @@ def hot_keys(counted: DataFrame, keys: list[str], n: str, hot_rows: int) -> Data
 def heavy_keys(left: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """Hashes of the heaviest keys, at most ``TRACKED_TOP``, from a fixed-size frequency sketch.
 
-    Nothing is shuffled by key.  The counts are estimates, which is enough: they
+    Nothing is shuffled by key; sketches are merged in two steps.  The counts are estimates, which is enough: they
     only decide how rows are spread, never which rows take part.
     """
-    sketch = F.expr(f"approx_top_k(_key, {TRACKED_TOP}, {TRACKED_ITEMS})").alias("_top")
+    partial = F.expr(f"approx_top_k_accumulate(_key, {TRACKED_ITEMS})").alias("_sketch")
+    merged = F.expr(f"approx_top_k_combine(_sketch, {TRACKED_ITEMS})").alias("_sketch")
     return (
-        left.select(_hash(keys).alias("_key"))
-        .agg(sketch)
-        .select(F.inline("_top"))
+        left.select(_hash(keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
+        .groupBy("_group")
+        .agg(partial)
+        # grouped by a constant: without rows there is no sketch to merge
+        .groupBy(F.lit("all"))
+        .agg(merged)
+        .select(F.inline(F.expr(f"approx_top_k_estimate(_sketch, {TRACKED_TOP})")))
         .filter(F.col("count") > hot_rows)
         .select(F.col("item").alias("_key"))
     )
