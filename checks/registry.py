@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from checks import carriers as C, facts_sql as Q
 from crawlglass.functions import text as T, urls
 from crawlglass.operators import duplicates, hreflang, link_status, rules, tally
 from crawlglass.operators.body import heading_steps
-from crawlglass.operators.response import from_pages
 from crawlglass.plans import crawl
 from crawlglass.plans.page_audit import page_columns, page_facts
-from crawlglass.plans.site_audit import apply_findings, audited_pages, site_findings
-from crawlglass.schema import FACT_TYPES, REPORT_TYPES
+from crawlglass.plans.site_audit import apply_findings, site_findings
+from crawlglass.schema import REPORT_TYPES
 from crawlglass.sinks import report as sinks
 from crawlglass.sources import fetch_log, robots, sitemaps, url_list
 from crawlglass.storage import materialize, new_path
