@@ -37,4 +37,33 @@ SELECT p.doc_id, p.source, p.n_chars, p.start, p.start // 20000 AS block,
        (p.start // 20000) // s.n * h + l.slot AS slot
 FROM placed p JOIN shares s USING (key) CROSS JOIN round_
 JOIN slots l ON l.key = p.key AND l.j = (p.start // 20000) % s.n""",
+    "op9_deletion_neighbourhood_lines": """
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no,
+         list_filter(string_split(translate(lines[i], chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '') AS words
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)),
+firsts AS (
+  SELECT words, min((doc_id, line_no)) AS f, len(words) AS n FROM lines WHERE len(words) > 0 GROUP BY words),
+halves AS (
+  SELECT words, f, n, m, side, CASE side WHEN 0 THEN words[1:m] ELSE words[n - m + 1:n] END AS half
+  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS m FROM firsts WHERE n >= 8),
+       (VALUES (0), (1)) AS sides(side)),
+pairs AS (
+  SELECT DISTINCT x.words, x.n, x.f, y.words AS other, y.n AS other_n, y.f AS other_f
+  FROM halves x JOIN halves y ON x.side = y.side AND x.m = y.m AND x.half = y.half
+  WHERE y.f < x.f AND abs(x.n - y.n) <= 1),
+near AS (
+  SELECT words, min(other_f) AS g FROM pairs
+  WHERE len(list_filter(range(1, greatest(n, other_n) + 1),
+          lambda i: CASE WHEN n = other_n THEN list_concat(words[1:i - 1], words[i + 1:n]) = list_concat(other[1:i - 1], other[i + 1:n])
+                    WHEN n > other_n THEN list_concat(words[1:i - 1], words[i + 1:n]) = other
+                    ELSE list_concat(other[1:i - 1], other[i + 1:other_n]) = words END)) > 0
+  GROUP BY words)
+SELECT l.doc_id, l.line_no, len(l.words) AS n_words,
+       coalesce(f.f[1], l.doc_id) AS first_doc_id, coalesce(f.f[2], l.line_no) AS first_line_no,
+       g.g[1] AS near_doc_id, g.g[2] AS near_line_no,
+       f.f IS NULL OR (f.f = (l.doc_id, l.line_no) AND g.g IS NULL) AS kept
+FROM lines l LEFT JOIN firsts f ON l.words = f.words LEFT JOIN near g ON l.words = g.words""",
 }
