@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlglass.llm import mixing, packing
+from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing
 from crawlglass.storage import new_path
 
 
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words mostly belong to one language; the model learns from all labelled documents."""
+    return language_id.accepted(docs, language_id.train(docs))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line equals or nearly equals; emptied documents go."""
+    return line_dedup.without_duplicate_lines(docs)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return minhash.without_near_duplicates(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, stored in the order of the mixture."""
     return mixing.in_order(docs)
@@ -21,6 +36,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_filter", language_filter),
+    ("line_filter", line_filter),
+    ("near_duplicate_filter", near_duplicate_filter),
     ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]

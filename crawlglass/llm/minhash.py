@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crawlglass.llm.graph import components
-from crawlglass.llm.rows import narrow, steps, texts_of
+from crawlglass.llm.rows import narrow, packed, steps, texts_of
 from crawlglass.llm.words import mix64, shingle_sets
 from crawlglass.storage import materialize
 
@@ -181,3 +181,13 @@ def near_duplicates(
     out = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with their own columns.
+
+    Of rows that repeat a kept id, all stay; rows with a null id stay.
+    """
+    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = packed(docs).join(gone, F.col("row").getField("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return rows.select("row.*")
