@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing, substring_dedup, weak_quality
+from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing, substring_dedup, vp_search, weak_quality
 from crawlglass.llm.queries import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query
 def op9_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))

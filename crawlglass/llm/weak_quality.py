@@ -8,6 +8,7 @@ of good quality takes the place of a filter that all rules must pass.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,10 @@ SYMBOLS = "#*$%&|<>"
 _STEP = 2_000_000
 MEASURES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_letters long, n_upper long, n_distinct_words long, n_marks long"
+    "n_lines long, n_letters long, n_upper long, n_distinct_words long, n_marks long, n_bare_words long"
 )
+# Words of ASCII digits and signs only.
+_BARE = re.compile(r"(?<![^\x20\x09-\x0D])[!-@\[-`{-~]+(?![^\x20\x09-\x0D])")
 _SPACES = {c: " " for c in range(9, 14)}
 
 
@@ -70,6 +73,7 @@ def measures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
                 out.append((
                     n, len(t) - spaced.count(" "), int(ascii_[_SYMBOL_CODES].sum()), repeated,
                     _repeated_words(own, WINDOW), lines, letters, upper, len(np.unique(own)), int(ascii_[[33, 63]].sum()),
+                    len(_BARE.findall(t)),
                 ))
             columns = zip(*out)
             yield pa.RecordBatch.from_arrays(
@@ -109,6 +113,7 @@ RULES = (
     Rule("n_letters / nullif(word_chars, 0)", (0.85, 1.0), (0.75, 1.0)),
     Rule("n_upper / nullif(n_letters, 0)", (0.0, 0.15), (0.0, 0.4)),
     Rule("if(n_words < 50, null, n_distinct_words / pow(n_words, 0.75))", (0.8, 6.0), (0.4, 8.0)),
+    Rule("n_bare_words / nullif(n_words, 0)", (0.0, 0.15), (0.0, 0.25)),
     Rule("n_marks / nullif(n_words, 0)", (0.0, 0.05), (0.0, 0.2)),
 )
 
@@ -132,8 +137,8 @@ class LabelModel:
         return 1 / (1 + np.exp(-odds))
 
 
-FALSE_ALARM = 0.02
-START_GOOD, START_BAD, START_PRIOR = (0.1, 0.88, 0.02), (0.2, 0.5, 0.3), 0.8
+FALSE_ALARM = 0.01
+START_GOOD, START_BAD, START_PRIOR = (0.1, 0.89, 0.01), (0.2, 0.5, 0.3), 0.8
 
 
 def start(rules: int) -> LabelModel:
