@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing, substring_dedup, vp_search, weak_quality
+from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing, passage_quality, substring_dedup, vp_search, weak_quality
 from crawlglass.llm.queries import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,13 @@ def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+@query
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = passage_quality.train(docs, labels.filter(fold(3) != 1))
+    return passage_quality.score(docs, model).withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False)))
+
+
 @query
 def op9_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))

@@ -37,12 +37,12 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(values, first) ^ (sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), starts
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each text."""
+def word_places(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, their first bytes in ``b" ".join(texts)``, and the number of words of each text."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
         data = _LOWER[data]
-    found, places, at = [], [], 0
+    found, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(data):
         stop = min(len(data), at + CHUNK)
         while stop < len(data) and not _SPACE[data[stop - 1]]:  # a word is not cut
@@ -53,9 +53,14 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
         places.append(starts + at)
         at = stop
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    places = np.concatenate(places) if places else np.empty(0, np.int64)
-    upto = np.searchsorted(places, bounds, side="left")
-    return np.concatenate(found) if found else np.empty(0, np.uint64), np.diff(upto, prepend=0)
+    starts = np.concatenate(places)
+    return np.concatenate(found), starts, np.diff(np.searchsorted(starts, bounds, side="left"), prepend=0)
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text."""
+    hashes, _, counts = word_places(texts, lower)
+    return hashes, counts
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
