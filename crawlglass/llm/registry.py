@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing, passage_quality, substring_dedup, vp_search, weak_quality
+from crawlglass.llm import id_coder, language_id, line_dedup, minhash, mixing, packing, passage_quality, substring_dedup, vp_search, weak_quality
 from crawlglass.llm.queries import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
 
 
+@query
+def op2_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_coder.token_ids(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.judge(table(spark, sf_dir, "documents"))

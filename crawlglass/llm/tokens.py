@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 400_000  # words a worker keeps; then it starts afresh
+REMEMBERED = 1_200_000  # words a worker keeps; then it starts afresh
 # White space other than space and line feed, and the first characters of added tokens.
 _ODD = re.compile(r"[^\S \n]|<\|")
 _SPACED = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -37,8 +38,10 @@ class Encoder:
             config = json.load(file)
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        self.vocabulary = self._tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._map = str.maketrans({chr(b): c for b, c in _printable_bytes().items()})
+        self._space = chr(256 + 32)
         self._known: dict[str, bytes] = {}
         before, pieces = config.get("normalizer"), config.get("pre_tokenizer") or {}
         steps = [s["type"] for s in pieces.get("pretokenizers", [])]
@@ -52,14 +55,17 @@ class Encoder:
         )
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, word: str) -> bytes:
         """One run of Latin letters (perhaps after a space), which the tokenizer does not cut further."""
-        written = word.encode("utf-8").decode("latin-1").translate(self._map)
+        if word.isascii():
+            written = word.replace(" ", self._space)
+        else:
+            written = word.encode("utf-8").decode("latin-1").translate(self._map)
         return self._pack([token.id for token in self._model.tokenize(written)])
 
     def _chunk(self, chunk: str) -> bytes:
