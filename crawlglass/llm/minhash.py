@@ -5,10 +5,11 @@ kept.  An empty bin borrows the value of a bin found by a random sequence of its
 also short documents get independent bins.  ``rows`` bins make a band; documents with an equal band share a bucket.
 
 Documents with equal shingle sets are collapsed first.  In a bucket, each document is paired with the smallest one
-only (a star), so a bucket of n documents gives n - 1 pairs.  Pairs are confirmed on full shingle sets.  A bucket
-whose documents then still lie in several components is compared further: with another hub in some more rounds while
-there are very many open pairs, and at last by every pair of documents of different components.  So no link between
-documents that share a bucket is lost, while members of one group are never paired with each other once connected.
+only (a star), so a bucket of n documents gives n - 1 pairs.  Pairs are confirmed on full shingle sets.  Where the
+documents of a bucket then lie in several components, documents of different components are compared as well, so no
+link between documents that share a bucket is lost.  These comparisons do not leave the join: a bitmap in which each
+shingle flips one bit bounds the number of shingles that two sets do not share from below, and only pairs that can
+still reach the similarity go on to their texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from crawlglass.llm.words import mix64, shingle_sets
 from crawlglass.storage import materialize
 
 WORDS, PERCENT, BANDS, ROWS = 5, 80, 40, 5
-STAR_ROUNDS, OPEN_PER_ROW = 6, 4
+SKETCH_BITS = 2_048
 _STEP = 2_000_000
 _PROBES = 256
 
@@ -69,8 +70,17 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """A bitmap of ``SKETCH_BITS`` bits, as longs, in which each value flips one bit.
+
+    Two bitmaps differ in at most as many bits as their sets differ in values.
+    """
+    flips = np.bincount((values % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's hash, band keys (none for an empty set)."""
+    """doc_id, n_shingles, two halves of the set's hash, band keys (none for an empty set), bitmap."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, limit=_STEP):
@@ -82,14 +92,17 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(signatures([sets[i] for i in some], bands * rows), bands, rows)
             ends = np.cumsum(np.where(sizes > 0, bands, 0))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.ravel()))
+            bits = np.concatenate([parities(x) for x in sets])
+            width = SKETCH_BITS // 64
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * width, pa.int32()), pa.array(bits))
             half = [np.array([np.add.reduce(f(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                     for f in (mix64, lambda s: mix64(s ^ np.uint64(0xA0761D6478BD642F)))]
             yield pa.RecordBatch.from_arrays(
-                [step.column(0), pa.array(sizes, pa.int64()), pa.array(half[0]), pa.array(half[1]), lists],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                [step.column(0), pa.array(sizes, pa.int64()), pa.array(half[0]), pa.array(half[1]), lists, bits],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "bits"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -130,54 +143,44 @@ def near_duplicates(
     signed = materialize(_signed(base, words, bands, rows), "minhash")
     linked = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
-    classes = linked.groupBy(*same).agg(F.min(F.struct("doc_id", "keys")).alias("least"))
+    classes = linked.groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "bits")).alias("least"))
     reps = classes.select(F.col("least.doc_id").alias("rep"), "n_shingles", F.explode("least.keys").alias("key"))
     crowded = reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     bucket = materialize(reps.join(crowded, "key"), "minhash-buckets")
     copies = linked.select("doc_id", *same).join(classes.select(*same, F.col("least.doc_id").alias("a")), same).select(
         "a", F.col("doc_id").alias("b")
     ).filter("a <> b")
-    found = materialize(copies, "minhash-copies")
-    texts = materialize(base.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "minhash-texts")
-
-    members = bucket.withColumn("component", F.col("rep"))
-    close = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
-    n_rows = bucket.count()
-    for turn in range(STAR_ROUNDS + 1):
-        sized = members.withColumnRenamed("n_shingles", "size_b").withColumnRenamed("rep", "b")
-        pick = F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")
-        if turn == 0 or (turn < STAR_ROUNDS and open_pairs > OPEN_PER_ROW * n_rows):
-            last = False
-            hub = members.groupBy("key").agg(F.min(F.struct(pick.alias("o"), "rep", "n_shingles", "component")).alias("h"))
-            pairs = sized.join(hub, "key").select(
-                F.col("h.rep").alias("x"), F.col("b").alias("y"), F.col("h.n_shingles").alias("size_a"), "size_b",
-                F.col("h.component").alias("c"), "component",
-            )
-        else:
-            last = True
-            left = members.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("size_a"), F.col("component").alias("c"))
-            pairs = left.join(sized, "key").filter("a < b").select(
-                F.col("a").alias("x"), F.col("b").alias("y"), "size_a", "size_b", "c", "component"
-            )
-        pairs = pairs.filter("c <> component").filter(close).select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-        )
-        confirmed = _confirmed(pairs.distinct(), texts, words, percent)
-        found = materialize(found.unionAll(confirmed), "minhash-links")
-        component = materialize(components(found), "minhash-components")
-        if last:
-            break
-        now = bucket.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
-        )
-        sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("key").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inner")
-        ).filter("parts > 1")
-        members = materialize(now.join(mixed.select("key"), "key"), "minhash-open")
-        open_pairs = mixed.agg(F.sum((F.col("all") ** 2 - F.col("inner")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
+    member = bucket.select("rep").distinct()
+    texts = materialize(base.join(member.withColumnRenamed("rep", "doc_id"), "doc_id"), "minhash-texts")
+    sizes_fit = f"least(size_a, size_b) * 100 >= greatest(size_a, size_b) * {percent}"
+
+    # Stars: each document of a bucket with the smallest one.
+    hub = bucket.groupBy("key").agg(F.min(F.struct("rep", "n_shingles")).alias("h"))
+    stars = bucket.join(hub, "key").select(
+        F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.col("h.n_shingles").alias("size_a"), F.col("n_shingles").alias("size_b")
+    ).filter("a <> b").filter(sizes_fit).select("a", "b").distinct()
+    found = materialize(copies.unionAll(_confirmed(stars, texts, words, percent)), "minhash-links")
+    component = materialize(components(found), "minhash-components")
+
+    # Documents of one bucket that are still in different components.
+    now = bucket.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    bits = linked.select(F.col("doc_id").alias("rep"), "bits", "n_shingles")
+    bits = bits.join(now.join(mixed, "key", "left_semi").select("rep").distinct(), "rep", "left_semi")
+    open_rows = materialize(now.join(mixed.select("key"), "key").join(bits, ["rep", "n_shingles"]), "minhash-open")
+    left = open_rows.toDF(*(c if c == "key" else f"{c}_a" for c in open_rows.columns))
+    right = open_rows.toDF(*(c if c == "key" else f"{c}_b" for c in open_rows.columns))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # Similar sets differ in at most this share of all their shingles.
+    able = apart * (100 + percent) <= (F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent)
+    across = left.join(right, "key").filter((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")))
+    across = across.filter(sizes_fit.replace("size_", "n_shingles_")).filter(able)
+    across = across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    more = materialize(_confirmed(across, texts, words, percent), "minhash-more-links")
+    if more.limit(1).count():
+        component = materialize(components(found.unionAll(more)), "minhash-components")
     out = signed.select("doc_id", "n_shingles").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
