@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crawlglass.llm.rows import narrow, packed, steps, texts_of
-from crawlglass.llm.sharing import ASKED, answers, ask, bucket_count
+from crawlglass.llm.sharing import ASKED, answers, ask, bucket_count, key48, unpack48
 from crawlglass.llm.words import mix64, word_hashes
 from crawlglass.storage import materialize
 
@@ -68,7 +68,7 @@ class Lines:
             size = m.astype(np.uint64)
             keys.append(mix64(self.part(line, zero, m) ^ (size * _HALF)))
             keys.append(mix64(self.part(line, n - m, n) ^ (size * _TAIL)))
-        return np.concatenate(keys), np.tile(line, 4)
+        return key48(np.concatenate(keys)), np.tile(line, 4)
 
     def variants(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, place, line): the whole line at place -1, and one variant for each deleted word."""
@@ -188,11 +188,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             pair = np.lexsort((line, keys))  # a half that comes twice in one line asks once
             new = np.append(True, (np.diff(keys[pair]) != 0) | (np.diff(line[pair]) != 0))
             keys, line = keys[pair][new], line[pair][new]
-            rows = list(zip(*ask(keys, lines.a[line] | np.uint64(1), ids[lines.text[line]], buckets)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])],
-                names=["bucket", "keys", "owners", "ids"],
-            )
+            yield ask(keys, ids[lines.text[line]], buckets, lines.a[line])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, limit=_STEP):
@@ -202,7 +198,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             if not len(some):
                 continue
             keys, line = lines.halves(some)
-            wanted = [np.frombuffer(b"".join(k), "<u8") for k in step.column(2).to_pylist()]
+            wanted = [unpack48(b"".join(k)) for k in step.column(2).to_pylist()]
             mine = np.zeros(len(keys), bool)
             text = lines.text[line]
             order = np.argsort(text, kind="stable")
@@ -235,8 +231,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 names=["bucket", "keys", "places", "a", "b", "docs", "numbers", "doc_id", "line_no", "text"],
             )
 
-    asked = materialize(docs.mapInArrow(question, ASKED), "line-halves")
-    told = answers(asked).withColumnRenamed("id", "doc_id")
+    told = answers(docs.mapInArrow(question, ASKED)).withColumnRenamed("id", "doc_id")
     rows = docs.join(told, "doc_id").select("doc_id", "text", "keys").mapInArrow(emit, VARIANTS)
     emitted = materialize(rows, "line-variants")
     matched = emitted.filter("bucket >= 0").groupBy("bucket").applyInPandas(_matches, MATCHES)

@@ -19,7 +19,7 @@ answer is known.  Matching is exact: rolling hashes only decide where strings me
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from zlib import compress, decompress
 
 import numpy as np
 import pandas as pd
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from crawlglass.llm.rows import narrow, steps
-from crawlglass.llm.sharing import ASKED, ask, answers, bucket_count
+from crawlglass.llm.sharing import ASKED, answers, ask, bucket_count, key48, unpack48
 from crawlglass.llm.words import mix64
-from crawlglass.storage import materialize
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 BUCKET_BYTES = 4_000_000
+_PACKED_STEP = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 PHRASES = "bucket int, triggers binary, docs binary, starts binary, sizes binary, data binary, spans binary"
 
@@ -64,9 +64,11 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
-def _ids_and_bytes(step: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids = step.column(0).to_numpy(zero_copy_only=False)
-    return ids, [np.frombuffer((t or "").encode("utf-8"), np.uint8) for t in step.column(1).to_pylist()]
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as deflated UTF-8: what is shuffled by document takes half the bytes."""
+    for step in steps(batches):
+        texts = [compress((t or "").encode("utf-8"), 1) for t in step.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([step.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
 
 
 def _suffix_minimum(phrases: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
@@ -102,9 +104,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _resolve(batch: pd.DataFrame, length: int) -> pd.DataFrame:
     """Byte ranges of one bucket's askers that a smaller document has."""
+    told = [np.frombuffer(x, "<i8").reshape(-1, 3) for x in batch["spans"] if x is not None]
+    given = _per_doc(*np.concatenate(told).T) if told else None
+    batch = batch[batch["spans"].isna()]
+    if not len(batch):
+        return given
     col = lambda name, kind: np.frombuffer(b"".join(batch[name]), kind)
     triggers, docs, starts, sizes = col("triggers", "<u8"), col("docs", "<i8"), col("starts", "<i8"), col("sizes", "<i4")
-    data = b"".join(batch["data"])
+    data = b"".join(map(decompress, batch["data"]))
     at = np.cumsum(sizes, dtype=np.int64) - sizes
     number: dict[bytes, int] = {}
     phrases, kinds, least, trigger = [], np.empty(len(docs), np.int64), [], []
@@ -135,7 +142,8 @@ def _resolve(batch: pd.DataFrame, length: int) -> pd.DataFrame:
             if some.any():
                 a, b = _runs(some)
                 who.extend([doc] * len(a)), begin.extend(starts[i] + a), end.extend(starts[i] + b + length - 1)
-    return _per_doc(np.array(who, np.int64), np.array(begin, np.int64), np.array(end, np.int64))
+    found_spans = _per_doc(np.array(who, np.int64), np.array(begin, np.int64), np.array(end, np.int64))
+    return found_spans if given is None else pd.concat([given, found_spans], ignore_index=True)
 
 
 def _per_doc(docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
@@ -149,7 +157,7 @@ def _per_doc(docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFra
 def duplicate_spans(
     docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """All rows (doc_id, text) with ``spans``: packed (start, end) byte ranges that a smaller document also has.
+    """All rows (doc_id, deflated text) with ``spans``: packed (start, end) byte ranges that a smaller document also has.
 
     Ranges may touch or overlap.  ``length`` is at least 24 and more than ``gram``.  See :func:`remove_duplicates`
     for the cases.
@@ -160,27 +168,23 @@ def duplicate_spans(
 
     def question(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
-            ids, texts = _ids_and_bytes(step)
-            keys = [np.unique(_triggers(t, length, gram)) if len(t) >= length else np.empty(0, np.uint64) for t in texts]
+            ids = step.column(0).to_numpy(zero_copy_only=False)
+            texts = [np.frombuffer((t or "").encode("utf-8"), np.uint8) for t in step.column(1).to_pylist()]
+            keys = [
+                np.unique(key48(_triggers(t, length, gram))) if len(t) >= length else np.empty(0, np.uint64) for t in texts
+            ]
             who = np.repeat(ids, [len(k) for k in keys])
             if not len(who):
                 continue
             keys = np.concatenate(keys)
-            # an id that is repeated in the step asks once
-            pair = np.lexsort((who, keys))
+            pair = np.lexsort((who, keys))  # an id that is repeated in the step asks once
             new = np.append(True, (np.diff(keys[pair]) != 0) | (np.diff(who[pair]) != 0))
-            keys, who = keys[pair][new], who[pair][new]
-            rows = list(zip(*ask(keys, mix64(who.astype(np.uint64)) | np.uint64(1), who, buckets)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])],
-                names=["bucket", "keys", "owners", "ids"],
-            )
-
-    asked = materialize(known.mapInArrow(question, ASKED), "substring-triggers")
+            yield ask(keys[pair][new], who[pair][new], buckets)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches):
-            ids, texts = _ids_and_bytes(step)
+        for step in steps(batches, limit=_PACKED_STEP):
+            ids = step.column(0).to_numpy(zero_copy_only=False)
+            texts = [np.frombuffer(decompress(t), np.uint8) for t in step.column(1).to_pylist()]
             seen: dict[bytes, tuple] = {}
             told: list[tuple] = []
             for doc, data, shared in sorted(zip(ids, texts, step.column(2).to_pylist()), key=lambda row: row[0]):
@@ -189,8 +193,7 @@ def duplicate_spans(
                 low = _triggers(data, length, gram)
                 starts = np.flatnonzero(np.diff(low, prepend=~low[:1]) != 0)
                 ends = np.append(starts[1:], len(low)) + length - 1
-                keys = np.frombuffer(b"".join(shared), "<u8")
-                some = np.isin(low[starts], keys)
+                some = np.isin(key48(low[starts]), unpack48(b"".join(shared)))
                 whole = data.tobytes()
                 for a, b, key in zip(starts[some].tolist(), ends[some].tolist(), low[starts[some]].tolist()):
                     phrase = whole[a:b]
@@ -198,7 +201,7 @@ def duplicate_spans(
                     if before[1] < doc:
                         told.append((doc, a, b))
             if told:
-                yield _phrase_rows([-1], [[b""]] * 5, [np.array(told, "<i8").tobytes()])
+                yield _phrase_rows([buckets + told[0][0] % 64], [[None]] * 5, [np.array(told, "<i8").tobytes()])
             if not seen:
                 continue
             phrases = list(seen)
@@ -214,24 +217,17 @@ def duplicate_spans(
                 columns[1].append(np.array([where[i][1] for i in part], "<i8").tobytes())
                 columns[2].append(np.array([where[i][2] for i in part], "<i8").tobytes())
                 columns[3].append(np.array([len(phrases[i]) for i in part], "<i4").tobytes())
-                columns[4].append(b"".join([phrases[i] for i in part]))
+                columns[4].append(compress(b"".join([phrases[i] for i in part]), 1))
             yield _phrase_rows(bucket[cuts].tolist(), columns, [None] * len(cuts))
 
-    shared = answers(asked).withColumnRenamed("id", "doc_id")
-    phrases = known.join(shared, "doc_id").select("doc_id", "text", "keys").mapInArrow(parse, PHRASES)
-    phrases = materialize(phrases, "substring-phrases")
-
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for spans in batch["spans"]:
-                yield _per_doc(*np.frombuffer(spans, "<i8").reshape(-1, 3).T)
-
-    own = phrases.filter("bucket < 0").select("spans").mapInPandas(unpacked, "doc_id long, spans binary")
-    rest = phrases.filter("bucket >= 0").groupBy("bucket").applyInPandas(
-        lambda batch: _resolve(batch, length), "doc_id long, spans binary"
-    )
-    spans = own.unionAll(rest).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    return base.join(spans, "doc_id", "left")
+    texts = known.mapInArrow(_squeezed, "doc_id long, text binary")
+    shared = answers(known.mapInArrow(question, ASKED)).withColumnRenamed("id", "doc_id")
+    phrases = texts.join(shared, "doc_id").select("doc_id", "text", "keys").mapInArrow(parse, PHRASES)
+    spans = phrases.groupBy("bucket").applyInPandas(lambda batch: _resolve(batch, length), "doc_id long, spans binary")
+    spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    # The texts are dealt by document once: both joins read the same exchange.
+    apart = base.filter("doc_id IS NULL").mapInArrow(_squeezed, "doc_id long, text binary")
+    return texts.join(spans, "doc_id", "left").unionAll(apart.withColumn("spans", F.lit(None).cast("array<binary>")))
 
 
 def _phrase_rows(buckets: list[int], columns: list[list], spans: list) -> pa.RecordBatch:
@@ -251,10 +247,10 @@ def remove_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step in steps(batches):
+        for step in steps(batches, limit=_PACKED_STEP):
             out: list[list] = [[], [], [], []]
             for text, packed in zip(step.column(1).to_pylist(), step.column(2).to_pylist()):
-                data = (text or "").encode("utf-8")
+                data = decompress(text)
                 pairs = np.frombuffer(b"".join(packed or ()), "<i8").reshape(-1, 2)
                 pairs = pairs[pairs[:, 1] <= len(data)]
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
