@@ -37,134 +37,132 @@ _SLOTS = 1 << 12
 _STEP_WEIGHT, _MOST_WEIGHT = 24, 2_048
 _U = np.uint64
 _TOP, _BOTTOM, _LOW_MASK = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
-_16, _48 = _U(16), _U(48)
+_16, _48, _52 = _U(16), _U(48), _U(52)
+_ID_MASK, _SURE = (1 << 32) - 1, 32  # of an entry: the id, and above it the confidence
 FILES = "part int, segment int, data binary"
 READ = "part int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long"
-
-
-def _start_weights() -> np.ndarray:
-    """Weights of order 2, order 1, order 0 and a new id, for each pair of confidences."""
-    out = np.empty((4, 4, 4), np.uint16)
-    for sure2 in range(4):
-        for sure1 in range(4):
-            out[sure2, sure1] = (6 * sure2, 4 * sure1, 24, 16)
-    return out.reshape(16, 4)
+# Weights at first of order 2, order 1, order 0 and a new id, for confidences (order 2, order 1).
+_START = [(6 * sure2, 4 * sure1, 24, 16) for sure2 in range(4) for sure1 in range(4)]
 
 
 class Mixer:
     """The statistics of all blocks: the same for the encoder and the decoder."""
 
-    def __init__(self, blocks: int, vocabulary: int):
-        self.vocabulary = vocabulary
+    def __init__(self, blocks: int):
         self.lane = np.arange(blocks)
-        self.table = [np.zeros(blocks * _SLOTS, np.uint32) for _ in range(2)]  # id and confidence
-        self.weights = np.tile(_start_weights(), (blocks, 1))
-        self.last = np.zeros((2, blocks), np.uint64)
-        self.seen = np.zeros((blocks, 0), np.uint32)  # sorted ids so far
-        self.left = self.count = self.seen
+        self.base, self.base16 = self.lane * _SLOTS, self.lane * 16
+        self.table = [np.zeros(blocks * _SLOTS, np.int64) for _ in range(2)]
+        self.weights = [np.tile(np.array([w[k] for w in _START], np.int64), blocks) for k in range(4)]
+        self.last, self.older = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+        self.seen = self.left = self.count = np.zeros((blocks, 0), np.int64)  # sorted ids so far
+        self.upto = np.zeros((5, blocks), np.uint64)
 
     def refresh(self, ids: np.ndarray) -> None:
         """Order 0 from now on: the ids so far (blocks x ids)."""
         self.seen = np.sort(ids, axis=1)
         n = ids.shape[1]
-        new = np.concatenate([np.ones((len(ids), 1), bool), self.seen[:, 1:] != self.seen[:, :-1]], axis=1)
+        edge = np.ones((len(ids), 1), bool)
+        new = np.concatenate([edge, self.seen[:, 1:] != self.seen[:, :-1]], axis=1)
         place = np.arange(n)
         self.left = np.maximum.accumulate(np.where(new, place, 0), axis=1)
-        last = np.concatenate([new[:, 1:], np.ones((len(ids), 1), bool)], axis=1)
+        last = np.concatenate([new[:, 1:], edge], axis=1)
         right = np.minimum.accumulate(np.where(last, place, n)[:, ::-1], axis=1)[:, ::-1]
         self.count = right - self.left + 1
 
     def predict(self) -> None:
-        one, two = self.last
-        base = self.lane * _SLOTS
-        mixed = (one * _U(0x9E3779B97F4A7C15)) ^ (two * _U(0xC2B2AE3D27D4EB4F))
-        mixed = (mixed ^ (mixed >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-        self.slot = (
-            base + ((one * _U(0x9E3779B97F4A7C15)) >> _U(52)).astype(np.int64), base + (mixed >> _U(52)).astype(np.int64)
-        )
-        found = self.table[0][self.slot[0]], self.table[1][self.slot[1]]
-        self.sure = found[0] >> np.uint32(30), found[1] >> np.uint32(30)
-        self.guess = found[0] & np.uint32(0x3FFFFFFF), found[1] & np.uint32(0x3FFFFFFF)
-        self.context = self.lane * 16 + (self.sure[1] * np.uint32(4) + self.sure[0]).astype(np.int64)
-        weight = self.weights[self.context].astype(np.uint64)
-        weight[:, 1] *= (self.guess[0] != self.guess[1]) | (self.sure[1] == 0)  # the same guess counts once
-        if not self.seen.shape[1]:
-            weight[:, 2] = 0
-        self.upto = np.cumsum(weight, axis=1)
-        self.weight = weight
+        one, two = self.last.view(np.uint64), self.older.view(np.uint64)
+        single = one * _U(0x9E3779B97F4A7C15)
+        both = (single ^ (two * _U(0xC2B2AE3D27D4EB4F))) * _U(0xBF58476D1CE4E5B9)
+        self.slot1 = self.base + (single >> _52).view(np.int64)
+        self.slot2 = self.base + (both >> _52).view(np.int64)
+        found1, found2 = self.table[0][self.slot1], self.table[1][self.slot2]
+        self.sure1, self.sure2 = found1 >> _SURE, found2 >> _SURE
+        self.guess1, self.guess2 = found1 & _ID_MASK, found2 & _ID_MASK
+        self.context = self.base16 + self.sure2 * 4 + self.sure1
+        upto = self.upto
+        upto[1] = self.weights[0][self.context]
+        # the same guess counts once
+        upto[2] = upto[1] + (self.weights[1][self.context] * ((found1 ^ found2) & _ID_MASK != 0)).view(np.uint64)
+        upto[3] = upto[2]
+        if self.seen.shape[1]:
+            upto[3] += self.weights[2][self.context].view(np.uint64)
+        upto[4] = upto[3] + self.weights[3][self.context].view(np.uint64)
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        for order in range(2):
-            same = (self.guess[order] == ids) & (self.sure[order] > 0)
-            sure = np.where(same, np.minimum(self.sure[order] + np.uint32(1), np.uint32(3)), np.uint32(1))
-            self.table[order][self.slot[order]] = ids | (sure << np.uint32(30))
-        at = self.weights.reshape(-1)
-        place = self.context * 4 + event
-        raised = at[place] + np.uint16(_STEP_WEIGHT)
-        at[place] = raised
-        if raised.max() > _MOST_WEIGHT:
-            many = self.context[raised > _MOST_WEIGHT]
-            self.weights[many] = (self.weights[many] + np.uint16(1)) >> np.uint16(1)
-        self.last = np.stack([ids.astype(np.uint64), self.last[0]])
+        for table, slot, guess, sure in (
+            (self.table[0], self.slot1, self.guess1, self.sure1), (self.table[1], self.slot2, self.guess2, self.sure2)
+        ):
+            # an empty entry has no confidence, so the id 0 starts at one like any other
+            table[slot] = ids | (np.minimum(sure * (guess == ids) + 1, 3) << _SURE)
+        for k in range(4):
+            some = self.context[event == k]
+            if len(some):
+                raised = self.weights[k][some] + _STEP_WEIGHT
+                self.weights[k][some] = raised
+                if raised.max() > _MOST_WEIGHT:
+                    many = some[raised > _MOST_WEIGHT]
+                    for w in self.weights:
+                        w[many] = (w[many] + 1) >> 1
+        self.last, self.older = ids, self.last
+
+
+def _shift(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The blocks whose coder has settled its next 16 bits, or must, lest its span becomes too small."""
+    settled = (low ^ (low + span)) < _TOP
+    small = span < _BOTTOM
+    lanes = np.flatnonzero(settled | small)
+    if len(lanes) and small.any():
+        short = np.flatnonzero(small & ~settled)
+        span[short] = (~low[short] + _U(1)) & _LOW_MASK
+    return lanes
 
 
 def _encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """The coded bytes of each row of ``ids`` (blocks x ids)."""
+    ids = ids.astype(np.int64)
     blocks, n = ids.shape
-    mixer = Mixer(blocks, vocabulary)
+    mixer = Mixer(blocks)
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
     out, used = np.zeros((blocks, n * 3 + 8), np.uint16), np.zeros(blocks, np.int64)
-    left = count = None
+    by_step = np.ascontiguousarray(ids.T)
 
     def emit(lanes: np.ndarray) -> None:
-        out[lanes, used[lanes]] = (low[lanes] >> _48).astype(np.uint16)
+        low_ = low[lanes]
+        out[lanes, used[lanes]] = low_ >> _48
         used[lanes] += 1
-        low[lanes] <<= _16
+        low[lanes] = low_ << _16
         span[lanes] <<= _16
 
     borders = [0, *(r for r in _REFRESH if r < n), n]
     for begin, end in zip(borders, borders[1:]):
+        # Where each id of this stretch stands among the ids so far; new ids are spread evenly.
+        start, part = by_step[begin:end].astype(np.uint64), np.ones((end - begin, blocks), np.uint64)
+        wide, old = np.full((end - begin, blocks), vocabulary, np.uint64), np.zeros((end - begin, blocks), bool)
         if begin:
             mixer.refresh(ids[:, :begin])
-            # Where each id of this stretch stands among the ids so far.
-            lane = (mixer.lane << 32)[:, None]
-            known, asked = (lane + mixer.seen).ravel(), (lane + ids[:, begin:end]).ravel()
-            first = np.searchsorted(known, asked)
-            at = np.minimum(first, len(known) - 1)
-            hit = known[at] == asked
-            left = np.where(hit, mixer.left.ravel()[at], 0).reshape(blocks, -1).astype(np.uint64)
-            count = np.where(hit, mixer.count.ravel()[at], 0).reshape(blocks, -1).astype(np.uint64)
-        size = _U(max(begin, 1))
-        for t in range(begin, end):
+            lane = mixer.lane << 32
+            known, asked = (lane[:, None] + mixer.seen).ravel(), (lane + by_step[begin:end])
+            at = np.minimum(np.searchsorted(known, asked.ravel()), len(known) - 1).reshape(asked.shape)
+            old = known[at] == asked
+            start[old], part[old], wide[old] = mixer.left.ravel()[at[old]], mixer.count.ravel()[at[old]], begin
+        event = np.where(old, 2, 3)
+        for t in range(end - begin):
             mixer.predict()
-            own = ids[:, t]
-            event = np.full(blocks, 3)
-            wide, start, part = np.full(blocks, vocabulary, np.uint64), own.astype(np.uint64), np.ones(blocks, np.uint64)
-            if begin:
-                old = count[:, t - begin] > 0
-                event[old] = 2
-                wide[old], start[old], part[old] = size, left[old, t - begin], count[old, t - begin]
-            hit1 = (mixer.guess[0] == own) & (mixer.weight[:, 1] > 0)
-            hit2 = (mixer.guess[1] == own) & (mixer.weight[:, 0] > 0)
-            event[hit1], event[hit2] = 1, 0
-            named = hit1 | hit2
-            wide[named], start[named], part[named] = 1, 0, 1
-            each = span // mixer.upto[:, 3]
-            own_weight = mixer.weight[mixer.lane, event]
-            low += each * (mixer.upto[mixer.lane, event] - own_weight)
-            span = each * own_weight // wide
-            low += span * start
-            span *= part
-            mixer.update(own, event)
-            while True:
-                settled = (low ^ (low + span)) < _TOP
-                small = ~settled & (span < _BOTTOM)
-                lanes = np.flatnonzero(settled | small)
-                if not len(lanes):
-                    break
-                short = np.flatnonzero(small)
-                if len(short):
-                    span[short] = (~low[short] + _U(1)) & _LOW_MASK
+            own = by_step[begin + t]
+            hit = event[t]
+            hit[(mixer.guess1 == own) & (mixer.upto[2] > mixer.upto[1])] = 1
+            hit[(mixer.guess2 == own) & (mixer.upto[1] > 0)] = 0
+            named = hit < 2
+            place = hit * blocks + mixer.lane
+            before = mixer.upto.ravel()[place]
+            each = span // mixer.upto[4]
+            low += each * before
+            span = each * (mixer.upto.ravel()[place + blocks] - before)
+            each = span // np.where(named, _U(1), wide[t])
+            low += each * np.where(named, _U(0), start[t])
+            span = each * np.where(named, _U(1), part[t])
+            mixer.update(own, hit)
+            while len(lanes := _shift(low, span)):
                 emit(lanes)
     for _ in range(4):
         emit(mixer.lane)
@@ -174,9 +172,10 @@ def _encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
 def _decode(coded: list[bytes], n: int, vocabulary: int) -> np.ndarray:
     """The ids (blocks x ``n``) of blocks coded by :func:`_encode`."""
     blocks = len(coded)
-    mixer = Mixer(blocks, vocabulary)
+    mixer = Mixer(blocks)
     words = [np.frombuffer(c, "<u2") for c in coded]
-    given = np.zeros((blocks, max(len(w) for w in words) + 4), np.uint64)
+    width = max(len(w) for w in words) + 4
+    given = np.zeros((blocks, width), np.uint16)
     for i, w in enumerate(words):
         given[i, : len(w)] = w
     code = np.zeros(blocks, np.uint64)
@@ -184,51 +183,50 @@ def _decode(coded: list[bytes], n: int, vocabulary: int) -> np.ndarray:
         code = (code << _16) | given[:, j]
     used = np.full(blocks, 4)
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
-    ids = np.zeros((blocks, n), np.uint32)
+    by_step = np.zeros((n, blocks), np.int64)
     borders = [0, *(r for r in _REFRESH if r < n), n]
+    wide = np.array([1, 1, 1, vocabulary], np.uint64)
     for begin, end in zip(borders, borders[1:]):
         if begin:
-            mixer.refresh(ids[:, :begin])
-        size = _U(max(begin, 1))
+            mixer.refresh(np.ascontiguousarray(by_step[:begin].T))
+            seen, left, count = mixer.seen.ravel(), mixer.left.ravel(), mixer.count.ravel()
+            wide[2] = begin
         for t in range(begin, end):
             mixer.predict()
-            each = span // mixer.upto[:, 3]
-            value = np.minimum((code - low) // each, mixer.upto[:, 3] - _U(1))
-            event = (value[:, None] >= mixer.upto[:, :3]).sum(axis=1)
-            own_weight = mixer.weight[mixer.lane, event]
-            low += each * (mixer.upto[mixer.lane, event] - own_weight)
-            span = each * own_weight
-            own = np.where(event == 0, mixer.guess[1], mixer.guess[0])
-            wide = np.ones(blocks, np.uint64)
-            old, new = event == 2, event == 3
-            wide[old], wide[new] = size, vocabulary
-            span //= wide
-            place = np.minimum((code - low) // span, wide - _U(1))
-            lanes = np.flatnonzero(new)
-            own[lanes] = place[lanes]
-            low[lanes] += span[lanes] * place[lanes]
-            lanes = np.flatnonzero(old)
-            if len(lanes):
-                at = place[lanes].astype(np.int64)
-                own[lanes] = mixer.seen[lanes, at]
-                low[lanes] += span[lanes] * mixer.left[lanes, at].astype(np.uint64)
-                span[lanes] *= mixer.count[lanes, at].astype(np.uint64)
-            ids[:, t] = own
+            upto = mixer.upto
+            each = span // upto[4]
+            value = np.minimum((code - low) // each, upto[4] - _U(1))
+            event = (value >= upto[1]).astype(np.int64)
+            event += value >= upto[2]
+            event += value >= upto[3]
+            place = event * blocks + mixer.lane
+            before = upto.ravel()[place]
+            low += each * before
+            span = each * (upto.ravel()[place + blocks] - before)
+            own = np.where(event == 0, mixer.guess2, mixer.guess1)
+            total = wide[event]
+            span //= total
+            lanes = np.flatnonzero(event >= 2)
+            at = np.minimum((code[lanes] - low[lanes]) // span[lanes], total[lanes] - _U(1))
+            start, ids = at, at.view(np.int64)
+            if begin:
+                old = event[lanes] == 2
+                where = mixer.lane[lanes] * begin + np.where(old, ids, 0)
+                start = np.where(old, left[where].view(np.uint64), at)
+                ids = np.where(old, seen[where], ids)
+                low[lanes] += span[lanes] * start
+                span[lanes] *= np.where(old, count[where], 1).view(np.uint64)
+            else:
+                low[lanes] += span[lanes] * start
+            own[lanes] = ids
+            by_step[t] = own
             mixer.update(own, event)
-            while True:
-                settled = (low ^ (low + span)) < _TOP
-                small = ~settled & (span < _BOTTOM)
-                lanes = np.flatnonzero(settled | small)
-                if not len(lanes):
-                    break
-                short = np.flatnonzero(small)
-                if len(short):
-                    span[short] = (~low[short] + _U(1)) & _LOW_MASK
+            while len(lanes := _shift(low, span)):
                 low[lanes] <<= _16
                 span[lanes] <<= _16
                 code[lanes] = (code[lanes] << _16) | given[lanes, used[lanes]]
-                used[lanes] = np.minimum(used[lanes] + 1, given.shape[1] - 1)
-    return ids
+                used[lanes] = np.minimum(used[lanes] + 1, width - 1)
+    return np.ascontiguousarray(by_step.T).astype(np.uint32)
 
 
 def write_segment(doc_ids: list[int | None], docs: list[np.ndarray], vocabulary: int) -> bytes:
