@@ -7,21 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlglass.llm import language_id, line_dedup, minhash, mixing, packing
+from crawlglass.llm.shipping import ship
 from crawlglass.storage import new_path
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words mostly belong to one language; the model learns from all labelled documents."""
+    ship(spark)
     return language_id.accepted(docs, language_id.train(docs))
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier line equals or nearly equals; emptied documents go."""
+    ship(spark)
     return line_dedup.without_duplicate_lines(docs)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
+    ship(spark)
     return minhash.without_near_duplicates(docs)
 
 
@@ -32,6 +36,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the training sequences."""
+    ship(spark)
     return packing.pack_documents(docs)
 
 
