@@ -8,7 +8,6 @@ and analyse them independently.
 
 from __future__ import annotations
 
-from crawlglass.sources.fetch_log import spread
 
 
 def _cases(*pairs: tuple[str, str], default: str = "''") -> str:
@@ -217,6 +216,12 @@ EVENT_LOG = [
 ROBOTS_AGENT = "Mozilla/5.0 (compatible; auditbot/1.0)"
 
 
+def spread(scan):
+    """Use all cores on a test table of few partitions (a Parquet row group is not split further)."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def spark_pages(spark, sf_dir: str):
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

@@ -12,7 +12,8 @@ from crawlglass.operators import duplicates, hreflang, link_status, rules, tally
 from crawlglass.operators.body import heading_steps
 from crawlglass.plans import crawl
 from crawlglass.plans.page_audit import page_columns, page_facts
-from crawlglass.plans.site_audit import apply_findings, site_findings
+from crawlglass.plans.run import audit_run
+from crawlglass.plans.site_audit import apply_findings, issue_rows, site_findings
 from crawlglass.schema import REPORT_TYPES
 from crawlglass.sinks import report as sinks
 from crawlglass.sources import fetch_log, robots, sitemaps, url_list
@@ -142,7 +143,7 @@ register("prj_anchor_quality", enriched(_COUNTS[-2:]), _count_sql(_COUNTS[-2:]))
 
 
 def _pixel_width(spark, sf_dir):
-    docs = fetch_log.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select(
         "doc_id", T.pixel_width(F.col("text"), 20).alias("title_px"), T.pixel_width(F.col("text"), 14).alias("description_px")
     )
@@ -365,11 +366,16 @@ register("sort_status", _statuses(tally.status_histogram), _STATUS_SQL)
 register("agg_indexable", _statuses(tally.indexable_share),
          Q.query("SELECT count_if(indexability_reason = '') AS n_indexable, count(*) AS n_pages FROM facts", Q.CTES))
 _KEY = "trim(split_part(regexp_replace(message, '[0-9]+', 'N', 'g'), ':', 1))"
-register("agg_issue_tally", lambda s, d: tally.issue_tally(audited(s, d)).select("issue", "n"),
+def _issue_rows(spark, sf_dir):
+    facts = materialize(page_facts(C.enriched_log(spark, sf_dir)), "facts")
+    return issue_rows(facts, materialize(spark_link_status(facts), "status"))
+
+
+register("agg_issue_tally", lambda s, d: tally.tally_rows(_issue_rows(s, d)).select("issue", "n"),
          Q.query(f"SELECT {_KEY} AS issue, count(*) AS n FROM issues GROUP BY 1"))
 _TOP = Q.query(f"""SELECT issue, n FROM (SELECT {_KEY} AS issue, count(*) AS n, min(crawl_seq * 1000000 + seq * 1000 + pos) AS first_seen FROM issues GROUP BY 1)
 ORDER BY n DESC, first_seen LIMIT 12""")
-register("topk_issues", lambda s, d: tally.top_issues(audited(s, d)), _TOP)
+register("topk_issues", lambda s, d: tally.top_issues(_issue_rows(s, d)), _TOP)
 register("sink_summary", lambda s, d: sinks.summary(audited(s, d))["issues"], _TOP)
 _ALL_ISSUES = Q.query("SELECT crawl_seq, count(*) AS n_issues, string_agg(message, ' # ' ORDER BY seq, pos, message) AS issues FROM issues GROUP BY crawl_seq")
 
@@ -430,7 +436,7 @@ def _list_only(spark, sf_dir):
     seeds = C.derived(spark, sf_dir, [("start_url", C.page_url(C.ROOT)), ("url", "url"), ("pos", C.K)])
     seeds = seeds.withColumn("start_url", F.lit("https://list.example"))
     links = spark.createDataFrame([], "url string, pos int, target string")
-    return crawl.crawl_expand(seeds, links, max_pages=0, list_only=True).select("url", "depth")
+    return crawl.crawl_expand(seeds, links, list_only=True).select("url", "depth")
 
 
 register("flt_list_only", _list_only, f"SELECT DISTINCT {Q.norm('url')} AS url, 0 AS depth FROM pages")
@@ -561,14 +567,34 @@ def _crawl(spark, sf_dir, **options):
     return crawl.crawl_expand(seeds, links, **options)
 
 
-register("crawl_expand", lambda s, d: _crawl(s, d, max_pages=0, max_depth=5).select("site", "url", "depth"),
+register("crawl_expand", lambda s, d: _crawl(s, d, max_depth=5).select("site", "url", "depth"),
          _crawl_sql(5, "SELECT site, url, depth FROM found"))
-register("limit_depth", lambda s, d: _crawl(s, d, max_pages=0, max_depth=2).groupBy("site", "depth").agg(F.count(F.lit(1)).alias("n")),
+register("limit_depth", lambda s, d: _crawl(s, d, max_depth=2).groupBy("site", "depth").agg(F.count(F.lit(1)).alias("n")),
          _crawl_sql(2, "SELECT site, depth, count(*) AS n FROM found GROUP BY ALL"))
 register("limit_max_pages", lambda s, d: _crawl(s, d, max_pages=7, max_depth=3).groupBy("site").agg(F.count(F.lit(1)).alias("n")),
          _crawl_sql(3, "SELECT site, least(count(*), 7) AS n FROM found GROUP BY site"))
 
 
+_RUN_COLUMNS = ["url", "status_code", "title", "h1_count", "word_count", "images_total", "indexability_reason"]
+
+
+def _audit_run(**options):
+    """A run over the whole log, from the first start URL."""
+    def run(spark, sf_dir):
+        log = C.enriched_log(spark, sf_dir).drop("crawl_seq")
+        start = C.derived(spark, sf_dir, C.CRAWL_SEEDS).agg(F.min("start_url")).first()[0]
+        return audit_run(log, start_url=start, **options).select(*_RUN_COLUMNS)
+
+    return run
+
+
+_RUN_SQL = """SELECT found.url, coalesce(facts.status_code, -1) AS status_code, coalesce(facts.title, '') AS title,
+  coalesce(facts.h1_count, 0) AS h1_count, coalesce(facts.word_count, 0) AS word_count, coalesce(facts.images_total, 0) AS images_total,
+  CASE WHEN facts.url IS NULL THEN 'request failed: not collected' ELSE facts.indexability_reason END AS indexability_reason
+FROM found LEFT JOIN facts ON facts.url = found.url WHERE found.site = (SELECT min(site) FROM reach WHERE url = (SELECT min(url) FROM seeds))"""
+register("audit_run", _audit_run(), _crawl_sql(1000, _RUN_SQL))
+
+
 def _hops(spark, sf_dir):
     return crawl.page_links(page_columns(C.enriched_log(spark, sf_dir), ["url", "links"]))
 
@@ -596,10 +622,10 @@ for _key in ("join_visited_anti", "set_frontier_minus_visited"):
 # ---------------------------------------------------------------- fetch log
 _EV = f"WITH ev AS ({C.sql_select(C.EVENT_LOG, 'events')}) "
 register("win_retry_rollup", lambda s, d: fetch_log.retry_rollup(C.event_log(s, d)),
-         _EV + "SELECT url, arg_max(status_code, attempt) AS status_code, count(*) AS n_attempts, "
+         _EV + "SELECT url, arg_max(status_code, CAST(epoch_us(fetched_at) AS HUGEINT) * 10000000 + attempt) AS status_code, count(*) AS n_attempts, "
          "count_if(status_code IN (429, 500, 502, 503, 504)) AS n_retryable FROM ev GROUP BY url")
 register("final_attempts", lambda s, d: fetch_log.final_attempts(C.event_log(s, d)),
-         _EV + "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY attempt DESC) AS rn FROM ev) WHERE rn = 1")
+         _EV + "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, attempt DESC) AS rn FROM ev) WHERE rn = 1")
 
 
 def _link_status_log(spark, sf_dir):

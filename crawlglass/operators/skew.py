@@ -84,6 +84,25 @@ def join_unique(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_many(rows: DataFrame, starts: DataFrame, key: str, piece: int = 1_000) -> DataFrame:
+    """Inner join of two sides that may both repeat ``key``.
+
+    The rows of a key are dealt to as many pieces as hold about ``piece`` rows of ``rows`` each, and the other side
+    comes to every piece, so a key that is frequent on both sides is still shared by many tasks.  The number of pieces
+    comes from exact counts of the keys that ``starts`` holds.
+    """
+    wanted = rows.join(starts.select(key).distinct(), key, "left_semi")
+    pieces = wanted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_pieces"))
+    pieces = pieces.filter("_pieces > 1")
+    dealt = wanted.join(pieces, key, "left").withColumn(
+        "_piece", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_pieces", F.lit(1))).cast("int")
+    )
+    met = starts.join(pieces, key, "left").withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+    )
+    return dealt.drop("_pieces").join(met.drop("_pieces"), [key, "_piece"]).drop("_piece")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key: a partial aggregate, so hot keys shrink before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -118,12 +137,12 @@ def with_position(df: DataFrame, order: list[str], name: str, label: str) -> Dat
     )
 
 
-def with_group_position(df: DataFrame, group: str, order: list[str], name: str, label: str) -> DataFrame:
+def with_group_position(df: DataFrame, groups: list[str], order: list[str], name: str, label: str) -> DataFrame:
     """Dense 0-based rank within each group; a hot group is still sorted by many tasks."""
-    ranked = materialize(with_position(df, [group, *order], "_global", label), label)
-    starts = ranked.groupBy(group).agg(
+    ranked = materialize(with_position(df, [*groups, *order], "_global", label), label)
+    starts = ranked.groupBy(*groups).agg(
         F.min("_global").alias("_start"), F.count(F.lit(1)).alias("_n")
     )
-    hot = hot_keys(starts, [group], "_n", HOT_ROWS)
-    joined = join_unique(ranked, starts.drop("_n"), [group], spread="_global", hot=hot)
+    hot = hot_keys(starts, groups, "_n", HOT_ROWS)
+    joined = join_unique(ranked, starts.drop("_n"), groups, spread="_global", hot=hot)
     return joined.withColumn(name, F.col("_global") - F.col("_start")).drop("_global", "_start")

@@ -28,6 +28,15 @@ def issue_tally(report: DataFrame, order: str = "crawl_seq") -> DataFrame:
     )
 
 
+def tally_rows(issues: DataFrame) -> DataFrame:
+    """The same from one row an issue, ``(crawl_seq, seq, pos, message)``: one partial aggregate, no page is built."""
+    return issues.groupBy(issue_key(F.col("message")).alias("issue")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("crawl_seq", "seq", "pos")).alias("first_seen")
+    )
+
+
 def top_issues(report: DataFrame, k: int = 12, order: str = "crawl_seq") -> DataFrame:
-    ranked = issue_tally(report, order).orderBy(F.desc("n"), "first_seen").limit(k)
+    """Of a page report, or of issue rows."""
+    counted = tally_rows(report) if "message" in report.columns else issue_tally(report, order)
+    ranked = counted.orderBy(F.desc("n"), "first_seen").limit(k)
     return ranked.select("issue", "n")

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from crawlglass.functions import urls
-from crawlglass.operators.skew import first_per_key
+from crawlglass.operators.skew import first_per_key, join_many
 from crawlglass.sources.robots import with_robots_decision
-from crawlglass.sources.sitemaps import _cap_per_site
+from crawlglass.sources.sitemaps import _cap_per_group
 from crawlglass.storage import materialize
 
-MAX_PAGES, MAX_DEPTH = 50, 3
-
 
 def merge_seeds(*sources: DataFrame) -> DataFrame:
     """``(url, source, pos)`` of several ``(url, pos)`` lists: normalised, first occurrence kept."""
@@ -52,15 +50,16 @@ def crawl_expand(
     seeds: DataFrame,
     links: DataFrame,
     policy: DataFrame | None = None,
-    max_pages: int = MAX_PAGES,
-    max_depth: int = MAX_DEPTH,
+    max_pages: int | None = None,
+    max_depth: int | None = None,
     same_domain: bool = True,
     list_only: bool = False,
 ) -> DataFrame:
     """URLs admitted by a breadth-first crawl: ``(site, host, url, depth, path)``.
 
-    ``seeds`` is ``(start_url, url, pos)``: every start URL is a crawl of its own
-    with its own page cap (0 = no cap).  ``links`` is :func:`page_links`.  Order is
+    ``seeds`` is ``(start_url, url, pos)``: every start URL is a crawl of its own.
+    Nothing is capped unless asked: ``max_pages`` holds for each crawl, and
+    ``max_depth`` 0 admits the seeds only.  ``links`` is :func:`page_links`.  Order is
     (depth, path), ``path`` being the link positions from the seed.  Each level is
     one job that ends in a written table; targets are reduced to their first
     occurrence by a partial aggregate before they meet the visited set.
@@ -72,8 +71,8 @@ def crawl_expand(
         F.lit(0).alias("depth"),
         F.array(F.col("pos").cast("bigint")).alias("path"),
     )
-    visited, total = None, 0
-    for depth in range(max_depth + 1):
+    visited, total, depth = None, 0, 0
+    while True:
         frontier = first_per_key(frontier, ["site", "host", "url"], ["path"])
         if visited is not None:
             frontier = frontier.join(visited, ["site", "host", "url"], "left_anti")
@@ -83,15 +82,15 @@ def crawl_expand(
         n = frontier.count()
         if max_pages and n + total > max_pages:
             frontier = materialize(
-                _cap_per_site(frontier, ["path"], max_pages, visited, "crawl-rank"), "crawl-level"
+                _cap_per_group(frontier, ["site", "host"], ["path"], max_pages, visited, "crawl-rank"), "crawl-level"
             )
             n = frontier.count()
         visited = frontier if visited is None else visited.unionByName(frontier)
         total += n
-        if n == 0 or list_only:
-            break
-        frontier = frontier.join(links, "url").select(
-            "site", "host", F.col("target").alias("url"), F.lit(depth + 1).alias("depth"),
+        if n == 0 or list_only or depth == max_depth:
+            return visited
+        depth += 1
+        frontier = join_many(links, frontier, "url").select(
+            "site", "host", F.col("target").alias("url"), F.lit(depth).alias("depth"),
             F.array_append("path", F.col("pos").cast("bigint")).alias("path"),
         )
-    return visited

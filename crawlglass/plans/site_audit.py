@@ -15,6 +15,7 @@ from crawlglass.operators.link_status import (
 from crawlglass.operators.rules import Rule
 from crawlglass.plans.page_audit import as_report, page_facts
 from crawlglass.schema import ISSUE_TYPE, REPORT_TYPES
+from crawlglass.sources.fetch_log import with_page_key
 from crawlglass.storage import materialize
 
 _LINKS = REPORT_TYPES["broken_links"]
@@ -30,8 +31,8 @@ def _findings(df: DataFrame, **columns) -> DataFrame:
     )
 
 
-def site_findings(facts: DataFrame, link_status: DataFrame | None = None) -> DataFrame:
-    """One row per page with anything found by a site pass."""
+def _found(facts: DataFrame, link_status: DataFrame | None) -> DataFrame:
+    """What the site passes find, one row a finding."""
     issue = F.struct("seq", "pos", "code", "message")
     found = _findings(duplicate_issues(duplicate_candidates(facts)), issue=issue).unionByName(
         _findings(hreflang_issues(facts), issue=issue)
@@ -55,8 +56,13 @@ def site_findings(facts: DataFrame, link_status: DataFrame | None = None) -> Dat
                 canonical_target_status=F.col("status"),
             )
         )
+    return found
+
+
+def site_findings(facts: DataFrame, link_status: DataFrame | None = None) -> DataFrame:
+    """One row per page with anything found by a site pass."""
     # At most eight issues per page: four duplicates, hreflang, two link counts, canonical.
-    return found.groupBy("crawl_seq").agg(
+    return _found(facts, link_status).groupBy("crawl_seq").agg(
         F.collect_list("issue").alias("_site_issues"),
         F.first("broken_links", ignorenulls=True).alias("broken_links"),
         F.first("redirecting_links", ignorenulls=True).alias("redirecting_links"),
@@ -75,6 +81,17 @@ def _link_issue(column: str, seq: int, label: str):
     ).cast(ISSUE_TYPE)
 
 
+def issue_rows(facts: DataFrame, link_status: DataFrame | None = None) -> DataFrame:
+    """``(crawl_seq, seq, pos, message)`` of all issues of all pages, without putting pages together again."""
+    found = _found(facts, link_status)
+    own = facts.select("crawl_seq", F.explode("page_issues").alias("i"))
+    site = found.filter("issue IS NOT NULL").select("crawl_seq", F.col("issue").alias("i"))
+    counts = found.select("crawl_seq", F.explode(F.array_compact(F.array(
+        _link_issue("broken_links", 33, " broken link(s)"), _link_issue("redirecting_links", 34, " redirecting link(s)")
+    ))).alias("i"))
+    return own.unionAll(site).unionAll(counts).select("crawl_seq", "i.seq", "i.pos", "i.message")
+
+
 def apply_findings(facts: DataFrame, findings: DataFrame) -> DataFrame:
     """Facts with the site passes' columns; ``all_issues`` is in rule order."""
     none = F.array().cast(f"array<{ISSUE_TYPE}>")
@@ -109,8 +126,9 @@ def audited_pages(
     """Facts, site findings and all issues per page.
 
     The facts are written once; the passes and the final join read columns of that table.
+    ``crawl_seq`` tells pages apart: see :func:`with_page_key`.
     """
-    facts = materialize(page_facts(fetch_log, rules), "facts")
+    facts = materialize(page_facts(with_page_key(fetch_log), rules), "facts")
     return apply_findings(facts, site_findings(facts, link_status))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crawlglass.functions import urls
+from crawlglass.operators.skew import with_position
 from crawlglass.schema import FETCH_LOG_SCHEMA
-from crawlglass.storage import materialize
 
 # Statuses that are tried again.
 RETRY_STATUSES = (429, 500, 502, 503, 504)
@@ -14,42 +14,75 @@ RETRY_STATUSES = (429, 500, 502, 503, 504)
 DEFAULT_DELAY, JITTER_FLOOR = 0.3, 0.85
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a file scan of few partitions (a Parquet row group is not split further).
+def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.schema(FETCH_LOG_SCHEMA).format(fmt).load(path)
+
+
+def read_link_status(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.schema("url string, status int, redirected boolean").format(fmt).load(path)
+
 
-    A scan with at least as many partitions as cores, as any large one has, is left
-    alone.  Only for plain scans: asking other plans for their partitions may run them.
+def assign_crawl_seq(log: DataFrame) -> DataFrame:
+    """Number the pages by fetch time.
+
+    Only fetch time, URL and attempt are sorted; page texts move once, to meet their number.  Rows that agree in all
+    three share a number: reduce the log to :func:`final_fetches` first.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    key = ["fetched_at", "url", "attempt"]
+    numbers = with_position(log.select(*key).distinct(), ["fetched_at", "url", "attempt"], "crawl_seq", "crawl-seq")
+    return log.drop("crawl_seq").join(numbers.toDF(*(f"_{c}" if c in key else c for c in numbers.columns)), [
+        F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key
+    ]).drop(*(f"_{c}" for c in key))
 
 
-def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spread(spark.read.schema(FETCH_LOG_SCHEMA).format(fmt).load(path))
+def with_page_key(log: DataFrame) -> DataFrame:
+    """``log`` with a ``crawl_seq`` that tells its rows apart.
 
+    A log without numbers gets them by fetch time; numbers that are partly missing, or not unique, are refused, as
+    findings of one page would be reported for another.
+    """
+    if "crawl_seq" not in log.columns:
+        return assign_crawl_seq(log)
+    known = log.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("crawl_seq").alias("numbered"), F.count_distinct("crawl_seq").alias("different")
+    ).first()
+    if known.rows and not known.numbered:
+        return assign_crawl_seq(log)
+    if known.numbered < known.rows or known.different < known.rows:
+        raise ValueError("crawl_seq must be set and unique for every row of the fetch log, or for none")
+    return log
 
-def assign_crawl_seq(log: DataFrame) -> DataFrame:
-    """Number the pages by fetch time; the table is written, so numbers stay fixed."""
-    ordered = log.drop("crawl_seq").orderBy("fetched_at", "url")
-    return materialize(ordered.withColumn("crawl_seq", F.monotonically_increasing_id()), "fetch-log")
+
+def _last_first(log: DataFrame) -> list[str]:
+    return [c for c in ("fetched_at", "attempt") if c in log.columns]
 
 
 def retry_rollup(log: DataFrame) -> DataFrame:
     """Per URL: status of the last attempt, attempts, and how many were retryable."""
     return log.groupBy("url").agg(
-        F.max_by("status_code", "attempt").alias("status_code"),
+        F.max_by("status_code", F.struct(*_last_first(log), "status_code")).alias("status_code"),
         F.count(F.lit(1)).alias("n_attempts"),
         F.count_if(F.col("status_code").isin(*RETRY_STATUSES)).alias("n_retryable"),
     )
 
 
 def final_attempts(log: DataFrame) -> DataFrame:
-    """Rows of the last attempt of each URL.
+    """One row for each URL: its last attempt, by fetch time, attempt and status."""
+    return _last_of(log, F.col("url"))
 
-    The winner is found on the two narrow columns; page texts move only once.
-    """
-    last = log.groupBy("url").agg(F.max("attempt").alias("attempt"))
-    return log.join(last, ["url", "attempt"], "left_semi")
+
+def final_fetches(log: DataFrame) -> DataFrame:
+    """One row for each normalised URL: its last fetch, as ``/a`` and ``/a/`` are one page."""
+    return _last_of(log, urls.normalize(F.col("url")))
+
+
+def _last_of(log: DataFrame, page: Column) -> DataFrame:
+    """The winners are found on narrow columns; page texts move only once, to meet them."""
+    rows = log.withColumn("_page", page).withColumn(
+        "_at", F.struct(*_last_first(log), "status_code", "url", F.xxhash64(*(c for c, kind in log.dtypes if "map<" not in kind)).alias("h"))
+    )
+    last = rows.groupBy("_page").agg(F.max("_at").alias("_at"))
+    return rows.join(last, ["_page", "_at"], "left_semi").dropDuplicates(["_page"]).drop("_page", "_at")
 
 
 def link_status_from_log(log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crawlglass.functions import text as T, urls
 from crawlglass.operators.skew import join_unique
@@ -11,8 +11,21 @@ from crawlglass.operators.skew import join_unique
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def read_robots_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(host, status, text)`` of stored robots.txt files, each named ``<host>.txt``."""
+    files = spark.read.text(path, wholetext=True)
+    file_name = T.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return files.select(F.regexp_replace(file_name, r"\.txt$", "").alias("host"), F.lit(200).alias("status"), F.col("value").alias("text"))
+
+
+def _latest(robots_txt: DataFrame) -> DataFrame:
+    """One text a host: the last fetched, where the table says so, then the greatest."""
+    order = [F.col("fetched_at")] if "fetched_at" in robots_txt.columns else []
+    return robots_txt.filter("status = 200").groupBy("host").agg(F.max_by("text", F.struct(*order, "text")).alias("text"))
+
+
 def _lines(robots_txt: DataFrame) -> DataFrame:
-    return robots_txt.filter("status = 200").select(
+    return _latest(robots_txt).select(
         "host", F.posexplode(F.split("text", LINE_END, -1)).alias("line_no", "line")
     )
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import gzip
 import sys
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from crawlglass.functions import html as H, text as T, urls
-from crawlglass.operators.skew import first_per_key, join_unique, with_group_position
+from crawlglass.operators.skew import first_per_key, join_many, join_unique, with_group_position
 from crawlglass.storage import materialize
 
 LOC_REGEX = r"(?is)<loc>\s*(.*?)\s*</loc>"
-MAX_SITEMAPS = 200
 GZIP_MAGIC = "1F8B"
 
 
@@ -23,7 +23,7 @@ def _unzipped(body: bytes) -> bytes:
     """The unpacked body; what only looked like gzip is passed on as it is."""
     try:
         return gzip.decompress(body)
-    except (OSError, EOFError):
+    except (OSError, EOFError, zlib.error):
         return body
 
 
@@ -38,16 +38,25 @@ def sitemap_docs(fetched: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [_unzipped(b) if b is not None else None for b in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("sitemap_url"), pa.array(bodies, pa.binary())], names=["sitemap_url", "body"]
-            )
+            for i in range(batch.num_rows):  # one unpacked body at a time is held
+                body = batch.column("body")[i].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("sitemap_url").slice(i, 1), pa.array([None if body is None else _unzipped(body)], pa.binary())],
+                    names=["sitemap_url", "body"],
+                )
 
     unpacked = ok.filter(zipped).mapInArrow(unpack, "sitemap_url string, body binary")
     both = ok.filter(~F.coalesce(zipped, F.lit(False))).unionByName(unpacked)
     return both.withColumn("body", F.make_valid_utf8(F.col("body").cast("string")))
 
 
+def read_sitemap_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:
+    """``(sitemap_url, status, body)`` of stored sitemap files; the URL is ``base_url`` and the file's name."""
+    files = spark.read.format("binaryFile").load(path)
+    file_name = T.url_decode(F.element_at(F.split("path", "/"), -1))
+    return files.select(F.concat(F.lit(base_url), file_name).alias("sitemap_url"), F.lit(200).alias("status"), F.col("content").alias("body"))
+
+
 def locations(body: Column) -> Column:
     """Unescaped ``<loc>`` texts in document order."""
     return F.transform(H.extract_all(body, LOC_REGEX, 1), urls.xml_unescape)
@@ -57,12 +66,14 @@ def is_index(body: Column) -> Column:
     return F.contains(F.lower(body), F.lit("<sitemapindex"))
 
 
-def _cap_per_site(df: DataFrame, order: list[str], cap: int, taken: DataFrame | None, label: str) -> DataFrame:
-    """Keep rows while the site's total, earlier rows included, stays within ``cap``."""
-    ranked = with_group_position(df, "site", order, "_pos", label)
+def _cap_per_group(
+    df: DataFrame, groups: list[str], order: list[str], cap: int, taken: DataFrame | None, label: str
+) -> DataFrame:
+    """Keep rows while the group's total, earlier rows included, stays within ``cap``."""
+    ranked = with_group_position(df, groups, order, "_pos", label)
     if taken is not None:
-        used = taken.groupBy("site").agg(F.count(F.lit(1)).alias("_used"))
-        ranked = join_unique(ranked, used, ["site"], spread="_pos", how="left")
+        used = taken.groupBy(*groups).agg(F.count(F.lit(1)).alias("_used"))
+        ranked = join_unique(ranked, used, groups, spread="_pos", how="left")
     else:
         ranked = ranked.withColumn("_used", F.lit(0))
     return ranked.filter(F.col("_pos") + F.coalesce("_used", F.lit(0)) < cap).drop("_pos", "_used")
@@ -77,7 +88,7 @@ def document_locations(docs: DataFrame) -> DataFrame:
 
 
 def sitemap_walk(
-    seeds: DataFrame, locs: DataFrame, max_sitemaps: int = MAX_SITEMAPS
+    seeds: DataFrame, locs: DataFrame, max_sitemaps: int | None = None
 ) -> DataFrame:
     """Sitemap documents reached from ``seeds(site, sitemap_url, pos)``, level by level.
 
@@ -103,9 +114,9 @@ def sitemap_walk(
             frontier = frontier.join(reached, ["site", "sitemap_url"], "left_anti")
         frontier = materialize(frontier, "sitemap-level")
         n = frontier.count()
-        if n and n + total > max_sitemaps:
+        if n and max_sitemaps is not None and n + total > max_sitemaps:
             frontier = materialize(
-                _cap_per_site(frontier, ["path"], max_sitemaps, reached, "sitemap-rank"), "sitemap-level"
+                _cap_per_group(frontier, ["site"], ["path"], max_sitemaps, reached, "sitemap-rank"), "sitemap-level"
             )
             n = frontier.count()
         if n == 0 and reached is not None:
@@ -114,7 +125,7 @@ def sitemap_walk(
         if n == 0:
             return reached
         total, level = total + n, level + 1
-        frontier = frontier.join(children, "sitemap_url").select(
+        frontier = join_many(children, frontier, "sitemap_url").select(
             "site",
             T.strip(F.col("loc")).alias("sitemap_url"),
             F.lit(level).alias("level"),
@@ -125,7 +136,7 @@ def sitemap_walk(
 def page_locations(reached: DataFrame, locs: DataFrame, same_domain: bool = True) -> DataFrame:
     """Page URLs of the reached urlset documents: ``(site, url, level, path)``, first occurrence only."""
     found = (
-        reached.join(locs.filter("NOT is_index"), "sitemap_url")
+        join_many(locs.filter("NOT is_index"), reached, "sitemap_url")
         .select("site", "level", "path", "pos", "loc")
         .filter(urls.has_web_scheme(F.col("loc")))
     )
@@ -143,15 +154,18 @@ def page_locations(reached: DataFrame, locs: DataFrame, same_domain: bool = True
 def sitemap_expand(
     seeds: DataFrame,
     docs: DataFrame,
-    max_sitemaps: int = MAX_SITEMAPS,
+    max_sitemaps: int | None = None,
     max_urls: int | None = None,
     same_domain: bool = True,
 ) -> DataFrame:
-    """Walk ``seeds(site, sitemap_url, pos)`` to page URLs; ``site`` is a root host."""
+    """Walk ``seeds(site, sitemap_url, pos)`` to page URLs; ``site`` is a root host.
+
+    Nothing is capped unless asked; caps hold for each site.
+    """
     locs = document_locations(docs)
     pages = page_locations(sitemap_walk(seeds, locs, max_sitemaps), locs, same_domain)
     if max_urls:
-        pages = _cap_per_site(pages, ["level", "path"], max_urls, None, "sitemap-urls")
+        pages = _cap_per_group(pages, ["site"], ["level", "path"], max_urls, None, "sitemap-urls")
     return pages
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -16,7 +17,7 @@ from crawlglass.plans.page_audit import page_audit, page_facts
 from crawlglass.plans.site_audit import audited_pages, site_audit
 from crawlglass.schema import FETCH_LOG_SCHEMA, REPORT_FIELDS
 from crawlglass.sinks import report as sinks
-from crawlglass.sources import fetch_log, sitemaps, url_list
+from crawlglass.sources import fetch_log, robots, sitemaps, url_list
 from crawlglass.storage import materialize
 from crawlglass.streaming import audit as streaming
 from tests.helpers import by_seq, log, page
@@ -56,7 +57,7 @@ def test_positions(spark):
     df = spark.createDataFrame([(v, "a" if v % 3 else "b") for v in values], "v int, g string").repartition(7)
     ranked = {r.v: r.p for r in skew.with_position(df, ["v"], "p", "t").collect()}
     assert ranked == {v: i for i, v in enumerate(sorted(values))}
-    grouped = {(r.g, r.v): r.p for r in skew.with_group_position(df, "g", ["v"], "p", "t").collect()}
+    grouped = {(r.g, r.v): r.p for r in skew.with_group_position(df, ["g"], ["v"], "p", "t").collect()}
     for g in "ab":
         members = sorted(v for v in values if ("a" if v % 3 else "b") == g)
         assert [grouped[g, v] for v in members] == list(range(len(members)))
@@ -274,6 +275,84 @@ def test_streams(spark, tmp_path):
     assert by_window and set(by_window.values()) == {3}
 
 
+def test_nothing_is_capped_unless_asked(spark):
+    from crawlglass.plans.run import audit_run
+
+    url = lambda i: f"https://example.com/p{i}"
+    links = lambda i: "".join(f'<a href="/p{3 * i + k}">p</a>' for k in (1, 2, 3)) + f'<a href="/gone{i}">gone</a>'
+    tree = [page(i, doc(body=links(i)), url=url(i)) for i in range(130)]
+    fetched = log(spark, tree).drop("crawl_seq")
+    found = audit_run(fetched, start_url=url(0)).select("url", "status_code", "indexability_reason").collect()
+    assert {r.url for r in found} == {url(i) for i in range(391)} | {f"https://example.com/gone{i}" for i in range(130)}
+    absent = [r for r in found if "gone" in r.url or int(r.url.rpartition("p")[2]) >= 130]
+    assert absent and all((r.status_code, r.indexability_reason) == (-1, "request failed: not collected") for r in absent)
+    capped = audit_run(fetched, start_url=url(0), max_pages=5).orderBy("crawl_seq").collect()
+    assert [r.url for r in capped] == [url(0), url(1), url(2), url(3), "https://example.com/gone0"]
+    assert {r.url for r in audit_run(fetched, start_url=url(0), max_depth=0).collect()} == {url(0)}
+
+
+def test_one_key_for_each_page(spark):
+    base = datetime(2024, 1, 1)
+    rows = [
+        page(1, doc(title="An earlier title"), url="https://example.com/a", at=base),
+        page(1, doc(title="Shared page title"), url="https://example.com/a/", at=base + timedelta(1)),
+        page(1, doc(title="Shared page title"), url="https://example.com/b", at=base),
+        page(1, doc(title="Shared page title"), url="https://example.com/b", at=base),
+    ]
+    last = fetch_log.final_fetches(log(spark, rows))
+    assert {(r.url, r.fetched_at) for r in last.collect()} == {("https://example.com/a/", base + timedelta(1)), ("https://example.com/b", base)}
+    for numbered in (last.drop("crawl_seq"), last.withColumn("crawl_seq", F.lit(None).cast("bigint"))):
+        report = site_audit(numbered)
+        for r in report.collect():
+            assert [i for i in r.issues if i.startswith("Duplicate title")] == ["Duplicate title (shared by 2 pages)"]
+    with pytest.raises(ValueError):
+        site_audit(log(spark, rows))
+    with pytest.raises(ValueError):
+        site_audit(last.withColumn("crawl_seq", F.when(F.col("url").endswith("b"), F.lit(1).cast("bigint"))))
+    same_day = [page(1, "x", url="https://example.com/c", status=s, at=base + timedelta(d)) for d, s in ((0, 503), (1, 200))]
+    attempts = fetch_log.final_attempts(log(spark, same_day)).collect()
+    assert [r.status_code for r in attempts] == [200]
+    assert fetch_log.retry_rollup(log(spark, same_day)).first().status_code == 200
+
+
+def test_damaged_zips_and_stored_files(spark, tmp_path):
+    whole = gzip.compress(b"<urlset><loc>https://e.com/z</loc></urlset>")
+    broken = whole[:12] + b"\xff\xff\xff" + whole[15:]
+    bodies = [("a.xml.gz", 200, whole), ("b.xml.gz", 200, whole[:20]), ("c.xml.gz", 200, broken), ("d.xml", 200, b"plain"), ("e.xml.gz", 200, None)]
+    got = {r.sitemap_url: r.body for r in sitemaps.sitemap_docs(spark.createDataFrame(bodies, "sitemap_url string, status int, body binary")).collect()}
+    assert "e.com/z" in got["a.xml.gz"] and got["d.xml"] == "plain" and got["e.xml.gz"] is None and len(got) == 5
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "s.xml.gz").write_bytes(whole)
+    files = sitemaps.read_sitemap_files(spark, str(tmp_path / "maps"), "https://e.com/")
+    assert [(r.sitemap_url, "e.com/z" in r.body) for r in sitemaps.sitemap_docs(files).collect()] == [("https://e.com/s.xml.gz", True)]
+    (tmp_path / "robots").mkdir()
+    (tmp_path / "robots" / "e.com.txt").write_text("User-agent: *\nDisallow: /x\n")
+    stored = robots.read_robots_files(spark, str(tmp_path / "robots"))
+    assert [(r.host, r.allow, r.path) for r in robots.robots_rules(stored).collect()] == [("e.com", False, "/x")]
+
+
+def test_the_latest_robots_text_counts(spark):
+    rows = [("e.com", 200, "User-agent: *\nDisallow: /old", 1), ("e.com", 200, "User-agent: *\nDisallow: /new", 2), ("e.com", 500, "", 3)]
+    table = spark.createDataFrame(rows, "host string, status int, text string, fetched_at int")
+    assert [r.path for r in robots.robots_rules(table).collect()] == ["/new"]
+
+
+def test_join_of_two_frequent_sides(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(25)] + [("a", 0), ("b", 1)], "url string, pos int")
+    starts = spark.createDataFrame([("hot", f"s{i}") for i in range(7)] + [("a", "s"), ("z", "s")], "url string, site string")
+    got = Counter((r.url, r.pos, r.site) for r in skew.join_many(rows, starts, "url", piece=4).collect())
+    assert got == Counter([("hot", i, f"s{j}") for i in range(25) for j in range(7)] + [("a", 0, "s")])
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from crawlglass.storage import remove_run, run_dir
+
+    kept = materialize(spark.range(3), "t")
+    assert kept.count() == 3 and os.path.isdir(run_dir(spark))
+    remove_run(spark)
+    assert not os.path.exists(run_dir(spark))
+
+
 def test_complete_run(spark):
     from crawlglass.plans.run import audit_run
 
