@@ -31,7 +31,7 @@ from crawlglass.llm.sharing import ASKED, answers, ask, bucket_count, key48, unp
 from crawlglass.llm.words import mix64
 
 LENGTH, GRAM = 50, 20
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 2_000_000
 _PACKED_STEP = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 PHRASES = "bucket int, triggers binary, docs binary, starts binary, sizes binary, data binary, spans binary"
@@ -220,12 +220,12 @@ def duplicate_spans(
                 columns[4].append(compress(b"".join([phrases[i] for i in part]), 1))
             yield _phrase_rows(bucket[cuts].tolist(), columns, [None] * len(cuts))
 
-    texts = known.mapInArrow(_squeezed, "doc_id long, text binary")
+    # The filter is what the inner join adds anyway: with it both joins deal out the texts by one and the same exchange.
+    texts = known.mapInArrow(_squeezed, "doc_id long, text binary").filter("doc_id IS NOT NULL")
     shared = answers(known.mapInArrow(question, ASKED)).withColumnRenamed("id", "doc_id")
     phrases = texts.join(shared, "doc_id").select("doc_id", "text", "keys").mapInArrow(parse, PHRASES)
     spans = phrases.groupBy("bucket").applyInPandas(lambda batch: _resolve(batch, length), "doc_id long, spans binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    # The texts are dealt by document once: both joins read the same exchange.
     apart = base.filter("doc_id IS NULL").mapInArrow(_squeezed, "doc_id long, text binary")
     return texts.join(spans, "doc_id", "left").unionAll(apart.withColumn("spans", F.lit(None).cast("array<binary>")))
 
