@@ -17,6 +17,7 @@ BODY_COLUMNS = frozenset(
     images_missing_dimensions images_lazy_loaded internal_links external_links nofollow_links sponsored_links
     ugc_links empty_anchor_links generic_anchor_links""".split()
 )
+# Links that lead to no page.
 SKIPPED_LINKS = ("mailto:", "tel:", "javascript:", "#")
 
 

@@ -54,6 +54,7 @@ def title() -> Column:
 
 def header_canonical() -> Column:
     """Unresolved canonical of the ``Link`` header; null when there is none."""
+    # Fixed value: what counts as a canonical in the header.
     rel = r"""(?i)<([^>]+)>\s*;\s*rel\s*=\s*"?canonical"?"""
     part = F.get(F.filter(F.split("_link_header", ","), lambda p: p.rlike(rel)), F.lit(0))
     return T.strip(F.regexp_extract(part, rel, 1))
@@ -169,6 +170,7 @@ def _derived_columns() -> dict[str, Column]:
         "hreflang_has_xdefault": F.exists("hreflang", lambda h: F.lower(h.lang) == "x-default"),
         "bad_hreflang_codes": F.filter(
             F.transform("hreflang", lambda h: h.lang),
+            # fixed value: form of a language code
             lambda l: (F.lower(l) != "x-default") & ~l.rlike(r"^[a-z]{2,3}(?:-[a-zA-Z]{2,4})?\z"),
         ),
         "_missing_og": F.filter(

@@ -28,6 +28,10 @@ def text(*parts) -> Column:
 
 
 def page_rules() -> list[Rule]:
+    """The rules in report order.
+
+    Fixed values: message texts, bounds and patterns are what readers of the report match on (also the hint of rule 4).
+    """
     c = F.col
     html = c("parse_ok") & (c("audit_stage") == "html")
     plain_encoding = F.lower("content_encoding").isin("", "gzip", "deflate", "identity")

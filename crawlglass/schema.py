@@ -8,7 +8,7 @@ FETCH_LOG_SCHEMA = (
     "fetched_at timestamp, attempt int, user_agent string"
 )
 
-# (name, type) of the page report, in report order.
+# Names, types and order of the page report are a contract with its readers.
 PAGE_REPORT = [
     ("url", "string"), ("final_url", "string"), ("status_code", "int"), ("parse_ok", "boolean"),
     ("redirect_chain", "array<int>"), ("response_time_ms", "int"), ("content_type", "string"),

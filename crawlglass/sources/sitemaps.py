@@ -15,6 +15,7 @@ from crawlglass.functions import html as H, text as T, urls
 from crawlglass.operators.skew import first_per_key, join_many, join_unique, with_group_position
 from crawlglass.storage import materialize
 
+# Fixed value: where a sitemap names its URLs.
 LOC_REGEX = r"(?is)<loc>\s*(.*?)\s*</loc>"
 GZIP_MAGIC = "1F8B"
 
