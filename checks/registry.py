@@ -92,7 +92,7 @@ PROJECTIONS = {
     "prj_headings": ["h1", "h1_count"],
     "prj_heading_order": ["heading_order_issues"],
     "prj_word_count": ["word_count"],
-    "prj_text_ratio": ["visible_chars", "html_chars"],
+    "prj_text_ratio": ["visible_chars", "html_chars", "text_html_ratio"],
     "prj_jsonld": ["jsonld_scripts", "jsonld_invalid"],
     "prj_microdata": ["microdata_types"],
     "prj_rdfa": ["rdfa_used"],
@@ -102,7 +102,10 @@ PROJECTIONS = {
     "prj_images": ["images_total", "images_missing_alt", "images_missing_dimensions", "images_lazy_loaded"],
     "prj_mixed_content": ["mixed_content"],
 }
-_ORACLE_COLUMN = {"bad_codes": "array_to_string(bad_codes[1:3], ', ')"}
+_ORACLE_COLUMN = {
+    "bad_codes": "array_to_string(bad_codes[1:3], ', ')",
+    "text_html_ratio": "CAST((visible_chars::BIGINT * 2000 + greatest(html_chars, 1)) // (2 * greatest(html_chars, 1)) AS DOUBLE) / 1000",
+}
 for _name, _columns in PROJECTIONS.items():
     register(
         _name, enriched(_columns),
@@ -703,13 +706,15 @@ register("stream_dedup", lambda s, d: _drained(
 
 
 def _stream_tally(spark, sf_dir):
-    """Windows the watermark has passed; the last ones stay open when the input ends."""
-    tallied = _drained(streaming.stream_issue_tally(_stream_input(spark, sf_dir)))
+    out, state = new_path(spark, "tally"), new_path(spark, "tally-state")
+    tallied = streaming.tally_to(streaming.stream_issue_tally(_stream_input(spark, sf_dir)), out, state)
+    tallied.awaitTermination()
+    tallied = spark.read.parquet(out)
     return tallied.select(F.unix_seconds("window_start").alias("window_start"), "issue", "n")
 
 
 register("stream_issue_tally", _stream_tally, Q.query(f"""
 SELECT window_start, issue, n FROM (
   SELECT CAST(floor((1704067200 + crawl_seq * 60) / 3600) * 3600 AS BIGINT) AS window_start, {_KEY} AS issue, count(*) AS n
-  FROM page_issues GROUP BY ALL) WHERE window_start + 3600 <= (SELECT max(1704067200 + crawl_seq * 60) FROM facts) - 3600""",
+  FROM page_issues GROUP BY ALL)""",
     Q.CTES + Q.LINKS + Q.JSONLD + Q.PAGE_ISSUES))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from crawlglass.functions import urls
 from crawlglass.operators.tally import issue_key
@@ -34,6 +35,19 @@ def stream_dedup(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def tally_to(tally: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the whole tally of an input that ends in ``path``: windows still open at its end are there too.
+
+    Each batch replaces the table, and all windows stay in the state.  For an endless input append the closed windows
+    instead: ``tally.writeStream.outputMode("append")``.
+    """
+    replace = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    return (
+        tally.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(replace).start()
+    )
+
+
 def stream_issue_tally(log: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Issue counts per tumbling window of fetch time; late rows are dropped by the watermark."""
     facts = page_facts(log.withWatermark("fetched_at", delay), keep=["fetched_at"])
