@@ -292,7 +292,8 @@ def line_classes(
         "a", "b", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         "near_doc_id", "near_line_no",
     )
-    joined = taking_part.join(known, ["a", "b"])
+    # Written, so that the join has an exchange on both sides and Spark can split a line that very many documents share.
+    joined = taking_part.join(materialize(known, "line-classes"), ["a", "b"])
     own = (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_line_no") == F.col("line_no"))
     out = ["doc_id", "line_no", "n_words", "first_doc_id", "first_line_no", "near_doc_id", "near_line_no", "kept"]
     rest = lines.filter("doc_id IS NULL OR n_words = 0")
