@@ -12,8 +12,8 @@ phrases, and each string of ``length`` bytes lies in exactly one phrase of its d
     of all phrases that hold it.
 3.  The parse - where each document has which phrase - carries this back to the documents as byte ranges.
 
-A step of a task that meets a phrase in several documents asks for the smallest of them only; for the others the
-answer is known.  Matching is exact: rolling hashes only decide where strings meet.
+A step of a task that meets a phrase in several documents asks for all places in the smallest of them only; for the
+others the answer is known.  Matching is exact: rolling hashes only decide where strings meet.
 """
 
 from __future__ import annotations
@@ -116,6 +116,9 @@ def _resolve(batch: pd.DataFrame, length: int) -> pd.DataFrame:
     number: dict[bytes, int] = {}
     phrases, kinds, least, trigger = [], np.empty(len(docs), np.int64), [], []
     for i in range(len(docs)):
+        if not sizes[i]:  # a further place of the phrase before
+            kinds[i] = kinds[i - 1]
+            continue
         text = data[at[i] : at[i] + sizes[i]]
         k = number.setdefault(text, len(phrases))
         if k == len(phrases):
@@ -136,7 +139,7 @@ def _resolve(batch: pd.DataFrame, length: int) -> pd.DataFrame:
     for i, k in enumerate(kinds):
         doc = docs[i]
         if least[k] < doc:
-            who.append(doc), begin.append(starts[i]), end.append(starts[i] + sizes[i])
+            who.append(doc), begin.append(starts[i]), end.append(starts[i] + len(phrases[k]))
         elif k in found:
             some = found[k] < doc
             if some.any():
@@ -197,27 +200,29 @@ def duplicate_spans(
                 whole = data.tobytes()
                 for a, b, key in zip(starts[some].tolist(), ends[some].tolist(), low[starts[some]].tolist()):
                     phrase = whole[a:b]
-                    before = seen.setdefault(phrase, (key, doc, a))
+                    before = seen.setdefault(phrase, (key, doc, []))
                     if before[1] < doc:
                         told.append((doc, a, b))
+                    else:
+                        before[2].append(a)
             if told:
                 yield _phrase_rows([buckets + told[0][0] % 64], [[None]] * 5, [np.array(told, "<i8").tobytes()])
             if not seen:
                 continue
-            phrases = list(seen)
-            keys = np.array([v[0] for v in seen.values()], np.uint64)
+            # Further places of a phrase follow its first as records of size 0 without bytes.
+            places = [(key, doc, at, b"" if i else phrase) for phrase, (key, doc, found) in seen.items() for i, at in enumerate(found)]
+            keys = np.array([p[0] for p in places], np.uint64)
             order = np.argsort(keys % np.uint64(buckets), kind="stable")
             bucket = (keys[order] % np.uint64(buckets)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            where = list(seen.values())
             columns: list[list] = [[], [], [], [], []]
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
                 part = order[a:b].tolist()
                 columns[0].append(keys[part].astype("<u8").tobytes())
-                columns[1].append(np.array([where[i][1] for i in part], "<i8").tobytes())
-                columns[2].append(np.array([where[i][2] for i in part], "<i8").tobytes())
-                columns[3].append(np.array([len(phrases[i]) for i in part], "<i4").tobytes())
-                columns[4].append(compress(b"".join([phrases[i] for i in part]), 1))
+                columns[1].append(np.array([places[i][1] for i in part], "<i8").tobytes())
+                columns[2].append(np.array([places[i][2] for i in part], "<i8").tobytes())
+                columns[3].append(np.array([len(places[i][3]) for i in part], "<i4").tobytes())
+                columns[4].append(compress(b"".join([places[i][3] for i in part]), 1))
             yield _phrase_rows(bucket[cuts].tolist(), columns, [None] * len(cuts))
 
     # The filter is what the inner join adds anyway: with it both joins deal out the texts by one and the same exchange.

@@ -167,6 +167,17 @@ def test_substrings(docs, none):
     assert substring_dedup.remove_duplicates(none).count() == 0
 
 
+def test_substrings_that_a_document_repeats_go_at_every_place(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_PACKED_STEP", 1)  # each document is a step of its own
+    other = PASSAGE.replace("two", "few")
+    texts = {1: "start " + PASSAGE + "end", 2: PASSAGE + "first " + PASSAGE + "second " + PASSAGE, 3: other + "x" + other[8:] + "y" + other,
+             4: "nothing that another document has, however long this line gets"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())
+           for r in substring_dedup.remove_duplicates(table).collect()}
+    assert got == brute_spans(texts) and got[2][2] == 3
+
+
 def test_vector_search(spark):
     draw = np.random.default_rng(0)
     data = [(i, draw.normal(size=6).round(2).tolist(), 1, "x") for i in range(400)]
