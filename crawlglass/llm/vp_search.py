@@ -7,8 +7,10 @@ the largest inner product, and the triangle inequality holds.
 A node of a tree has a vantage point and the median distance of its vectors to it; the nearer half is inside.  The gap
 between a query's distance to the vantage point and the median bounds its distance to all vectors of the other side.
 With the distance t of its worst neighbour so far, the other side is pruned if ``factor`` * gap > t.  ``factor`` 1 is
-the triangle inequality and gives the exact result; larger factors prune more and may miss neighbours.  At the default
-5, recall was 0.99 on the given vectors of 64 components.
+the triangle inequality and gives the exact result; larger factors prune more and may miss neighbours.  How many
+depends on the vectors: with unequal lengths the new component makes all distances large, and a factor that suits unit
+vectors prunes wrongly.  So recall is measured where it arises: in each shard, some queries of a block are compared
+with all vectors, and the factor is lowered, down to 1, until enough of their neighbours are found.
 
 Queries go through a shard in blocks: a node handles all queries of the block that reach it with array operations, the
 nearer side first.  Scores are inner products of the original vectors in double precision.
@@ -28,6 +30,7 @@ from crawlglass.storage import materialize
 
 NEIGHBOURS, FACTOR = 20, 5.0
 SHARD_ROWS, BLOCK_ROWS, LEAF = 16_384, 1_024, 256
+RECALL, SAMPLE = 0.97, 64  # demanded of the sampled queries of a block, and their number
 
 
 @dataclass
@@ -116,6 +119,29 @@ def search(
     return found, best
 
 
+def fitting_factor(
+    tree: Node, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float,
+    recall: float = RECALL, sample: int = SAMPLE,
+) -> float:
+    """The largest of ``factor``, its halves and 1 at which ``sample`` of the queries find ``recall`` of their neighbours."""
+    if factor <= 1 or not len(queries) or not len(points):
+        return factor
+    some = np.unique(np.linspace(0, len(queries) - 1, min(sample, len(queries))).astype(np.int64))
+    asked, names = queries[some], query_ids[some]
+    scores = asked @ points[:, :-1].T
+    scores[ids[None, :] == names[:, None]] = -np.inf
+    top = -np.sort(-np.partition(scores, max(scores.shape[1] - k, 0), axis=1)[:, -k:], axis=1)
+    there = top > -np.inf
+    edge = np.where(there, top, np.finfo(float).max).min(axis=1)  # a neighbour is what scores no less than the last true one
+    edge -= 1e-9 * np.abs(edge)
+    while factor > 1:
+        _, best = search(tree, points, ids, asked, names, k, factor)
+        if (best >= edge[:, None]).sum() >= recall * there.sum():
+            break
+        factor = max(factor / 2, 1.0)
+    return factor
+
+
 def _usable(vectors: DataFrame, vector: str) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists(vector, lambda x: x != 0)
@@ -142,7 +168,8 @@ def nearest(
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query, by inner product, ties to smaller ids.
 
     ``queries`` is a condition on column ``id``; each such row is searched among all rows but its own id.  With fewer
-    candidates than ``k``, all are returned.  ``factor`` 1 gives exact neighbours.
+    candidates than ``k``, all are returned.  ``factor`` 1 gives exact neighbours; a larger one is where each shard
+    starts for each block of queries, and is lowered by :func:`fitting_factor`.
 
     Vectors that are null, zero, or hold a null or non-finite component, and rows with a null id, take no part.
     Vectors are compared with those of their own length only.  Rows that repeat an id are one: the first of them by
@@ -170,7 +197,9 @@ def nearest(
                 ids, data = _arrays(batch.column("rows")[i].values, n)
                 query_ids, asking = _arrays(batch.column("queries")[i].values, n)
                 points = lifted(data)
-                found, score = search(build(points), points, ids, asking, query_ids, k, factor)
+                tree = build(points)
+                fitting = fitting_factor(tree, points, ids, asking, query_ids, k, factor)
+                found, score = search(tree, points, ids, asking, query_ids, k, fitting)
                 some = found >= 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(query_ids, some.sum(axis=1))), pa.array(found[some]), pa.array(score[some])],

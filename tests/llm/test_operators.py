@@ -200,6 +200,23 @@ def test_vector_search(spark):
     assert vp_search.nearest(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_vector_search_finds_neighbours_of_vectors_of_unequal_lengths(spark):
+    draw = np.random.default_rng(11)
+    for spread in (0.1, 0.5):
+        data = draw.normal(size=(16_384, 64))
+        data *= np.exp(draw.normal(size=(16_384, 1)) * spread) / np.linalg.norm(data, axis=1, keepdims=True)
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<double>")
+        found = {}
+        for r in vp_search.nearest(table, F.col("id") % 200 == 0).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        names = np.arange(0, 16_384, 200)
+        scores = data[names] @ data.T
+        scores[np.arange(len(names)), names] = -np.inf
+        wanted = np.argsort(-scores, axis=1)[:, :20]
+        recall = np.mean([len(found[q] & set(w)) / 20 for q, w in zip(names.tolist(), wanted.tolist())])
+        assert recall >= 0.9, (spread, recall)
+
+
 def test_passage_quality(spark, docs, none):
     bad = [(100 + i, "BUY NOW!! $$$ " * (20 + i), "en", "s", 1, "r", "k", 1, 2) for i in range(30)]
     good = [(200 + i, EN + f" {i} " + DE, "en", "s", 1, "r", "k", 1, 2) for i in range(30)]
