@@ -8,7 +8,8 @@ moment each source is less than one block away from its exact share, until its b
 
 All rounds are alike, so only one round is scheduled: a fold over ``H`` slots whose state is one counter a source.
 ``H`` is at most ``resolution`` + the number of sources, whatever the size of the data; the round is the one thing
-that is broadcast.  Documents find their block from running sums that are cut into many ranges of a source, so a hot
+that is broadcast.  The resolution follows the number of sources, so that the one block that even
+the smallest source gets takes little from the others.  Documents find their block from running sums that are cut into many ranges of a source, so a hot
 source is never sorted or summed by one task.
 """
 
@@ -21,24 +22,26 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from crawlglass.llm.rows import name, packed
 
 RESOLUTION, BLOCK_CHARS, MAX_SOURCES = 256, 20_000, 4_096
+SLOTS_EACH = 12  # parts of a round for each source, if that is more than RESOLUTION
 PLAN = ["n_chars", "start", "block", "release", "deadline", "slot"]
 
 
-def _weights(sums: DataFrame, targets: Mapping[str | None, float] | None, resolution: int) -> DataFrame:
-    """key, n: blocks of a source in each round, at least one."""
+def _weights(sums: DataFrame, targets: Mapping[str | None, float] | None, resolution: int | None) -> DataFrame:
+    """key, n: blocks of a source in each round, at least one; more than ``MAX_SOURCES`` sources are refused."""
     mass = sums.groupBy("key").agg(F.sum("mass").alias("mass"))
     if targets is None:
         weight = F.sqrt(F.col("mass").cast("double"))
     else:
-        known = F.lit(None).cast("double")
-        for source, value in targets.items():
-            key = "null" if source is None else "=" + source
-            known = F.when(F.col("key") == key, F.lit(float(value))).otherwise(known)
+        pairs = [F.lit(x) for source, value in targets.items() for x in ("null" if source is None else "=" + source, float(value))]
+        known = F.try_element_at(F.create_map(*pairs), F.col("key")) if pairs else F.lit(None).cast("double")
         weight = F.when(known > 0, known).otherwise(0.0)
     shares = mass.select("key", weight.alias("weight"))
-    total = shares.agg(F.sum("weight").alias("total"))
+    total = shares.agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("sources"))
     share = F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0)
-    n = F.greatest(F.lit(1), F.floor(share * resolution + 0.5)).cast("int")
+    slots = F.greatest(F.lit(RESOLUTION), F.col("sources") * SLOTS_EACH) if resolution is None else F.lit(resolution)
+    refused = F.raise_error(F.concat(F.col("sources").cast("string"), F.lit(f" sources; a mixture has at most {MAX_SOURCES}")))
+    slots = F.when(F.col("sources") > MAX_SOURCES, refused.cast("long")).otherwise(slots)
+    n = F.greatest(F.lit(1), F.floor(share * slots + 0.5)).cast("int")
     # one row on the right
     return shares.join(F.broadcast(total)).select("key", n.alias("n"))
 
@@ -96,7 +99,7 @@ def mix(
     docs: DataFrame,
     targets: Mapping[str | None, float] | None = None,
     *,
-    resolution: int = RESOLUTION,
+    resolution: int | None = None,
     block_chars: int = BLOCK_CHARS,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -114,7 +117,8 @@ def mix(
 
     Null or empty texts have no characters but keep their row; null sources are a source of their own; rows with a
     null id come first; repeated rows each keep a place; equal deadlines go to the smaller source name.  No rows
-    give no rows.  At most ``MAX_SOURCES`` sources can be named in a mixture.
+    give no rows.  More than ``MAX_SOURCES`` sources are refused.  Weights are rounded to ``resolution`` parts; without
+    it, to 12 a source and at least 256.
     """
     n_chars = F.coalesce(F.length(F.col("row").getField(text)), F.lit(0)).cast("long")
     own = F.col("row").getField(source)

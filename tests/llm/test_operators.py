@@ -141,6 +141,18 @@ def test_mixing_keeps_every_row_within_a_block_of_its_share(spark, docs, none):
     assert given.count() == len(rows())
 
 
+def test_mixing_meets_targets_among_many_sources(spark, monkeypatch):
+    data = [(i, "x" * 9, "s0") for i in range(900)] + [(1_000 + i, "x" * 9, f"s{i}") for i in range(1, 300)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for targets, wanted in (({"s0": 3.0, "s1": 1.0}, 0.75), (None, 30 / (30 + 299))):
+        mixed = mixing.mix(table, targets, block_chars=10)
+        last = mixed.filter("source = 's0'").orderBy(F.desc("slot")).first()
+        assert abs((last.block + 1) / (last.slot + 1) / wanted - 1) < 0.1
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 299)
+    with pytest.raises(Exception, match="300 sources"):
+        mixing.mix(table).collect()
+
+
 def brute_spans(texts):
     first, out = {}, {}
     for i, text in sorted(texts.items()):
