@@ -35,9 +35,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the training sequences."""
+    """The pieces of all documents and their places in the training sequences, which follow the order of the mixture."""
     ship(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_mixture(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
