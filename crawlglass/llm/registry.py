@@ -7,7 +7,10 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from crawlglass.llm import id_coder, language_id, line_dedup, minhash, mixing, packing, passage_quality, substring_dedup, vp_search, weak_quality
+from crawlglass.llm import (
+    id_coder, language_id, line_dedup, minhash, mixing, packing, passage_quality, phrases, prefix_trie, substring_dedup, url_filter,
+    vp_search, weak_quality,
+)
 from crawlglass.llm.queries import ORACLES
 from crawlglass.llm.shipping import ship
 
@@ -88,3 +91,18 @@ def op9_deletion_neighbourhood_lines(spark: SparkSession, sf_dir: str) -> DataFr
 @query
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))

@@ -33,7 +33,7 @@ def key48(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(16)
 
 
-def _pack48(keys: np.ndarray) -> bytes:
+def pack48(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(keys.astype("<u8")).view("<u2").reshape(-1, 4)[:, :3].tobytes()
 
 
@@ -59,7 +59,7 @@ def ask(keys: np.ndarray, ids: np.ndarray, buckets: int, owners: np.ndarray | No
     rows: list[tuple] = []
     if shared.any():
         by_id = np.flatnonzero(shared)[np.argsort(ids[shared], kind="stable")]
-        rows.append((buckets + int(keys[by_id[0]] % np.uint64(_SPREAD)), -1, _pack48(keys[by_id]), None, *_runs(ids[by_id])))
+        rows.append((buckets + int(keys[by_id[0]] % np.uint64(_SPREAD)), -1, pack48(keys[by_id]), None, *_runs(ids[by_id])))
     keys, ids, many = keys[first], ids[first], count > 1
     owners = None if owners is None else owners[first]
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
@@ -67,7 +67,7 @@ def ask(keys: np.ndarray, ids: np.ndarray, buckets: int, owners: np.ndarray | No
     for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
         alone = some[~many[some]]
         rows.append((
-            int(bucket[some[0]]), int(many[some].sum()), _pack48(keys[some]),
+            int(bucket[some[0]]), int(many[some].sum()), pack48(keys[some]),
             None if owners is None else owners[alone].astype("<u8").tobytes(), *_runs(ids[alone]),
         ))
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -81,7 +81,7 @@ def _per_id(keys: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     order = np.argsort(ids, kind="stable")
     keys, ids = keys[order], ids[order]
     cuts = np.flatnonzero(np.diff(ids, prepend=~ids[:1])) if len(ids) else np.empty(0, np.int64)
-    blobs = [_pack48(keys[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]
+    blobs = [pack48(keys[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(ids)))]
     return pd.DataFrame({"id": ids[cuts], "keys": pd.Series(blobs, dtype=object)})
 
 

@@ -22,9 +22,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of each word of one stretch of bytes."""
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(starts):
@@ -37,18 +37,23 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(values, first) ^ (sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))), starts
 
 
-def word_places(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words in order, their first bytes in ``b" ".join(texts)``, and the number of words of each text."""
+def word_places(
+    texts: list[bytes], lower: bool = False, space: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, their first bytes in ``b" ".join(texts)``, and the number of words of each text.
+
+    ``space`` marks the bytes between words; the space character must be one of them.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
         data = _LOWER[data]
     found, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(data):
         stop = min(len(data), at + CHUNK)
-        while stop < len(data) and not _SPACE[data[stop - 1]]:  # a word is not cut
-            gap = np.flatnonzero(_SPACE[data[stop : stop + CHUNK]])
+        while stop < len(data) and not space[data[stop - 1]]:  # a word is not cut
+            gap = np.flatnonzero(space[data[stop : stop + CHUNK]])
             stop = stop + int(gap[0]) + 1 if len(gap) else min(len(data), stop + CHUNK)
-        hashes, starts = _hashes(data[at:stop])
+        hashes, starts = _hashes(data[at:stop], space)
         found.append(hashes)
         places.append(starts + at)
         at = stop

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from crawlglass.llm import id_coder, language_id, line_dedup, minhash, passage_quality, substring_dedup, vp_search, weak_quality
 from crawlglass.llm.packing import best_fit
-from crawlglass.llm.sharing import _pack48, key48, unpack48
+from crawlglass.llm.sharing import pack48, key48, unpack48
 from crawlglass.llm.tokens import Encoder
 from crawlglass.llm.words import mix64, shingle_sets, word_hashes
 
@@ -170,7 +170,7 @@ def test_deletion_variants_meet_exactly_within_one_edit():
 
 def test_keys_of_48_bits_round_trip():
     keys = key48(mix64(np.arange(1_000, dtype=np.uint64)))
-    assert (unpack48(_pack48(keys)) == keys).all()
+    assert (unpack48(pack48(keys)) == keys).all()
 
 
 def test_label_model_finds_rules_that_are_right():
