@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import compress, decompress
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from crawlglass.llm.rows import name, steps, texts_of
-from crawlglass.llm.sharing import bucket_count, key48, pack48, unpack48
+from crawlglass.llm.sharing import key48, pack48, unpack48
 from crawlglass.llm.shipping import ship
 from crawlglass.llm.words import mix64, word_places
 from crawlglass.operators.skew import hot_keys, join_unique
@@ -32,8 +33,8 @@ from crawlglass.storage import materialize
 
 LONGEST, LEAST, INSIDE_PERCENT, TOP = 5, 100, 100, 2_000
 UNKNOWN = "und"
-# Bytes of text of a block; a block's arrays take some 30 times as much.
-BLOCK_BYTES = 8_000_000
+# Bytes of text of a block; a block's arrays take some 40 times as much.
+BLOCK_BYTES = 4_000_000
 # Bytes of text for each bucket of fingerprints; every word starts at most LONGEST of them.
 BUCKET_BYTES = 3_000_000
 # Phrases with more look-ups than this are spread over several tasks.
@@ -91,7 +92,7 @@ def _cuts(text: bytes, limit: int, longest: int) -> Iterator[tuple[bytes, int]]:
 
 
 def _blocks(docs: DataFrame, longest: int) -> DataFrame:
-    """``(block, lang, text, own)``: lower-cased texts of one language, ends of documents being ends of pieces."""
+    """``(block, lang, text, own)``: lower-cased texts of one language, deflated; ends of documents are ends of pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, list[bytes]] = {}
@@ -102,7 +103,7 @@ def _blocks(docs: DataFrame, longest: int) -> DataFrame:
             nonlocal made
             made += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([made], pa.int64()), pa.array([lang]), pa.array([text], pa.binary()), pa.array([own], pa.int64())],
+                [pa.array([made], pa.int64()), pa.array([lang]), pa.array([compress(text, 1)], pa.binary()), pa.array([own], pa.int64())],
                 names=["block", "lang", "text", "own"],
             )
 
@@ -236,8 +237,9 @@ def _asked(blocks: DataFrame, longest: int, least: int, buckets: int) -> DataFra
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row["text"], row["own"], row["lang"], longest)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = Block(decompress(row["text"]), row["own"], row["lang"], longest)
                 keys = np.concatenate([key48(block.fingerprints(n)[1]) for n in range(1, longest + 1)])
                 keys.sort()
                 first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0) if len(keys) else np.empty(0, np.int64)
@@ -301,7 +303,7 @@ def _phrases(blocks: DataFrame, told: DataFrame, longest: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                block = Block(row["text"], row["own"], row["lang"], longest)
+                block = Block(decompress(row["text"]), row["own"], row["lang"], longest)
                 parts = [_from_planes(k) for k in row["keys"] or ()]
                 frequent = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
                 found = [(None, 0, block.first), *block.counted(frequent)]
@@ -324,7 +326,8 @@ def frequent_phrases(
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(name(lang), F.lit(UNKNOWN)).alias("lang"), name(text).alias("text"))
     blocks = materialize(_blocks(own, longest), "phrase-blocks")
-    buckets = bucket_count(blocks, "text", BUCKET_BYTES)
+    size = blocks.agg(F.sum("own")).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET_BYTES))
     told = _told(_asked(blocks, longest, least, buckets), least)
     counted = _phrases(blocks, told, longest).groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f"))
     counted = materialize(counted.filter((F.col("f") >= least) | F.col("phrase").isNull()), "phrases")
