@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlglass.functions import urls
-from crawlglass.operators.skew import join_unique
 
 
 def link_rows(facts: DataFrame) -> DataFrame:
@@ -39,9 +38,7 @@ def faulty_links(facts: DataFrame, link_status: DataFrame) -> DataFrame:
     Healthy and unknown targets cannot yield a finding, so they leave before the join.
     """
     faulty = link_status.filter(is_broken(F.col("status")) | F.col("redirected"))
-    return join_unique(link_rows(facts), faulty, ["url"], spread="crawl_seq").withColumn(
-        "broken", is_broken(F.col("status"))
-    )
+    return link_rows(facts).join(faulty, "url").withColumn("broken", is_broken(F.col("status")))
 
 
 def page_link_findings(faulty: DataFrame) -> DataFrame:
@@ -58,7 +55,7 @@ def page_link_findings(faulty: DataFrame) -> DataFrame:
 
 def canonical_status(facts: DataFrame, link_status: DataFrame) -> DataFrame:
     """``(crawl_seq, url, status, redirected)``; an unknown target has status 0."""
-    joined = join_unique(canonical_targets(facts), link_status, ["url"], spread="crawl_seq", how="left")
+    joined = canonical_targets(facts).join(link_status, "url", "left")
     return joined.select(
         "crawl_seq", "url",
         F.coalesce("status", F.lit(0)).alias("status"),

@@ -9,9 +9,6 @@ from crawlglass.storage import materialize
 # A key with more left rows than this is split over SALTS join partitions.
 HOT_ROWS = 200_000
 SALTS = 64
-# Size of the frequency sketch that finds hot keys (it sees keys above a share of about 1e-4),
-# how many keys it may report, and how many tasks merge the sketches of all partitions.
-TRACKED_ITEMS, TRACKED_TOP, SKETCH_GROUPS = 30_000, 1_000, 256
 
 
 def _hash(keys: list[str]) -> Column:
@@ -23,48 +20,23 @@ def hot_keys(counted: DataFrame, keys: list[str], n: str, hot_rows: int) -> Data
     return counted.filter(F.col(n) > hot_rows).select(_hash(keys).alias("_key")).distinct()
 
 
-def heavy_keys(left: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Hashes of the heaviest keys, at most ``TRACKED_TOP``, from a fixed-size frequency sketch.
-
-    Nothing is shuffled by key; sketches are merged in two steps.  The counts are estimates, which is enough: they
-    only decide how rows are spread, never which rows take part.
-    """
-    partial = F.expr(f"approx_top_k_accumulate(_key, {TRACKED_ITEMS})").alias("_sketch")
-    merged = F.expr(f"approx_top_k_combine(_sketch, {TRACKED_ITEMS})").alias("_sketch")
-    return (
-        left.select(_hash(keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
-        .groupBy("_group")
-        .agg(partial)
-        # grouped by a constant: without rows there is no sketch to merge
-        .groupBy(F.lit("all"))
-        .agg(merged)
-        .select(F.inline(F.expr(f"approx_top_k_estimate(_sketch, {TRACKED_TOP})")))
-        .filter(F.col("count") > hot_rows)
-        .select(F.col("item").alias("_key"))
-    )
-
-
 def join_unique(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     spread: str,
+    hot: DataFrame,
     how: str = "inner",
-    hot: DataFrame | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join with a ``right`` side that has one row per key.
-
-    Rows of hot left keys are spread over several partitions by a hash of the
-    ``spread`` column (not by a random number, so a recomputed task gives the
-    same rows), and the one matching right row is repeated for each of them.
-    Only the hashes of hot keys are broadcast; their number is bounded by
-    construction, see :func:`heavy_keys` and :func:`hot_keys` (pass the latter
-    as ``hot`` where exact counts exist anyway).
+    """Equi-join with a ``right`` side that has one row per key, where exact counts of the keys exist anyway.
+
+    Rows of hot left keys (``hot``: see :func:`hot_keys`) are spread over several
+    partitions by a hash of the ``spread`` column (not by a random number, so a
+    recomputed task gives the same rows), and the one matching right row is
+    repeated for each of them.  Only the hashes of hot keys are broadcast; there
+    are at most rows / hot_rows of them.  Without counts a plain join is better:
+    adaptive execution splits its skewed partitions.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    if hot is None:
-        hot = heavy_keys(left, keys, limit)
     flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salted_left = (
         left.withColumn("_key", _hash(keys))
@@ -84,25 +56,6 @@ def join_unique(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def join_many(rows: DataFrame, starts: DataFrame, key: str, piece: int = 1_000) -> DataFrame:
-    """Inner join of two sides that may both repeat ``key``.
-
-    The rows of a key are dealt to as many pieces as hold about ``piece`` rows of ``rows`` each, and the other side
-    comes to every piece, so a key that is frequent on both sides is still shared by many tasks.  The number of pieces
-    comes from exact counts of the keys that ``starts`` holds.
-    """
-    wanted = rows.join(starts.select(key).distinct(), key, "left_semi")
-    pieces = wanted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_pieces"))
-    pieces = pieces.filter("_pieces > 1")
-    dealt = wanted.join(pieces, key, "left").withColumn(
-        "_piece", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_pieces", F.lit(1))).cast("int")
-    )
-    met = starts.join(pieces, key, "left").withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
-    )
-    return dealt.drop("_pieces").join(met.drop("_pieces"), [key, "_piece"]).drop("_piece")
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key: a partial aggregate, so hot keys shrink before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]

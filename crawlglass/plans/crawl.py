@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from crawlglass.functions import urls
-from crawlglass.operators.skew import first_per_key, join_many
-from crawlglass.sources.robots import with_robots_decision
+from crawlglass.operators.edges import store_edges
+from crawlglass.operators.skew import first_per_key
+from crawlglass.sources.robots import prefix_index, with_robots_decision
 from crawlglass.sources.sitemaps import _cap_per_group
 from crawlglass.storage import materialize
 
@@ -60,10 +61,14 @@ def crawl_expand(
     ``seeds`` is ``(start_url, url, pos)``: every start URL is a crawl of its own.
     Nothing is capped unless asked: ``max_pages`` holds for each crawl, and
     ``max_depth`` 0 admits the seeds only.  ``links`` is :func:`page_links`.  Order is
-    (depth, path), ``path`` being the link positions from the seed.  Each level is
+    (depth, path), ``path`` being the link positions from the seed.  Links are stored
+    once, in buckets by page, and read in place at each level.  Each level is
     one job that ends in a written table; targets are reduced to their first
     occurrence by a partial aggregate before they meet the visited set.
     """
+    edges = None if list_only else store_edges(links, "url", "links")
+    if policy is not None and not list_only:
+        policy = materialize(prefix_index(policy), "robots-index")
     frontier = seeds.select(
         urls.site_of(F.col("start_url")).alias("site"),
         urls.netloc(F.col("start_url")).alias("host"),
@@ -90,7 +95,7 @@ def crawl_expand(
         if n == 0 or list_only or depth == max_depth:
             return visited
         depth += 1
-        frontier = join_many(links, frontier, "url").select(
+        frontier = edges.follow(frontier).select(
             "site", "host", F.col("target").alias("url"), F.lit(depth).alias("depth"),
             F.array_append("path", F.col("pos").cast("bigint")).alias("path"),
         )

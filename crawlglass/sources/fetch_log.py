@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crawlglass.functions import urls
 from crawlglass.operators.skew import with_position
 from crawlglass.schema import FETCH_LOG_SCHEMA
+from crawlglass.storage import materialize
 
 # Statuses that are tried again.
 RETRY_STATUSES = (429, 500, 502, 503, 504)
 # Default spacing of requests, and the lower end of its jitter.
 DEFAULT_DELAY, JITTER_FLOOR = 0.3, 0.85
+# Bytes of bitmaps that one scan of a stored log is told its rows by: half a billion rows.
+LOCATOR_BYTES = 64 << 20
 
 
 def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -76,13 +82,42 @@ def final_fetches(log: DataFrame) -> DataFrame:
     return _last_of(log, urls.normalize(F.col("url")))
 
 
+def _stored(log: DataFrame) -> DataFrame:
+    """``log`` if it is a stored Parquet table, or filters and columns of one; else a stored copy: rows need a place."""
+    plan = log._jdf.queryExecution().analyzed()
+    lines = plan.toString().splitlines()
+    nodes = [re.match(r"\W*(\w*)", line)[1] for line in lines]
+    plain = set(nodes) <= {"Project", "Filter", "SubqueryAlias", "Relation"} and lines[-1].endswith(" parquet")
+    return log if plain and plan.deterministic() else materialize(log, "fetch-log")
+
+
 def _last_of(log: DataFrame, page: Column) -> DataFrame:
-    """The winners are found on narrow columns; page texts move only once, to meet them."""
-    rows = log.withColumn("_page", page).withColumn(
-        "_at", F.struct(*_last_first(log), "status_code", "url", F.xxhash64(*(c for c, kind in log.dtypes if "map<" not in kind)).alias("h"))
-    )
-    last = rows.groupBy("_page").agg(F.max("_at").alias("_at"))
-    return rows.join(last, ["_page", "_at"], "left_semi").dropDuplicates(["_page"]).drop("_page", "_at")
+    """The last row of each page; texts are read for these rows only, and never move.
+
+    Winners are found on narrow columns, each by the file and row where it is stored.  As bitmaps, one bit a row of a
+    file, they go to the scan that reads whole rows.  Bitmaps beyond ``LOCATOR_BYTES`` are dealt out by file: several
+    scans, each of its own files.  Rows that agree in time, attempt, status and URL are taken by their place.
+    """
+    stored = _stored(log)
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    at = F.struct(*_last_first(log), "status_code", "url", file.alias("file"), row.alias("row"))
+    last = stored.select(page.alias("page"), at.alias("at")).groupBy("page").agg(F.max("at").alias("at"))
+    # The built-in bitmap functions number from 1.
+    bits = last.select(F.col("at.file").alias("_file"), (F.col("at.row") + 1).alias("n")).groupBy(
+        "_file", F.expr("bitmap_bucket_number(n)").alias("_part")
+    ).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(n))").alias("_bits"))
+    bits = materialize(bits, "last-rows")
+    size = bits.agg(F.sum(F.length("_bits") + F.octet_length("_file") + 32)).first()[0] or 0
+    scans = -(-size // LOCATOR_BYTES) or 1
+    of_scan = lambda path, i: F.pmod(F.xxhash64(path), F.lit(scans)) == i
+    read = []
+    for i in range(scans):
+        files, told = (stored, bits) if scans == 1 else (stored.filter(of_scan(file, i)), bits.filter(of_scan("_file", i)))
+        placed = files.select("*", file.alias("_file"), row.alias("_row")).withColumn("_part", F.floor(F.col("_row") / 32_768) + 1)
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(F.pmod("_row", F.lit(32_768)) / 8).cast("int") + 1, F.lit(1))), 16, 10)
+        bit = byte.cast("int").bitwiseAND(F.expr("shiftleft(1, CAST(pmod(_row, 8) AS INT))"))
+        read.append(placed.join(F.broadcast(told), ["_file", "_part"]).filter(bit != 0).select(*(F.col(f"`{c}`") for c in log.columns)))
+    return reduce(DataFrame.unionAll, read)
 
 
 def link_status_from_log(log: DataFrame) -> DataFrame:
@@ -101,37 +136,42 @@ def link_status_from_log(log: DataFrame) -> DataFrame:
     )
 
 
-def pacing_audit(
-    log: DataFrame,
-    delays: DataFrame | None = None,
-    delay: float = DEFAULT_DELAY,
-    bucket_seconds: int = 3600,
-    tie: str = "url",
-) -> DataFrame:
-    """Seconds since the previous fetch of the same host, and whether that was too soon.
+def _previous(log: DataFrame) -> DataFrame:
+    """``log`` with ``previous_at``: the time of the fetch before, of the same host, by (time, ``_tie``).
 
-    ``log`` has ``host`` and ``fetched_at``; ``delays`` has ``(host, crawl_delay)``.
-    A busy host's rows are cut into time buckets, so no task sorts all of them;
-    the first row of a bucket takes its predecessor from a per-bucket maximum.
+    Rows are dealt out by ranges of (host, time), so a busy host is shared by as many tasks as it needs.  A range knows
+    all predecessors but that of its first row, which is the last row of the range before: one small row a range.
     """
-    rows = log.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withColumn(
-        "_bucket", F.floor(F.unix_micros("fetched_at") / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
+    by_time = ["host", "fetched_at", "_tie"]
+    ranged = log.repartitionByRange(*by_time).sortWithinPartitions(*by_time)
+    placed = materialize(ranged.withColumn("_row", F.monotonically_increasing_id()), "paced")
+    placed = placed.withColumn("_range", F.shiftright("_row", 33))  # upper bits: partition of the sort
+    row = F.struct("host", "fetched_at")
+    lasts = placed.groupBy("_range").agg(F.max_by(row, "_row").alias("last")).orderBy("_range").collect()
+    before = [(after["_range"], *own["last"]) for own, after in zip(lasts, lasts[1:])]
+    starts = log.sparkSession.createDataFrame(before, "_range bigint, _host string, _before timestamp")
+    last = F.lag(row).over(Window.partitionBy("_range").orderBy("_row"))
+    # One row a range is broadcast.
+    met = placed.withColumn("_last", last).join(F.broadcast(starts), "_range", "left")
+    own = F.coalesce("_last", F.struct(F.col("_host").alias("host"), F.col("_before").alias("fetched_at")))
+    return met.withColumn("previous_at", F.when(own.host == F.col("host"), own.fetched_at)).drop(
+        "_row", "_range", "_last", "_host", "_before", "_tie"
     )
-    ends = rows.groupBy("host", "_bucket").agg(F.max("fetched_at").alias("_end"))
-    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("host").orderBy("_bucket")))
-    if delays is not None:
-        ends = ends.join(delays.select("host", "crawl_delay"), "host", "left")
+
+
+def pacing_audit(log: DataFrame, delays: DataFrame | None = None, delay: float = DEFAULT_DELAY, tie: str = "url") -> DataFrame:
+    """Seconds since the previous fetch of the same host, and whether that was too soon.
+
+    ``log`` has ``host`` and ``fetched_at``; ``delays`` has ``(host, crawl_delay)``.  Fetches at one time are in order
+    of ``tie``.
+    """
+    paced = _previous(log.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withColumn("_tie", F.col(tie)))
+    if delays is None:
+        paced = paced.withColumn("crawl_delay", F.lit(None).cast("double"))
     else:
-        ends = ends.withColumn("crawl_delay", F.lit(None).cast("double"))
-    in_bucket = Window.partitionBy("host", "_bucket").orderBy("fetched_at", tie)
+        paced = paced.join(delays.select("host", "crawl_delay"), "host", "left")
     allowed = F.greatest(F.lit(float(delay)), F.coalesce("crawl_delay", F.lit(0.0)))
     gap = (F.unix_micros("fetched_at") - F.unix_micros("previous_at")) / F.lit(1_000_000.0)
-    return (
-        rows.withColumn("_previous", F.lag("fetched_at").over(in_bucket))
-        .join(ends.drop("_end"), ["host", "_bucket"])
-        .withColumn("previous_at", F.coalesce("_previous", "_before"))
-        .withColumn("gap_seconds", gap)
-        .withColumn("min_gap_seconds", allowed)
-        .withColumn("too_soon", F.coalesce(F.col("gap_seconds") < allowed * F.lit(JITTER_FLOOR), F.lit(False)))
-        .drop("_bucket", "_previous", "_before", "previous_at", "crawl_delay")
-    )
+    return paced.withColumns({"gap_seconds": gap, "min_gap_seconds": allowed}).withColumn(
+        "too_soon", F.coalesce(F.col("gap_seconds") < allowed * F.lit(JITTER_FLOOR), F.lit(False))
+    ).drop("previous_at", "crawl_delay")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from crawlglass.functions import text as T, urls
-from crawlglass.operators.skew import join_unique
 
 # The line ends Python's str.splitlines() knows.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -141,17 +140,51 @@ def crawl_delays(robots_txt: DataFrame, agent: str) -> DataFrame:
     )
 
 
+def prefix_index(policy: DataFrame) -> DataFrame:
+    """``(host, lengths, slots)`` of every host with rules: a hash table of its rule paths, and the lengths they have.
+
+    A host with n rules has n slots; a path lies in the slot its hash names, so a look-up meets one or two paths.
+    Of rules with one path only the first can decide.
+    """
+    sized = policy.select("host", "rules", F.size("rules").alias("n")).filter("n > 0")
+    rules = sized.select("host", "n", F.posexplode("rules").alias("seq", "rule")).select("host", "n", "seq", "rule.*")
+    first = rules.groupBy("host", "n", "path").agg(F.min(F.struct("seq", "allow")).alias("rule"))
+    filled = first.groupBy("host", F.pmod(F.xxhash64("path"), F.col("n")).alias("slot")).agg(
+        F.collect_list(F.struct("rule.seq", "rule.allow", "path")).alias("paths"),
+        F.collect_set(F.length("path")).alias("lengths"),
+    )
+    slots = sized.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    every = slots.join(filled, ["host", "slot"], "left")
+    none = F.array().cast("array<struct<seq:int,allow:boolean,path:string>>")
+    in_order = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("paths", none).alias("paths"))))
+    return every.groupBy("host").agg(
+        F.array_distinct(F.flatten(F.collect_list("lengths"))).alias("lengths"),
+        F.transform(in_order, lambda s: s.paths).alias("slots"),
+    )
+
+
 def with_robots_decision(candidates: DataFrame, policy: DataFrame) -> DataFrame:
     """Add ``allowed`` to ``(host, url, …)``: the first rule whose path is a prefix decides.
 
-    A host's rules travel as one array, so no url-rule pairs are produced.
+    ``policy`` is :func:`agent_policy`, or its :func:`prefix_index`, which a host's URLs carry as one row.  A URL's
+    prefixes of the lengths that rules have are looked up, so the work for a URL follows from these lengths and not
+    from the number of rules, and no url-rule pairs are produced.
     """
-    joined = join_unique(candidates, policy.select("host", "rules"), ["host"], spread="url", how="left")
+    index = policy if "slots" in policy.columns else prefix_index(policy)
+
+    def rules_at(path: Column, length: Column) -> Column:
+        prefix = F.substring(path, F.lit(1), length)
+        slot = F.get("slots", F.pmod(F.xxhash64(prefix), F.size("slots")).cast("int"))
+        return F.filter(slot, lambda r: r.path == prefix)
+
     decision = urls.let(
         quoted_path(F.col("url")),
-        lambda p: F.get(F.filter("rules", lambda r: F.startswith(p, r.path)), F.lit(0)).allow,
+        lambda p: F.array_min(F.flatten(F.transform(
+            F.filter("lengths", lambda n: n <= F.length(p)), lambda n: rules_at(p, n)
+        ))).allow,
     )
-    return joined.withColumn("allowed", F.coalesce(decision, F.lit(True))).drop("rules")
+    joined = candidates.join(index.select("host", "lengths", "slots"), "host", "left")
+    return joined.withColumn("allowed", F.coalesce(decision, F.lit(True))).drop("lengths", "slots")
 
 
 def robots_sitemaps(hosts: DataFrame, robots_txt: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_BUCKETED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,8 @@ def run_dir(spark: SparkSession) -> str:
 
 def remove_run(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when all results are written."""
+    for table in _BUCKETED.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -50,3 +53,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` once, dealt out and sorted by ``keys``: joins on them find it in place and move the other side only."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    table = "crawlglass_" + path.rpartition("-")[2]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out by the hash that names the buckets, so that each task writes one file.
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(table)
+    _BUCKETED.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)

@@ -1,7 +1,8 @@
 """What the physical plans must and must not contain."""
 
-from crawlglass.operators import duplicates, link_status
+from crawlglass.operators import duplicates, edges, hreflang, link_status
 from crawlglass.plans.page_audit import page_audit, page_columns, page_facts
+from crawlglass.sources import fetch_log
 from crawlglass.storage import materialize
 from tests.helpers import log, page
 
@@ -12,6 +13,10 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def formatted(df) -> str:
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def test_page_audit_has_no_shuffle(spark):
     plan = plan_of(page_audit(log(spark, [page(1, HTML)])))
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
@@ -37,3 +42,37 @@ def test_joins_are_never_cartesian(spark):
     plan = plan_of(link_status.faulty_links(facts, status))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert [tuple(r) for r in link_status.faulty_links(facts, status).select("crawl_seq", "pos", "broken").collect()] == [(1, 0, True)]
+
+
+def test_page_texts_of_the_final_fetch_meet_no_exchange(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log(spark, [page(i, HTML, url=f"https://example.com/p{i % 3}") for i in range(9)]).drop("crawl_seq").repartition(3).write.parquet(path)
+    last = fetch_log.final_fetches(spark.read.parquet(path).filter("status_code = 200"))
+    plan = plan_of(last)
+    assert "html" in plan and "BroadcastHashJoin" in plan
+    # The only exchange is the broadcast of the bitmaps.
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    assert sorted(r.url[-1] for r in last.collect()) == ["0", "1", "2"]
+
+
+def test_links_are_followed_in_place(spark):
+    links = spark.createDataFrame([(f"u{i % 7}", i, f"u{i}") for i in range(50)], "url string, pos int, target string")
+    stored = edges.store_edges(links, "url", "t", piece=5)
+    starts = materialize(spark.createDataFrame([("u1", 0), ("u2", 1)], "url string, n int"), "starts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = formatted(stored.follow(starts))
+        # Starts and hubs meet by key, then starts go to the buckets; a bucketed scan has no exchange above it.
+        assert "Bucketed: true" in plan and plan.count("hashpartitioning(url") == 3
+        assert stored.follow(starts).count() == 14
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_joins_without_counts_plan_each_side_once(spark):
+    facts = materialize(page_facts(log(spark, [page(1, HTML)])), "t")
+    status = materialize(spark.createDataFrame([("https://example.com/x", 404, False)], "url string, status int, redirected boolean"), "s")
+    assert plan_of(link_status.faulty_links(facts, status)).count("FileScan") == 2
+    assert plan_of(link_status.canonical_status(facts, status)).count("FileScan") == 2
+    reciprocity = plan_of(hreflang.unreciprocated(facts))
+    assert reciprocity.count("FileScan") == 2 and reciprocity.count("Join") <= 2

@@ -11,7 +11,7 @@ from urllib.parse import urldefrag
 import pytest
 from pyspark.sql import functions as F
 
-from crawlglass.operators import duplicates, hreflang, link_status, skew, tally
+from crawlglass.operators import duplicates, edges, hreflang, link_status, skew, tally
 from crawlglass.plans.crawl import crawl_expand, merge_seeds, page_links
 from crawlglass.plans.page_audit import page_audit, page_facts
 from crawlglass.plans.site_audit import audited_pages, site_audit
@@ -48,7 +48,8 @@ def test_join_unique_equals_plain_join(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = Counter(map(tuple, left.join(right, "k", how).select("id", "k").collect()))
         for hot in (10, 10**6):
-            got = skew.join_unique(left, right, ["k"], spread="id", how=how, hot_rows=hot)
+            counts = skew.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", hot)
+            got = skew.join_unique(left, right, ["k"], spread="id", how=how, hot=counts)
             assert Counter(map(tuple, got.select("id", "k").collect())) == want, (how, hot)
 
 
@@ -331,16 +332,69 @@ def test_damaged_zips_and_stored_files(spark, tmp_path):
     assert [(r.host, r.allow, r.path) for r in robots.robots_rules(stored).collect()] == [("e.com", False, "/x")]
 
 
+def test_final_fetches_of_any_log(spark, tmp_path, monkeypatch):
+    rng, base = random.Random(4), datetime(2024, 1, 1)
+    rows = [page(i, f"text {i}", url=f"https://example.com/p{rng.randint(0, 30)}{rng.choice(['', '/', '#f'])}", status=rng.choice([200, 503]),
+                 at=base + timedelta(days=rng.randint(0, 3))) for i in range(200)]
+    want = {}
+    for r in rows:
+        key = urldefrag(r[1])[0].rstrip("/")
+        want[key] = max(want.get(key, ()), (r[9], r[10], r[3], r[1]))
+    table = log(spark, rows)
+    table.repartition(5).write.parquet(str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    some = lambda df: Counter((r.fetched_at, r.attempt, r.status_code, r.url) for r in df.collect())
+    assert some(fetch_log.final_fetches(table)) == some(fetch_log.final_fetches(stored)) == Counter(want.values())
+    assert some(fetch_log.final_fetches(stored.unionAll(stored))) == Counter(want.values())  # rows that repeat
+    monkeypatch.setattr(fetch_log, "LOCATOR_BYTES", 9_000)  # a few bitmaps a scan
+    assert some(fetch_log.final_fetches(stored.filter("status_code > 0"))) == Counter(want.values())
+    assert fetch_log.final_fetches(stored.filter("url = 'x'")).count() == 0
+
+
+def test_robots_index_finds_the_first_rule(spark):
+    rng = random.Random(6)
+    paths = ["", "/", "/a", "/a/", "/ab", "/a/b", "/é", "/" + "x" * 40] + ["/" + "".join(rng.choice("ab/") for _ in range(rng.randint(1, 4))) for _ in range(20)]
+    rules = {h: [(rng.random() < 0.4, rng.choice(paths[1:] if h != "h1" else paths)) for _ in range(n)] for h, n in (("h1", 30), ("h2", 5), ("h3", 1), ("h4", 0))}
+    policy = spark.createDataFrame([(h, r) for h, r in rules.items()], "host string, rules array<struct<allow:boolean,path:string>>")
+    tried = [(h, f"https://{h}/" + "".join(rng.choice("ab/x") for _ in range(rng.randint(0, 6)))) for h in [*rules, "h5"] for _ in range(40)]
+    got = {(r.host, r.url): r.allowed for r in robots.with_robots_decision(spark.createDataFrame(tried, "host string, url string"), policy).collect()}
+    for host, url in tried:
+        path = url.removeprefix(f"https://{host}") or "/"
+        first = next((allow for allow, start in rules.get(host, ()) if path.startswith(start)), True)
+        assert got[host, url] == first, (host, url)
+
+
+def test_zipped_sitemaps_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sitemaps, "ZIPPED_CHUNK", 7)
+    monkeypatch.setattr(sitemaps, "CHUNK", 11)
+    pages_ = b"<urlset>" + b"".join(b"<url><LOC>\n https://e.com/%d?a=1&amp;b=\xc3\xa9 </loc></url>" % i for i in range(50)) + b"<loc>open</urlset>"
+    index = b"<x><sitemapIndex><loc>https://e.com/m.xml</loc></sitemapIndex>"
+    both = gzip.compress(pages_[:300]) + gzip.compress(pages_[300:]) + b"\0\0"  # two members, padded
+    damaged = bytearray(gzip.compress(pages_))
+    damaged[60] ^= 255
+    bodies = {"a.gz": gzip.compress(pages_), "two.xml": both, "i.gz": gzip.compress(index), "cut.gz": gzip.compress(pages_)[:-9], "bad.gz": bytes(damaged),
+              "junk.gz": gzip.compress(pages_) + b"x", "text.gz": pages_, "p.xml": pages_, "empty.gz": b"", "null.gz": None}
+    fetched = spark.createDataFrame([(u, 200, b) for u, b in bodies.items()] + [("no.xml", 404, pages_)], "sitemap_url string, status int, body binary")
+    rows = lambda edges_: Counter((r.sitemap_url, r.is_index, r.pos, r["loc"]) for r in edges_.rows.collect())
+    chunked, whole = rows(sitemaps.document_locations(fetched)), rows(sitemaps.document_locations(sitemaps.sitemap_docs(fetched)))
+    assert chunked == whole
+    assert {u for u, _, _, _ in whole} == {"a.gz", "two.xml", "i.gz", "text.gz", "p.xml"} and ("i.gz", True, 0, "https://e.com/m.xml") in whole
+    assert max(map(len, sitemaps.unzip_chunks(gzip.compress(bytes(10_000))))) <= 11
+
+
 def test_the_latest_robots_text_counts(spark):
     rows = [("e.com", 200, "User-agent: *\nDisallow: /old", 1), ("e.com", 200, "User-agent: *\nDisallow: /new", 2), ("e.com", 500, "", 3)]
     table = spark.createDataFrame(rows, "host string, status int, text string, fetched_at int")
     assert [r.path for r in robots.robots_rules(table).collect()] == ["/new"]
 
 
-def test_join_of_two_frequent_sides(spark):
+def test_edges_of_two_frequent_sides(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(25)] + [("a", 0), ("b", 1)], "url string, pos int")
     starts = spark.createDataFrame([("hot", f"s{i}") for i in range(7)] + [("a", "s"), ("z", "s")], "url string, site string")
-    got = Counter((r.url, r.pos, r.site) for r in skew.join_many(rows, starts, "url", piece=4).collect())
+    stored = edges.store_edges(rows, "url", "t", piece=4)
+    got = Counter((r.url, r.pos, r.site) for r in stored.follow(starts).collect())
+    assert [tuple(r) for r in stored.hubs.collect()] == [("hot", 7)]
+    assert sum(got.values()) == sum(r[1] for r in stored.follow(starts, "pos < 3").groupBy("url").count().collect()) + 22 * 7
     assert got == Counter([("hot", i, f"s{j}") for i in range(25) for j in range(7)] + [("a", 0, "s")])
 
 
