@@ -14,6 +14,7 @@ and tab; an n-gram lies within a piece.  Occurrences may overlap.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import compress, decompress
@@ -199,7 +200,7 @@ class Block:
         return " ".join(w for w in text.replace("\t", " ").split(" ") if w)
 
     def counted(self, frequent: np.ndarray) -> Iterator[tuple[str, int, int]]:
-        """(phrase, words, count) of the n-grams whose keys are in the sorted ``frequent``."""
+        """(phrase, key, count) of the n-grams whose keys are in the sorted ``frequent``."""
         if not len(frequent):
             return
         ids = self.exact_words()
@@ -221,14 +222,11 @@ class Block:
             for j in range(n):
                 alike &= ids[at + j] == ids[head + j]
             whole = np.add.reduceat(~alike, new) == 0 if len(new) else np.empty(0, bool)
-            for i, c in zip(at[new[whole]].tolist(), count[whole].tolist()):
-                yield self.phrase(i, n), n, c
+            for i, key, c in zip(at[new[whole]].tolist(), keys[new[whole]].tolist(), count[whole].tolist()):
+                yield self.phrase(i, n), key, c
             for first, size in zip(new[~whole], count[~whole]):  # one key, different words
-                told: dict[str, int] = {}
-                for i in at[first : first + size].tolist():
-                    text = self.phrase(i, n)
-                    told[text] = told.get(text, 0) + 1
-                yield from ((text, n, c) for text, c in told.items())
+                told = Counter(self.phrase(i, n) for i in at[first : first + size].tolist())
+                yield from ((text, int(keys[first]), c) for text, c in told.items())
 
 
 def _asked(blocks: DataFrame, longest: int, least: int, buckets: int) -> DataFrame:
@@ -296,8 +294,11 @@ def _told(asked: DataFrame, least: int) -> DataFrame:
     return asked.groupBy("bucket").applyInPandas(tell, "block long, keys binary")
 
 
-def _phrases(blocks: DataFrame, told: DataFrame, longest: int) -> DataFrame:
-    """``(lang, phrase, n_words, f)`` in every block for what may be frequent; ``phrase`` null: all words of the block."""
+def _phrases(blocks: DataFrame, told: DataFrame, longest: int, least: int, buckets: int) -> DataFrame:
+    """``(lang, phrase, n_words, f)`` with ``f >= least``; ``phrase`` null: words of a block.
+
+    Each block sends the phrases of a bucket, and their counts, as one row; a phrase has one bucket, as it has one key.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,17 +307,35 @@ def _phrases(blocks: DataFrame, told: DataFrame, longest: int) -> DataFrame:
                 block = Block(decompress(row["text"]), row["own"], row["lang"], longest)
                 parts = [_from_planes(k) for k in row["keys"] or ()]
                 frequent = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-                found = [(None, 0, block.first), *block.counted(frequent)]
-                for at in range(0, len(found), 20_000):
-                    text, size, times = zip(*found[at : at + 20_000])
+                by_bucket: dict[int, tuple[list[str], list[int]]] = {}
+                for phrase, key, times in block.counted(frequent):
+                    texts, counts = by_bucket.setdefault((key >> 16) * buckets >> 32, ([], []))
+                    texts.append(phrase)
+                    counts.append(times)
+                made = [(bucket, "\n".join(texts), np.array(counts, "<i8").tobytes(), 0) for bucket, (texts, counts) in by_bucket.items()]
+                made.append((row["block"] % buckets, None, None, block.first))
+                for at in range(0, len(made), 256):
+                    bucket, texts, counts, words = zip(*made[at : at + 256])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["lang"]] * len(text), pa.string()), pa.array(text, pa.string()),
-                         pa.array(size, pa.int32()), pa.array(times, pa.int64())],
-                        names=["lang", "phrase", "n_words", "f"],
+                        [pa.array(bucket, pa.int64()), pa.array([row["lang"]] * len(bucket), pa.string()), pa.array(texts, pa.string()),
+                         pa.array(counts, pa.binary()), pa.array(words, pa.int64())],
+                        names=["bucket", "lang", "phrases", "counts", "words"],
                     )
 
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        found: dict[tuple, int] = {}
+        for lang, texts, counts, words in zip(rows["lang"], rows["phrases"], rows["counts"], rows["words"]):
+            if texts is None:
+                found[lang, None] = found.get((lang, None), 0) + int(words)
+                continue
+            for text, times in zip(texts.split("\n"), np.frombuffer(counts, "<i8").tolist()):
+                found[lang, text] = found.get((lang, text), 0) + times
+        kept = [(lang, p, 0 if p is None else p.count(" ") + 1, f) for (lang, p), f in found.items() if p is None or f >= least]
+        return pd.DataFrame(kept, columns=["lang", "phrase", "n_words", "f"])
+
     known = told.groupBy("block").agg(F.collect_list("keys").alias("keys"))
-    return blocks.join(known, "block", "left").mapInArrow(count, "lang string, phrase string, n_words int, f long")
+    counted = blocks.join(known, "block", "left").mapInArrow(count, "bucket long, lang string, phrases string, counts binary, words long")
+    return counted.groupBy("bucket").applyInPandas(add, "lang string, phrase string, n_words int, f long")
 
 
 def frequent_phrases(
@@ -329,9 +348,9 @@ def frequent_phrases(
     size = blocks.agg(F.sum("own")).first()[0] or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     told = _told(_asked(blocks, longest, least, buckets), least)
-    counted = _phrases(blocks, told, longest).groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f"))
-    counted = materialize(counted.filter((F.col("f") >= least) | F.col("phrase").isNull()), "phrases")
-    return counted.filter("phrase IS NOT NULL"), counted.filter("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    counted = materialize(_phrases(blocks, told, longest, least, buckets), "phrases")
+    totals = counted.filter("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    return counted.filter("phrase IS NOT NULL"), totals
 
 
 def collocations(
