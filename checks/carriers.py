@@ -48,6 +48,9 @@ def _attr(url: str) -> str:
     return _cat("'\"'", url, "'\"'")
 
 
+# Some pages end at another page of their site, and name it as canonical.
+MERGED, MERGED_INTO = f"{K} % 60 = 42", f"({K} - 30)"
+
 _HEAD = _cat(
     _cases(
         (f"{K} % 4 = 0", _cat("'<meta name=\"description\" content=\"Short description of page '", text(K), "'\">'")),
@@ -59,6 +62,7 @@ _HEAD = _cat(
         (f"{K} % 17 = 5", "'<meta name=\"robots\" content=\"all\">'"),
     ),
     _cases(
+        (MERGED, _cat("'<link rel=\"canonical\" href='", _attr(page_url(MERGED_INTO)), "'>'")),
         (f"{K} % 6 = 0", _cat("'<link rel=\"canonical\" href='", _attr(page_url(K)), "'>'")),
         (f"{K} % 6 = 2", _cat("'<link rel=\"canonical\" href='", _attr(_cat(page_url(K), "'/'")), "'>'")),
         (f"{K} % 6 = 3", _cat("'<link rel=\"canonical\" href=\"/p/'", text(K), "'\">'")),
@@ -168,7 +172,7 @@ _BODY = _cat(
 ENRICHED = [
     ("crawl_seq", K),
     ("url", page_url(K)),
-    ("final_url", _cat(page_url(K), _cases((f"{K} % 29 = 7", "'-final'")))),
+    ("final_url", _cases((MERGED, page_url(MERGED_INTO)), default=_cat(page_url(K), _cases((f"{K} % 29 = 7", "'-final'"))))),
     ("status_code", f"CASE WHEN {K} % 41 = 9 THEN 404 WHEN {K} % 43 = 9 THEN 503 ELSE 200 END"),
     ("redirect_codes", _cases((f"{K} % 29 = 7", "'301, 302'"), (f"{K} % 29 = 8", "'308'"))),
     ("response_time_ms", f"CAST({K} % 900 AS INT)"),
@@ -191,6 +195,7 @@ ENRICHED = [
         _cases(
             (f"{K} % 59 = 9", _cat("'garbage '", text(K))),
             (f"{K} % 61 = 9", "'<div id=\"app\"></div><script>boot()</script>'"),
+            (f"{K} % 37 = 5", "replace(html, '<html lang=', '<html data-lang=')"),
             default=f"replace(replace(html, '</head>', {_cat(_HEAD, chr(39) + '</head>' + chr(39))}), '</article>', {_cat(_BODY, chr(39) + '</article>' + chr(39))})",
         ),
     ),

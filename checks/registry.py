@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,8 +11,9 @@ from checks import carriers as C, facts_sql as Q
 from crawlglass.functions import text as T, urls
 from crawlglass.operators import duplicates, hreflang, link_status, rules, tally
 from crawlglass.operators.body import heading_steps
+from crawlglass.operators.edges import store_edges
 from crawlglass.plans import crawl
-from crawlglass.plans.page_audit import page_columns, page_facts
+from crawlglass.plans.page_audit import as_report, extract, page_columns, page_facts
 from crawlglass.plans.run import audit_run
 from crawlglass.plans.site_audit import apply_findings, issue_rows, site_findings
 from crawlglass.schema import REPORT_TYPES
@@ -157,13 +159,11 @@ register("prj_pixel_width", _pixel_width,
 
 
 def _social_checks(spark, sf_dir):
-    f = page_columns(C.enriched_log(spark, sf_dir), ["crawl_seq", "og_tags", "twitter_tags"])
-    wanted = F.array(*[F.lit(f"og:{n}") for n in ("title", "image", "url", "type")])
-    missing = F.filter(wanted, lambda n: ~F.array_contains(F.map_keys("og_tags"), n))
+    f = extract(C.enriched_log(spark, sf_dir), names={"og_tags", "twitter_tags", "canonical"})
     return f.select(
         "crawl_seq",
-        F.when(F.size("og_tags") > 0, F.array_join(missing, ", ")).otherwise("").alias("missing_og"),
-        ((F.size("twitter_tags") > 0) & ~F.map_contains_key("twitter_tags", "twitter:card")).alias("missing_card"),
+        F.when(F.size("og_tags") > 0, F.array_join("_missing_og", ", ")).otherwise("").alias("missing_og"),
+        F.coalesce((F.size("twitter_tags") > 0) & ~F.map_contains_key("twitter_tags", "twitter:card"), F.lit(False)).alias("missing_card"),
     )
 
 
@@ -173,10 +173,10 @@ register("prj_social_checks", _social_checks, Q.query(
 
 
 def _canonical_norms(spark, sf_dir):
-    f = page_columns(C.enriched_log(spark, sf_dir), ["crawl_seq", "canonical_links", "header_canonical"])
-    norms = F.array_distinct(F.transform(
-        F.array_union("canonical_links", F.filter(F.array("header_canonical"), lambda c: c != "")), urls.normalize))
-    return f.select("crawl_seq", F.array_join(F.array_sort(norms), "|").alias("canonicals"), (F.size(norms) > 1).alias("conflict"))
+    f = extract(C.enriched_log(spark, sf_dir), names={"canonical"})
+    links = F.concat("canonical_links", F.filter(F.array("header_canonical"), lambda c: c != ""))
+    norms = F.coalesce(F.array_distinct(F.transform(links, urls.normalize)), F.array().cast("array<string>"))
+    return f.select("crawl_seq", F.array_join(F.array_sort(norms), "|").alias("canonicals"), F.coalesce("_canonical_conflict", F.lit(False)).alias("conflict"))
 
 
 _CANON_SQL = ("list_distinct(list_transform(CASE WHEN header_canonical <> '' THEN list_append(canonicals, header_canonical) ELSE canonicals END, lambda u: "
@@ -379,7 +379,22 @@ register("agg_issue_tally", lambda s, d: tally.tally_rows(_issue_rows(s, d)).sel
 _TOP = Q.query(f"""SELECT issue, n FROM (SELECT {_KEY} AS issue, count(*) AS n, min(crawl_seq * 1000000 + seq * 1000 + pos) AS first_seen FROM issues GROUP BY 1)
 ORDER BY n DESC, first_seen LIMIT 12""")
 register("topk_issues", lambda s, d: tally.top_issues(_issue_rows(s, d)), _TOP)
-register("sink_summary", lambda s, d: sinks.summary(audited(s, d))["issues"], _TOP)
+
+
+def _summary(spark, sf_dir):
+    parts = sinks.summary(audited(spark, sf_dir))
+    status = parts["statuses"].select(F.lit("status").alias("part"), F.col("status_code").cast("string").alias("value"), F.col("n_pages").alias("n"))
+    share = parts["indexable"].select(F.explode(F.create_map(F.lit("indexable"), F.col("n_indexable"), F.lit("pages"), F.col("n_pages"))).alias("value", "n"))
+    issues = parts["issues"].select(F.lit("issue").alias("part"), F.col("issue").alias("value"), "n")
+    return status.unionByName(share.withColumn("part", F.lit("share"))).unionByName(issues)
+
+
+register("sink_summary", _summary, Q.query(f"""
+SELECT 'status' AS part, CAST(status_code AS VARCHAR) AS value, count(*) AS n FROM facts GROUP BY status_code
+UNION ALL SELECT 'share', 'indexable', count_if(indexability_reason = '') FROM facts
+UNION ALL SELECT 'share', 'pages', count(*) FROM facts
+UNION ALL SELECT 'issue', issue, n FROM (
+  SELECT {_KEY} AS issue, count(*) AS n, min(crawl_seq * 1000000 + seq * 1000 + pos) AS first_seen FROM issues GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 12)"""))
 _ALL_ISSUES = Q.query("SELECT crawl_seq, count(*) AS n_issues, string_agg(message, ' # ' ORDER BY seq, pos, message) AS issues FROM issues GROUP BY crawl_seq")
 
 
@@ -515,9 +530,24 @@ found AS (SELECT DISTINCT w.site, {Q.norm('l.loc')} AS url FROM walk w JOIN locs
 """
 
 
-def _maps(spark, sf_dir):
+def _zip_some(batches):
+    """Every third body zipped, every seventh of these in two members."""
+    for batch in batches:
+        bodies = []
+        for i, body in enumerate(batch["body"]):
+            half = len(body) // 2 if i % 7 == 0 else len(body)
+            members = gzip.compress(body[:half]) + (gzip.compress(body[half:]) if half < len(body) else b"")
+            bodies.append(members if i % 3 == 0 else body)
+        yield batch.assign(body=bodies)
+
+
+def _fetched_maps(spark, sf_dir):
     raw = C.derived(spark, sf_dir, C.SITEMAPS).withColumn("body", F.encode("body", "UTF-8"))
-    return C.derived(spark, sf_dir, C.SITEMAP_SEEDS, distinct=True), sitemaps.sitemap_docs(raw)
+    return raw.mapInPandas(_zip_some, raw.schema)
+
+
+def _maps(spark, sf_dir):
+    return C.derived(spark, sf_dir, C.SITEMAP_SEEDS, distinct=True), _fetched_maps(spark, sf_dir)
 
 
 def _walk(cap):
@@ -535,21 +565,37 @@ def _sitemap_pages(spark, sf_dir):
 
 def _sitemap_limit(spark, sf_dir):
     seeds, docs = _maps(spark, sf_dir)
-    found = sitemaps.sitemap_expand(seeds, docs, max_sitemaps=1 << 40, max_urls=4)
-    return found.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    return sitemaps.sitemap_expand(seeds, docs, max_sitemaps=1 << 40, max_urls=4).select("site", "url")
 
 
-register("src_sitemap_docs", lambda s, d: _maps(s, d)[1], f"SELECT sitemap_url, body FROM ({C.sql_select(C.SITEMAPS, 'pages')}) WHERE status = 200")
+register("src_sitemap_docs", lambda s, d: sitemaps.sitemap_docs(_fetched_maps(s, d)), f"SELECT sitemap_url, body FROM ({C.sql_select(C.SITEMAPS, 'pages')}) WHERE status = 200")
 register("join_sitemap_children", _walk(1 << 40), _MAP_SQL + "SELECT site, sitemap_url FROM walk")
 register("sitemap_expand", _sitemap_pages, _MAP_SQL + "SELECT site, url FROM found")
 register("flt_sitemap_urls", _sitemap_pages, _MAP_SQL + "SELECT site, url FROM found")
-register("limit_sitemap_urls", _sitemap_limit, _MAP_SQL + "SELECT site, least(count(*), 4) AS n FROM found GROUP BY site")
+# The walk with positions; its levels are bounded, as cycles have walks of any length.
+_MAP_ORDER = _MAP_SQL.replace("locs AS (SELECT sitemap_url, is_index, replace(unnest(", """places AS (
+  SELECT sitemap_url, is_index, l[i] AS loc, CAST(i - 1 AS BIGINT) AS pos FROM (
+    SELECT sitemap_url, is_index, l, unnest(range(1, len(l) + 1)) AS i FROM (
+      SELECT sitemap_url, is_index, list_transform(regexp_extract_all(body, '<loc> ([^<]*)</loc>', 1), lambda x: replace(x, '&amp;', '&')) AS l FROM docs))),
+locs AS (SELECT sitemap_url, is_index, replace(unnest(""", 1).rstrip() + f""",
+steps AS (
+  SELECT site, sitemap_url, 0 AS level, [CAST(pos AS BIGINT)] AS path FROM seeds
+  UNION ALL SELECT s.site, p.loc, s.level + 1, list_append(s.path, p.pos) FROM steps s JOIN places p ON p.sitemap_url = s.sitemap_url AND p.is_index WHERE s.level < 9),
+firsts AS (SELECT site, sitemap_url, level, path FROM steps QUALIFY row_number() OVER (PARTITION BY site, sitemap_url ORDER BY level, path) = 1),
+entries AS (
+  SELECT f.site, {Q.norm('p.loc')} AS url, f.level, list_append(f.path, p.pos) AS path
+  FROM firsts f JOIN places p ON p.sitemap_url = f.sitemap_url AND NOT p.is_index WHERE regexp_matches(p.loc, '^https?://') AND {Q.root_host('p.loc')} = f.site),
+ranked AS (
+  SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY level, path) AS rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY level, path) AS pick FROM entries) WHERE pick = 1)
+"""
+register("limit_sitemap_urls", _sitemap_limit, _MAP_ORDER + "SELECT site, url FROM ranked WHERE rn <= 4")
 register("limit_sitemaps", _walk(3), _MAP_SQL + """
 SELECT site, sitemap_url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY CAST(regexp_extract(sitemap_url, '([0-9]+)[.]xml$', 1) AS BIGINT)) AS rn FROM walk) WHERE rn <= 3""")
 
 # ---------------------------------------------------------------- crawl
 _CRAWL_LINKS = f"""
-hops AS (SELECT facts.url AS page_url, links.url AS target FROM links JOIN facts USING (crawl_seq) WHERE is_internal AND is_web),
+hops AS (SELECT facts.url AS page_url, links.url AS target, pos FROM links JOIN facts USING (crawl_seq) WHERE is_internal AND is_web),
 seeds AS (SELECT DISTINCT {C.page_url(C.ROOT)} AS url FROM pages),
 """
 _SKIP = "regexp_matches(regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(?i)[.]pdf$')"
@@ -572,10 +618,17 @@ def _crawl(spark, sf_dir, **options):
 
 register("crawl_expand", lambda s, d: _crawl(s, d, max_depth=5).select("site", "url", "depth"),
          _crawl_sql(5, "SELECT site, url, depth FROM found"))
-register("limit_depth", lambda s, d: _crawl(s, d, max_depth=2).groupBy("site", "depth").agg(F.count(F.lit(1)).alias("n")),
-         _crawl_sql(2, "SELECT site, depth, count(*) AS n FROM found GROUP BY ALL"))
-register("limit_max_pages", lambda s, d: _crawl(s, d, max_pages=7, max_depth=3).groupBy("site").agg(F.count(F.lit(1)).alias("n")),
-         _crawl_sql(3, "SELECT site, least(count(*), 7) AS n FROM found GROUP BY site"))
+register("limit_depth", lambda s, d: _crawl(s, d, max_depth=2).select("site", "url", "depth"), _crawl_sql(2, "SELECT site, url, depth FROM found"))
+_KEPT = f"""
+walks AS (
+  SELECT {Q.root_host('url')} AS site, url, 0 AS depth, [0] AS path FROM seeds
+  UNION ALL SELECT w.site, h.target, w.depth + 1, list_append(w.path, h.pos) FROM walks w JOIN hops h ON h.page_url = w.url
+  WHERE w.depth < 3 AND NOT {_SKIP.format(u='h.target')} AND {Q.root_host('h.target')} = w.site),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, path) AS rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY depth, path) AS pick FROM walks) WHERE pick = 1),"""
+register("limit_max_pages", lambda s, d: _crawl(s, d, max_pages=7, max_depth=3).select("site", "url", "depth"),
+         Q.query("SELECT site, url, depth FROM kept WHERE rn <= 7", Q.CTES + Q.LINKS + _CRAWL_LINKS + _KEPT))
 
 
 _RUN_COLUMNS = ["url", "status_code", "title", "h1_count", "word_count", "images_total", "indexability_reason"]
@@ -607,7 +660,7 @@ _HOP = Q.CTES + Q.LINKS + _CRAWL_LINKS
 
 def _frontier_pages(spark, sf_dir):
     frontier = C.derived(spark, sf_dir, C.CRAWL_SEEDS, distinct=True).select("url")
-    return _hops(spark, sf_dir).join(frontier, "url").select("url", "target").distinct()
+    return store_edges(_hops(spark, sf_dir), "url", "links").follow(frontier).select("url", "target").distinct()
 
 
 register("join_frontier_pages", _frontier_pages,
@@ -615,8 +668,10 @@ register("join_frontier_pages", _frontier_pages,
 
 
 def _unvisited(spark, sf_dir):
-    visited = C.derived(spark, sf_dir, [("target", C.page_url(C.K))])
-    return _hops(spark, sf_dir).select("target").distinct().join(visited, "target", "left_anti")
+    one_crawl = lambda df: df.withColumns({"site": F.lit("s"), "host": F.lit("h")})
+    visited = C.derived(spark, sf_dir, [("url", C.page_url(C.K))])
+    candidates = _hops(spark, sf_dir).select(F.col("target").alias("url")).distinct()
+    return crawl.unvisited(one_crawl(candidates), one_crawl(visited)).select(F.col("url").alias("target"))
 
 
 for _key in ("join_visited_anti", "set_frontier_minus_visited"):
@@ -656,24 +711,94 @@ register("win_pacing_audit", _pacing, _EV + """, g AS (
     greatest(CAST(60 AS DOUBLE), CASE WHEN host = 'h1.example' THEN CAST(0 AS DOUBLE) ELSE length(host) * CAST(30 AS DOUBLE) END) AS min_gap_seconds FROM ev)
 SELECT event_id, host, gap_us, min_gap_seconds, coalesce(gap_us / CAST(1000000 AS DOUBLE) < min_gap_seconds * CAST(0.85 AS DOUBLE), false) AS too_soon FROM g""")
 
+# ---------------------------------------------------------------- whole reports: every declared field
+_REPORT_FLAT = {
+    **_FLAT, "redirect_chain": _FLAT["redirect_codes"], "issues": lambda: F.array_join(F.array_sort("issues"), " # "),
+    **{c: lambda c=c: F.array_join(F.transform(c, lambda l: F.concat(l.url, F.lit(" "), l.status)), "|") for c in ("broken_links", "redirecting_links")},
+}
+_REPORT_EXPR = {
+    **_FLAT_EXPR, "redirect_chain": "redirect_codes", "text_html_ratio": _ORACLE_COLUMN["text_html_ratio"],
+    "broken_links": "coalesce(broken_links, '')", "redirecting_links": "coalesce(redirecting_links, '')", "issues": "coalesce(ic.m, '')",
+}
+_REPORT_FROM = """ FROM fl LEFT JOIN page_faults USING (crawl_seq)
+LEFT JOIN (SELECT crawl_seq, array_to_string(list_sort(list_distinct(list(type))), '|') AS t FROM ldo GROUP BY 1) t USING (crawl_seq)
+LEFT JOIN (SELECT crawl_seq, string_agg(message, ' # ' ORDER BY message) AS m FROM issues GROUP BY 1) ic USING (crawl_seq)
+LEFT JOIN canonical_status cs USING (crawl_seq)"""
+_REPORT_SELECT = ", ".join(f"{_REPORT_EXPR.get(c, 'fl.' + c)} AS {c}" for c in REPORT_TYPES) + _REPORT_FROM
+
+
+def _flat_report(report: DataFrame, *more: str) -> DataFrame:
+    return report.select(*more, *[(_REPORT_FLAT[c]() if c in _REPORT_FLAT else F.col(c)).alias(c) for c in REPORT_TYPES])
+
+
+def _full_run(spark, sf_dir):
+    """A run from a start URL, a URL list and a sitemap, under robots.txt, with links checked against the log."""
+    log = C.enriched_log(spark, sf_dir).withColumns({"fetched_at": F.timestamp_seconds(F.col("crawl_seq")), "attempt": F.lit(1)}).drop("crawl_seq")
+    start, sitemap = C.derived(spark, sf_dir, [("url", C.page_url(C.ROOT)), ("map", C.sitemap_url(C.ROOT))]).agg(F.min(F.struct("url", "map"))).first()[0]
+    lines = C.derived(spark, sf_dir, [("pos", C.K), ("line", C.page_url(C.K))]).filter("pos % 41 = 7")
+    rules = spark.createDataFrame([(start.split("/")[2], 200, "User-agent: *\nDisallow: /p/1\nDisallow: /q")], "host string, status int, text string")
+    run = audit_run(log, start_url=start, url_lines=lines, from_sitemap=sitemap, sitemap_docs=_fetched_maps(spark, sf_dir), robots_txt=rules,
+                    link_status="log", max_depth=2)
+    return _flat_report(run, "crawl_seq")
+
+
+_SITE = f"(SELECT {Q.root_host('min(url)')} FROM seeds)"
+_ALLOWED = (f"NOT {_SKIP} AND NOT regexp_matches(regexp_extract({{u}}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/(p/1|q)') AND {{root}} = {_SITE}")
+_allowed = lambda u: _ALLOWED.format(u=u, root=Q.root_host(u))
+_SOURCES = f"""
+all_src AS (SELECT * FROM src),
+sources AS (
+  SELECT min(url) AS url, 0 AS source, 0 AS place FROM seeds
+  UNION ALL SELECT {C.page_url(C.K)}, 1, page_id FROM pages WHERE page_id % 41 = 7
+  UNION ALL SELECT url, 2, rn FROM ranked WHERE site = {_SITE}),
+first_sources AS (SELECT * FROM sources QUALIFY row_number() OVER (PARTITION BY url ORDER BY source, place) = 1),
+run_walks AS (
+  SELECT url, 0 AS depth, [row_number() OVER (ORDER BY source, place)] AS path FROM first_sources WHERE {_allowed('url')}
+  UNION ALL SELECT h.target, w.depth + 1, list_append(w.path, h.pos) FROM run_walks w JOIN hops h ON h.page_url = w.url
+  WHERE w.depth < 2 AND {_allowed('h.target')}),
+reached AS (
+  SELECT url, row_number() OVER (ORDER BY depth, path) - 1 AS seq
+  FROM (SELECT * FROM run_walks QUALIFY row_number() OVER (PARTITION BY url ORDER BY depth, path) = 1))"""
+_VISITED = f"""
+src AS (
+  SELECT * REPLACE (seq AS crawl_seq) FROM (SELECT s.*, r.seq FROM all_src s JOIN reached r ON r.url = s.url)
+  UNION ALL BY NAME SELECT seq AS crawl_seq, url, seq, 'not collected' AS error, '' AS html, '' AS final_url FROM reached WHERE url NOT IN (SELECT url FROM all_src)),
+"""
+_LOG_STATUS = f"""link_status AS (
+  SELECT {Q.norm('url')} AS url, CASE WHEN error IS NOT NULL THEN -1 ELSE status_code END AS status, error IS NULL AND redirect_codes <> '' AS redirected FROM all_src),
+faulty AS ("""
+
+
+def _after(text: str, mark: str) -> str:
+    return text[text.index(mark) + len(mark):]
+
+
+_RUN_CTES = (_VISITED + _after(Q.ALL, "FROM pages),\n")).replace(
+    Q.ALL[Q.ALL.index("link_status AS ("):Q.ALL.index("faulty AS (") + len("faulty AS (")], _LOG_STATUS)
+_MAP_CTES = _after(_MAP_ORDER, "WITH RECURSIVE ").replace("raw AS", "map_raw AS").replace("FROM raw", "FROM map_raw").replace("seeds", "map_seeds").replace(
+    "found AS", "map_found AS").replace("links", "map_links")
+register("audit_run_full", _full_run,
+         Q.query(f"SELECT * FROM (WITH {_RUN_CTES.strip().rstrip(',')} SELECT fl.crawl_seq, {_REPORT_SELECT})", Q.CTES + Q.LINKS + _CRAWL_LINKS + _MAP_CTES.rstrip() + "," + _SOURCES))
+
+
 # ---------------------------------------------------------------- sinks: write, then read back
-def _sink(write, read):
-    def run(spark, sf_dir):
-        path = new_path(spark, "sink")
-        write(audited(spark, sf_dir), path)
-        return read(spark, path)
+def _sink_json(spark, sf_dir):
+    path = new_path(spark, "sink")
+    sinks.write_json(audited(spark, sf_dir), path)
+    return _flat_report(spark.read.schema(", ".join(f"{n} {t}" for n, t in REPORT_TYPES.items())).json(path))
 
-    return run
+
+def _sink_csv(spark, sf_dir):
+    path, report = new_path(spark, "sink"), audited(spark, sf_dir)
+    sinks.write_csv(report, path)
+    schema = sinks.flat_summary(report).schema
+    back = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    texts = [c for c, kind in back.dtypes if kind == "string"]  # an empty text comes back as null
+    return back.fillna("", texts).drop("text_html_ratio")
 
 
-register("sink_json", _sink(sinks.write_json, lambda s, p: s.read.schema(", ".join(f"{n} {t}" for n, t in REPORT_TYPES.items())).json(p)
-                            .select("url", "title", F.size("issues").alias("n_issues"), F.size("hreflang").alias("n_hreflang"))),
-         Q.query("SELECT fl.url, title, CAST(coalesce(n, 0) AS INTEGER) AS n_issues, CAST(len(langs) AS INTEGER) AS n_hreflang FROM fl LEFT JOIN "
-                 "(SELECT crawl_seq, count(*) AS n FROM issues GROUP BY 1) USING (crawl_seq)"))
-register("sink_csv", _sink(sinks.write_csv, lambda s, p: s.read.option("header", True).option("escape", '"').csv(p)
-                           .select("url", F.coalesce("title", F.lit("")).alias("title"), F.col("issue_count").cast("int").alias("issue_count"), "heading_order_ok")),
-         Q.query("SELECT fl.url, title, CAST(coalesce(n, 0) AS INTEGER) AS issue_count, CAST(len(order_issues) = 0 AS VARCHAR) AS heading_order_ok FROM fl LEFT JOIN "
-                 "(SELECT crawl_seq, count(*) AS n FROM issues GROUP BY 1) USING (crawl_seq)"))
+register("sink_json", _sink_json, Q.query(f"SELECT {_REPORT_SELECT}"))
+register("sink_csv", _sink_csv, _PAGE_SQL)
 
 # ---------------------------------------------------------------- streams
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -713,8 +838,33 @@ def _stream_tally(spark, sf_dir):
     return tallied.select(F.unix_seconds("window_start").alias("window_start"), "issue", "n")
 
 
-register("stream_issue_tally", _stream_tally, Q.query(f"""
+_TALLY_SQL = Q.query(f"""
 SELECT window_start, issue, n FROM (
   SELECT CAST(floor((1704067200 + crawl_seq * 60) / 3600) * 3600 AS BIGINT) AS window_start, {_KEY} AS issue, count(*) AS n
   FROM page_issues GROUP BY ALL)""",
-    Q.CTES + Q.LINKS + Q.JSONLD + Q.PAGE_ISSUES))
+    Q.CTES + Q.LINKS + Q.JSONLD + Q.PAGE_ISSUES)
+register("stream_issue_tally", _stream_tally, _TALLY_SQL)
+
+
+def _live_tally(spark, sf_dir):
+    """Increments until nothing is pending; the input ends while all windows of its last hour are open."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, out, state = spark.conf.get(provider), new_path(spark, "live"), new_path(spark, "live-state")
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        told = streaming.stream_live_tally(_stream_input(spark, sf_dir), wait_ms=500)
+        query = (told.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+                 .trigger(processingTime="1 second").start())
+        while query.isActive:  # until a batch finds no input and leaves nothing pending
+            done = query.lastProgress
+            if done and not done["numInputRows"] and not any(o["numRowsTotal"] for o in done["stateOperators"]):
+                break
+            query.awaitTermination(1)
+        query.stop()
+    finally:
+        spark.conf.set(provider, before)
+    told = spark.read.schema(told.schema).parquet(out)
+    return told.groupBy("window_start", "issue").agg(F.sum("n").alias("n")).select(F.unix_seconds("window_start").alias("window_start"), "issue", "n")
+
+
+register("stream_live_tally", _live_tally, _TALLY_SQL)

@@ -11,6 +11,7 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
@@ -69,12 +70,15 @@ def scan_scripts(scripts) -> tuple[list[str], list[str], int]:
 
 
 def scan_jsonld(scripts: Column) -> Column:
-    """``struct<types, gaps, invalid>`` of an array of script texts."""
+    """``struct<types, gaps, invalid>`` of an array of script texts; pages without scripts send nothing and are not looked at."""
 
     def scan(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scan_scripts(s) for s in batch], columns=["types", "gaps", "invalid"])
+        found: list[tuple] = [([], [], 0)] * len(batch)
+        for i in np.flatnonzero(batch.notna().to_numpy()):
+            found[i] = scan_scripts(batch.iloc[i])
+        return pd.DataFrame(found, columns=["types", "gaps", "invalid"])
 
-    return F.pandas_udf(scan, JSONLD_TYPE)(scripts)
+    return F.pandas_udf(scan, JSONLD_TYPE)(F.when(F.size(scripts) > 0, scripts))
 
 
 # Executors need not have this package installed.

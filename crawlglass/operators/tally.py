@@ -40,3 +40,14 @@ def top_issues(report: DataFrame, k: int = 12, order: str = "crawl_seq") -> Data
     counted = tally_rows(report) if "message" in report.columns else issue_tally(report, order)
     ranked = counted.orderBy(F.desc("n"), "first_seen").limit(k)
     return ranked.select("issue", "n")
+
+
+def all_tallies(report: DataFrame, order: str = "crawl_seq") -> DataFrame:
+    """``(part, value, n, first_seen)``: statuses, indexable pages and issues, all counted by one partial aggregate."""
+    one = lambda part, value, pos: F.struct(
+        F.lit(part).alias("part"), value.cast("string").alias("value"), F.lit(pos).alias("pos") if isinstance(pos, int) else pos.alias("pos")
+    )
+    pages = F.array(one("status", F.col("status_code"), 0), one("indexable", F.col("indexable"), 0))
+    issues = F.transform("issues", lambda message, i: one("issue", issue_key(message), i))
+    rows = report.select(order, F.explode(F.concat(pages, issues)).alias("r")).select(order, "r.*")
+    return rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("first_seen"))

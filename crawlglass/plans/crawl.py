@@ -47,6 +47,11 @@ def page_links(facts: DataFrame) -> DataFrame:
     )
 
 
+def unvisited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
+    """``(site, host, url, …)`` of pages that their crawl has not admitted yet."""
+    return candidates.join(visited, ["site", "host", "url"], "left_anti")
+
+
 def crawl_expand(
     seeds: DataFrame,
     links: DataFrame,
@@ -80,7 +85,7 @@ def crawl_expand(
     while True:
         frontier = first_per_key(frontier, ["site", "host", "url"], ["path"])
         if visited is not None:
-            frontier = frontier.join(visited, ["site", "host", "url"], "left_anti")
+            frontier = unvisited(frontier, visited)
         if not list_only:
             frontier = eligible(frontier, policy, same_domain)
         frontier = materialize(frontier, "crawl-level")

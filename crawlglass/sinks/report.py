@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from crawlglass.operators.tally import indexable_share, status_histogram, top_issues
+from crawlglass.operators.tally import all_tallies
 from crawlglass.plans.page_audit import as_report
+from crawlglass.storage import materialize
 
 # Columns of the flat summary, in order.
 FLAT_COLUMNS = [
@@ -48,15 +49,23 @@ def write_csv(report: DataFrame, path: str) -> None:
     flat_summary(report).write.option("header", True).option("escape", '"').csv(path)
 
 
-def write_outputs(report: DataFrame, prefix: str) -> None:
-    write_json(report, f"{prefix}.json")
-    write_csv(report, f"{prefix}.csv")
+def write_outputs(report: DataFrame, prefix: str, k: int = 12, order: str = "url") -> dict[str, DataFrame]:
+    """Both files and the tables of :func:`summary`; the report is computed once."""
+    stored = materialize(report, "report")
+    write_json(stored, f"{prefix}.json")
+    write_csv(stored, f"{prefix}.csv")
+    return summary(stored, k, order)
 
 
 def summary(report: DataFrame, k: int = 12, order: str = "crawl_seq") -> dict[str, DataFrame]:
-    """The three small tables of a printed summary."""
+    """The three small tables of a printed summary, from one pass over the report."""
+    counted = materialize(all_tallies(report, order), "summary")
+    of = lambda part: counted.filter(F.col("part") == part)
     return {
-        "indexable": indexable_share(report),
-        "statuses": status_histogram(report),
-        "issues": top_issues(report, k, order),
+        "indexable": of("indexable").agg(
+            F.coalesce(F.sum(F.when(F.col("value") == "true", F.col("n"))), F.lit(0)).cast("bigint").alias("n_indexable"),
+            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_pages"),
+        ),
+        "statuses": of("status").select(F.col("value").cast("int").alias("status_code"), F.col("n").alias("n_pages")).orderBy("status_code"),
+        "issues": of("issue").orderBy(F.desc("n"), "first_seen").limit(k).select(F.col("value").alias("issue"), "n"),
     }
