@@ -9,7 +9,7 @@ from crawlglass.operators.edges import store_edges
 from crawlglass.operators.skew import first_per_key
 from crawlglass.sources.robots import prefix_index, with_robots_decision
 from crawlglass.sources.sitemaps import _cap_per_group
-from crawlglass.storage import materialize
+from crawlglass.storage import materialize, materialize_counted
 
 
 def merge_seeds(*sources: DataFrame) -> DataFrame:
@@ -88,13 +88,11 @@ def crawl_expand(
             frontier = unvisited(frontier, visited)
         if not list_only:
             frontier = eligible(frontier, policy, same_domain)
-        frontier = materialize(frontier, "crawl-level")
-        n = frontier.count()
+        frontier, n = materialize_counted(frontier, "crawl-level")
         if max_pages and n + total > max_pages:
-            frontier = materialize(
+            frontier, n = materialize_counted(
                 _cap_per_group(frontier, ["site", "host"], ["path"], max_pages, visited, "crawl-rank"), "crawl-level"
             )
-            n = frontier.count()
         visited = frontier if visited is None else visited.unionByName(frontier)
         total += n
         if n == 0 or list_only or depth == max_depth:

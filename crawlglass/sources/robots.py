@@ -144,22 +144,19 @@ def prefix_index(policy: DataFrame) -> DataFrame:
     """``(host, lengths, slots)`` of every host with rules: a hash table of its rule paths, and the lengths they have.
 
     A host with n rules has n slots; a path lies in the slot its hash names, so a look-up meets one or two paths.
-    Of rules with one path only the first can decide.
     """
-    sized = policy.select("host", "rules", F.size("rules").alias("n")).filter("n > 0")
-    rules = sized.select("host", "n", F.posexplode("rules").alias("seq", "rule")).select("host", "n", "seq", "rule.*")
-    first = rules.groupBy("host", "n", "path").agg(F.min(F.struct("seq", "allow")).alias("rule"))
-    filled = first.groupBy("host", F.pmod(F.xxhash64("path"), F.col("n")).alias("slot")).agg(
-        F.collect_list(F.struct("rule.seq", "rule.allow", "path")).alias("paths"),
-        F.collect_set(F.length("path")).alias("lengths"),
+    n = F.size("rules")
+    slot_of = lambda path: F.pmod(F.xxhash64(path), n)
+    paths = F.transform("rules", lambda r, i: F.struct(slot_of(r.path).alias("slot"), F.struct(i.alias("seq"), r.allow.alias("allow"), r.path.alias("path")).alias("rule")))
+    empty = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(i.alias("slot"), F.lit(None).cast("struct<seq:int,allow:boolean,path:string>").alias("rule")))
+    # Dealt out by host once: both aggregates find it so.
+    rows = policy.filter(n > 0).repartition("host").select(
+        "host", F.array_distinct(F.transform("rules", lambda r: F.length(r.path))).alias("lengths"), F.inline(F.concat(paths, empty))
     )
-    slots = sized.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    every = slots.join(filled, ["host", "slot"], "left")
-    none = F.array().cast("array<struct<seq:int,allow:boolean,path:string>>")
-    in_order = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("paths", none).alias("paths"))))
-    return every.groupBy("host").agg(
-        F.array_distinct(F.flatten(F.collect_list("lengths"))).alias("lengths"),
-        F.transform(in_order, lambda s: s.paths).alias("slots"),
+    slots = rows.groupBy("host", "slot").agg(F.collect_list("rule").alias("paths"), F.first("lengths").alias("lengths"))
+    return slots.groupBy("host").agg(
+        F.first("lengths").alias("lengths"),
+        F.transform(F.array_sort(F.collect_list(F.struct("slot", "paths"))), lambda s: s.paths).alias("slots"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from crawlglass.functions import html as H, text as T, urls
 from crawlglass.operators.edges import Edges, store_edges
 from crawlglass.operators.skew import first_per_key, with_group_position
-from crawlglass.storage import materialize
+from crawlglass.storage import materialize_counted
 
 # Fixed value: where a sitemap names its URLs.
 LOC_REGEX = r"(?is)<loc>\s*(.*?)\s*</loc>"
@@ -211,13 +211,11 @@ def sitemap_walk(
         frontier = first_per_key(frontier, ["site", "sitemap_url"], ["path"])
         if reached is not None:
             frontier = frontier.join(reached, ["site", "sitemap_url"], "left_anti")
-        frontier = materialize(frontier, "sitemap-level")
-        n = frontier.count()
+        frontier, n = materialize_counted(frontier, "sitemap-level")
         if n and max_sitemaps is not None and n + total > max_sitemaps:
-            frontier = materialize(
+            frontier, n = materialize_counted(
                 _cap_per_group(frontier, ["site"], ["path"], max_sitemaps, reached, "sitemap-rank"), "sitemap-level"
             )
-            n = frontier.count()
         if n == 0 and reached is not None:
             return reached
         reached = frontier if reached is None else reached.unionByName(frontier)

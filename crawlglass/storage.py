@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 _BUCKETED: dict[str, list[str]] = {}
@@ -55,6 +55,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The same, and the number of rows, counted while they are written."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return stored, seen.get.get("rows") or 0
+
+
 def materialize_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Write ``df`` once, dealt out and sorted by ``keys``: joins on them find it in place and move the other side only."""
     spark = df.sparkSession
