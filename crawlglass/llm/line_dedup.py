@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crawlglass.llm.rows import narrow, packed, steps, texts_of
+from crawlglass.llm.rows import narrow, packed, steps, texts_of, with_row_key
 from crawlglass.llm.sharing import ASKED, answers, ask, bucket_count, key48, unpack48
 from crawlglass.llm.words import mix64, word_hashes
 from crawlglass.storage import materialize
@@ -107,9 +107,9 @@ def split(texts: list[str]) -> tuple[Lines, list[str]]:
 
 VARIANTS = (
     "bucket int, keys binary, places binary, a binary, b binary, docs binary, numbers binary, "
-    "doc_id long, line_no int, text string"
+    "line_a long, line_b long, text string"
 )
-MATCHES = "a long, b long, doc_id long, line_no int, near_doc_id long, near_line_no int"
+MATCHES = "a long, b long, near_doc_id long, near_line_no int, near_a long, near_b long"
 
 
 def _earliest_in_step(lines: Lines, ids: np.ndarray, least: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def _matches(batch: pd.DataFrame) -> pd.DataFrame:
     differs = (a[me] != a[it]) | (b[me] != b[it])
     earlier = (doc[it] < doc[me]) | ((doc[it] == doc[me]) & (number[it] < number[me]))
     me, it = me[differs & earlier], it[differs & earlier]
-    return pd.DataFrame({"a": a[me], "b": b[me], "doc_id": doc[me], "line_no": number[me], "near_doc_id": doc[it], "near_line_no": number[it]})
+    return pd.DataFrame({"a": a[me], "b": b[me], "near_doc_id": doc[it], "near_line_no": number[it], "near_a": a[it], "near_b": b[it]})
 
 
 def within_one(x: list[str], y: list[str]) -> bool:
@@ -224,29 +224,30 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 [
                     pa.array([*(int(bucket[c[0]]) for c in cuts), *([-1] * m)], pa.int32()),
                     *(pa.array([*c, *([None] * m)], pa.binary()) for c in blobs),
-                    pa.array([*([None] * n), *ids[lines.text[some]].tolist()], pa.int64()),
-                    pa.array([*([None] * n), *lines.number[some].tolist()], pa.int32()),
+                    pa.array([*([None] * n), *lines.a[some].view(np.int64).tolist()], pa.int64()),
+                    pa.array([*([None] * n), *lines.b[some].view(np.int64).tolist()], pa.int64()),
                     pa.array([*([None] * n), *(written[i] for i in some)], pa.string()),
                 ],
-                names=["bucket", "keys", "places", "a", "b", "docs", "numbers", "doc_id", "line_no", "text"],
+                names=["bucket", "keys", "places", "a", "b", "docs", "numbers", "line_a", "line_b", "text"],
             )
 
     told = answers(docs.mapInArrow(question, ASKED)).withColumnRenamed("id", "doc_id")
     rows = docs.join(told, "doc_id").select("doc_id", "text", "keys").mapInArrow(emit, VARIANTS)
     emitted = materialize(rows, "line-variants")
     matched = emitted.filter("bucket >= 0").groupBy("bucket").applyInPandas(_matches, MATCHES)
-    near = matched.groupBy("a", "b").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("own"), F.min(F.struct("near_doc_id", "near_line_no")).alias("near")
-    ).select("a", "b", "own.*", "near.*")
-    written = emitted.filter("bucket < 0").select("doc_id", "line_no", "text").dropDuplicates(["doc_id", "line_no"])
+    near = matched.groupBy("a", "b").agg(F.min(F.struct("near_doc_id", "near_line_no", "near_a", "near_b")).alias("near")).select(
+        "a", "b", "near.*"
+    )
+    # By the line itself, not by its place: rows that repeat an id have different lines at one place.
+    written = emitted.filter("bucket < 0").select("line_a", "line_b", "text").dropDuplicates(["line_a", "line_b"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             right = [within_one(_words(x), _words(y)) for x, y in zip(batch["text"], batch["near_text"])]
             yield batch.loc[right, ["a", "b", "near_doc_id", "near_line_no"]]
 
-    both = near.join(written, ["doc_id", "line_no"]).join(
-        written.toDF("near_doc_id", "near_line_no", "near_text"), ["near_doc_id", "near_line_no"]
+    both = near.join(written.toDF("a", "b", "text"), ["a", "b"]).join(
+        written.toDF("near_a", "near_b", "near_text"), ["near_a", "near_b"]
     )
     return both.select("a", "b", "near_doc_id", "near_line_no", "text", "near_text").mapInPandas(
         verify, "a long, b long, near_doc_id long, near_line_no int"
@@ -258,14 +259,15 @@ def _hashed(docs: DataFrame) -> DataFrame:
         for step in steps(batches, limit=_STEP):
             lines, _ = split(texts_of(step))
             given = np.asarray(step.column(1).is_valid())[lines.text]
+            text = pa.array(lines.text[given])
             yield pa.RecordBatch.from_arrays(
-                [step.column(0).take(pa.array(lines.text[given])), pa.array(lines.number[given], pa.int32()),
+                [step.column(0).take(text), step.column(2).take(text), pa.array(lines.number[given], pa.int32()),
                  pa.array(lines.n[given], pa.int64()), pa.array(lines.a[given].view(np.int64)),
                  pa.array(lines.b[given].view(np.int64))],
-                names=["doc_id", "line_no", "n_words", "a", "b"],
+                names=["doc_id", "row", "line_no", "n_words", "a", "b"],
             )
 
-    return docs.mapInArrow(lines_of, "doc_id long, line_no int, n_words long, a long, b long")
+    return docs.mapInArrow(lines_of, "doc_id long, row long, line_no int, n_words long, a long, b long")
 
 
 def line_classes(
@@ -283,11 +285,16 @@ def line_classes(
     kept and are no one's match.  Rows that repeat an id have equal places, so their lines do not remove each other.
     No rows give no rows.
     """
-    base = narrow(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    base, _ = with_row_key(narrow(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
+    return _classes(base, min_words).drop("row")
+
+
+def _classes(base: DataFrame, min_words: int) -> DataFrame:
+    """The same, of (doc_id, text, row), with ``row``."""
     lines = materialize(_hashed(base), "lines")
     taking_part = lines.filter("doc_id IS NOT NULL AND n_words > 0")
     first = taking_part.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    near = near_lines(base.filter("doc_id IS NOT NULL"), min_words)
+    near = near_lines(base.filter("doc_id IS NOT NULL").select("doc_id", "text"), min_words)
     known = first.join(near, ["a", "b"], "left").select(
         "a", "b", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         "near_doc_id", "near_line_no",
@@ -295,7 +302,7 @@ def line_classes(
     # Written, so that the join has an exchange on both sides and Spark can split a line that very many documents share.
     joined = taking_part.join(materialize(known, "line-classes"), ["a", "b"])
     own = (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_line_no") == F.col("line_no"))
-    out = ["doc_id", "line_no", "n_words", "first_doc_id", "first_line_no", "near_doc_id", "near_line_no", "kept"]
+    out = ["doc_id", "row", "line_no", "n_words", "first_doc_id", "first_line_no", "near_doc_id", "near_line_no", "kept"]
     rest = lines.filter("doc_id IS NULL OR n_words = 0")
     for column, kind in (("doc_id", "long"), ("line_no", "int")):
         rest = rest.withColumn(f"first_{column}", F.col(column)).withColumn(f"near_{column}", F.lit(None).cast(kind))
@@ -309,9 +316,14 @@ def without_duplicate_lines(docs: DataFrame, *, min_words: int = MIN_WORDS) -> D
 
     A document of which no line with words is left is dropped; others keep all their columns and order of lines.
     """
-    dropped = line_classes(docs, min_words=min_words).filter("NOT kept")
-    gone = dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")).withColumnRenamed("doc_id", "id")
-    rows = packed(docs).join(gone, F.col("row").getField("doc_id").cast("long") == F.col("id"), "left")
+    base, repeated = with_row_key(narrow(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")))
+    dropped = _classes(base, min_words).filter("NOT kept")
+    gone = dropped.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")).toDF("id", "key", "gone")
+    own = F.col("row").getField("doc_id").cast("long")
+    met = F.col("id") == own
+    if repeated:
+        met &= F.col("key") == F.xxhash64(own, F.xxhash64(F.coalesce(F.col("row").getField("text"), F.lit(""))))
+    rows = packed(docs).join(gone, met, "left")
     text = F.col("row").getField("text")
     left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     rows = rows.select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("left"))

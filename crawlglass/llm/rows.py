@@ -28,6 +28,19 @@ def packed(df: DataFrame, into: str = "row") -> DataFrame:
     return df.select(F.struct(*(name(c) for c in df.columns)).alias(into))
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(doc_id, text)`` with ``row``, a key that rows of one id and different texts do not share.
+
+    It is the id where no id has different texts, else a hash of id and text; the second value tells which.  Rows with
+    equal ids and texts are alike in all they get, so they may share a key; hashes of different ids may meet, so who
+    joins on hashes compares the ids as well.
+    """
+    body = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(body).alias("least"), F.max(body).alias("most"))
+    repeated = not texts.filter("least <> most").isEmpty()
+    return docs.withColumn("row", F.xxhash64("doc_id", body) if repeated else F.col("doc_id")), repeated
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches``, cut so that the texts of one step have at most ``limit`` bytes (or are one text)."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from crawlglass.llm.rows import narrow, steps
+from crawlglass.llm.rows import narrow, steps, with_row_key
 from crawlglass.llm.sharing import ASKED, answers, ask, bucket_count, key48, unpack48
 from crawlglass.llm.words import mix64
 
@@ -34,7 +34,8 @@ LENGTH, GRAM = 50, 20
 BUCKET_BYTES = 2_000_000
 _PACKED_STEP = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-PHRASES = "bucket int, triggers binary, docs binary, starts binary, sizes binary, data binary, spans binary"
+# ``rows``: the keys of the rows, null where they are the ids.
+PHRASES = "bucket int, triggers binary, docs binary, rows binary, starts binary, sizes binary, data binary, spans binary"
 
 
 def _triggers(data: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -68,7 +69,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as deflated UTF-8: what is shuffled by document takes half the bytes."""
     for step in steps(batches):
         texts = [compress((t or "").encode("utf-8"), 1) for t in step.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([step.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([step.column(0), pa.array(texts, pa.binary()), step.column(2)], names=["doc_id", "text", "row"])
 
 
 def _suffix_minimum(phrases: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
@@ -104,13 +105,14 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _resolve(batch: pd.DataFrame, length: int) -> pd.DataFrame:
     """Byte ranges of one bucket's askers that a smaller document has."""
-    told = [np.frombuffer(x, "<i8").reshape(-1, 3) for x in batch["spans"] if x is not None]
-    given = _per_doc(*np.concatenate(told).T) if told else None
+    told = [np.frombuffer(x, "<i8").reshape(-1, 4) for x in batch["spans"] if x is not None]
+    given = _per_row(*np.concatenate(told).T) if told else None
     batch = batch[batch["spans"].isna()]
     if not len(batch):
         return given
     col = lambda name, kind: np.frombuffer(b"".join(batch[name]), kind)
     triggers, docs, starts, sizes = col("triggers", "<u8"), col("docs", "<i8"), col("starts", "<i8"), col("sizes", "<i4")
+    rows = docs if batch["rows"].isna().any() else col("rows", "<i8")
     data = b"".join(map(decompress, batch["data"]))
     at = np.cumsum(sizes, dtype=np.int64) - sizes
     number: dict[bytes, int] = {}
@@ -137,24 +139,25 @@ def _resolve(batch: pd.DataFrame, length: int) -> pd.DataFrame:
         found = dict(zip(several.tolist(), _suffix_minimum([phrases[k] for k in several], least[several], length)))
     who, begin, end = [], [], []
     for i, k in enumerate(kinds):
-        doc = docs[i]
-        if least[k] < doc:
-            who.append(doc), begin.append(starts[i]), end.append(starts[i] + len(phrases[k]))
+        if least[k] < docs[i]:
+            who.append(i), begin.append(starts[i]), end.append(starts[i] + len(phrases[k]))
         elif k in found:
-            some = found[k] < doc
+            some = found[k] < docs[i]
             if some.any():
                 a, b = _runs(some)
-                who.extend([doc] * len(a)), begin.extend(starts[i] + a), end.extend(starts[i] + b + length - 1)
-    found_spans = _per_doc(np.array(who, np.int64), np.array(begin, np.int64), np.array(end, np.int64))
+                who.extend([i] * len(a)), begin.extend(starts[i] + a), end.extend(starts[i] + b + length - 1)
+    who = np.array(who, np.int64)
+    found_spans = _per_row(docs[who], rows[who], np.array(begin, np.int64), np.array(end, np.int64))
     return found_spans if given is None else pd.concat([given, found_spans], ignore_index=True)
 
 
-def _per_doc(docs: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(docs, kind="stable")
-    docs, pairs = docs[order], np.stack([begin, end], axis=1)[order].astype("<i8")
-    cuts = np.flatnonzero(np.diff(docs, prepend=~docs[:1])) if len(docs) else np.empty(0, np.int64)
-    blobs = [pairs[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(docs)))]
-    return pd.DataFrame({"doc_id": docs[cuts], "spans": pd.Series(blobs, dtype=object)})
+def _per_row(docs: np.ndarray, rows: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((docs, rows))
+    docs, rows, pairs = docs[order], rows[order], np.stack([begin, end], axis=1)[order].astype("<i8")
+    new = (np.diff(rows, prepend=~rows[:1]) != 0) | (np.diff(docs, prepend=~docs[:1]) != 0)
+    cuts = np.flatnonzero(new) if len(rows) else np.empty(0, np.int64)
+    blobs = [pairs[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(rows)))]
+    return pd.DataFrame({"doc_id": docs[cuts], "row": rows[cuts], "spans": pd.Series(blobs, dtype=object)})
 
 
 def duplicate_spans(
@@ -166,6 +169,7 @@ def duplicate_spans(
     for the cases.
     """
     base = narrow(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    base, repeated = with_row_key(base)
     known = base.filter("doc_id IS NOT NULL")
     buckets = bucket_count(known, "text", BUCKET_BYTES)
 
@@ -176,13 +180,14 @@ def duplicate_spans(
             keys = [
                 np.unique(key48(_triggers(t, length, gram))) if len(t) >= length else np.empty(0, np.uint64) for t in texts
             ]
-            who = np.repeat(ids, [len(k) for k in keys])
-            if not len(who):
+            at = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+            if not len(at):
                 continue
-            keys = np.concatenate(keys)
-            pair = np.lexsort((who, keys))  # an id that is repeated in the step asks once
+            keys, who = np.concatenate(keys), step.column(2).to_numpy(zero_copy_only=False)[at]
+            pair = np.lexsort((who, keys))  # a row that is repeated in the step asks once
             new = np.append(True, (np.diff(keys[pair]) != 0) | (np.diff(who[pair]) != 0))
-            yield ask(keys[pair][new], who[pair][new], buckets)
+            keys, who, at = keys[pair][new], who[pair][new], at[pair][new]
+            yield ask(keys, who, buckets, ids[at].astype(np.uint64) if repeated else None)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches, limit=_PACKED_STEP):
@@ -190,7 +195,8 @@ def duplicate_spans(
             texts = [np.frombuffer(decompress(t), np.uint8) for t in step.column(1).to_pylist()]
             seen: dict[bytes, tuple] = {}
             told: list[tuple] = []
-            for doc, data, shared in sorted(zip(ids, texts, step.column(2).to_pylist()), key=lambda row: row[0]):
+            given = zip(ids.tolist(), texts, step.column(2).to_pylist(), step.column(3).to_pylist())
+            for doc, data, shared, row in sorted(given, key=lambda r: r[0]):
                 if len(data) < length:
                     continue
                 low = _triggers(data, length, gram)
@@ -202,43 +208,48 @@ def duplicate_spans(
                     phrase = whole[a:b]
                     before = seen.setdefault(phrase, (key, doc, []))
                     if before[1] < doc:
-                        told.append((doc, a, b))
+                        told.append((doc, row, a, b))
                     else:
-                        before[2].append(a)
+                        before[2].append((row, a))
             if told:
-                yield _phrase_rows([buckets + told[0][0] % 64], [[None]] * 5, [np.array(told, "<i8").tobytes()])
+                yield _phrase_rows([buckets + told[0][0] % 64], [[None]] * 6, [np.array(told, "<i8").tobytes()])
             if not seen:
                 continue
             # Further places of a phrase follow its first as records of size 0 without bytes.
-            places = [(key, doc, at, b"" if i else phrase) for phrase, (key, doc, found) in seen.items() for i, at in enumerate(found)]
+            places = [
+                (key, doc, at, b"" if i else phrase, row) for phrase, (key, doc, found) in seen.items() for i, (row, at) in enumerate(found)
+            ]
             keys = np.array([p[0] for p in places], np.uint64)
             order = np.argsort(keys % np.uint64(buckets), kind="stable")
             bucket = (keys[order] % np.uint64(buckets)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
                 part = order[a:b].tolist()
                 columns[0].append(keys[part].astype("<u8").tobytes())
                 columns[1].append(np.array([places[i][1] for i in part], "<i8").tobytes())
-                columns[2].append(np.array([places[i][2] for i in part], "<i8").tobytes())
-                columns[3].append(np.array([len(places[i][3]) for i in part], "<i4").tobytes())
-                columns[4].append(compress(b"".join([places[i][3] for i in part]), 1))
+                columns[2].append(np.array([places[i][4] for i in part], "<i8").tobytes() if repeated else None)
+                columns[3].append(np.array([places[i][2] for i in part], "<i8").tobytes())
+                columns[4].append(np.array([len(places[i][3]) for i in part], "<i4").tobytes())
+                columns[5].append(compress(b"".join([places[i][3] for i in part]), 1))
             yield _phrase_rows(bucket[cuts].tolist(), columns, [None] * len(cuts))
 
     # The filter is what the inner join adds anyway: with it both joins deal out the texts by one and the same exchange.
-    texts = known.mapInArrow(_squeezed, "doc_id long, text binary").filter("doc_id IS NOT NULL")
-    shared = answers(known.mapInArrow(question, ASKED)).withColumnRenamed("id", "doc_id")
-    phrases = texts.join(shared, "doc_id").select("doc_id", "text", "keys").mapInArrow(parse, PHRASES)
-    spans = phrases.groupBy("bucket").applyInPandas(lambda batch: _resolve(batch, length), "doc_id long, spans binary")
-    spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    apart = base.filter("doc_id IS NULL").mapInArrow(_squeezed, "doc_id long, text binary")
-    return texts.join(spans, "doc_id", "left").unionAll(apart.withColumn("spans", F.lit(None).cast("array<binary>")))
+    squeezed = "doc_id long, text binary, row long"
+    texts = known.mapInArrow(_squeezed, squeezed).filter("row IS NOT NULL")
+    shared = answers(known.mapInArrow(question, ASKED)).withColumnRenamed("id", "row")
+    phrases = texts.join(shared, "row").select("doc_id", "text", "keys", "row").mapInArrow(parse, PHRASES)
+    spans = phrases.groupBy("bucket").applyInPandas(lambda batch: _resolve(batch, length), "doc_id long, row long, spans binary")
+    key = ["row", "doc_id"] if repeated else ["row"]
+    spans = spans.groupBy(*key).agg(F.collect_list("spans").alias("spans"))
+    apart = base.filter("doc_id IS NULL").mapInArrow(_squeezed, squeezed).withColumn("spans", F.lit(None).cast("array<binary>"))
+    return texts.join(spans, key, "left").select("doc_id", "text", "spans").unionAll(apart.select("doc_id", "text", "spans"))
 
 
 def _phrase_rows(buckets: list[int], columns: list[list], spans: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(buckets, pa.int32()), *(pa.array(c, pa.binary()) for c in columns), pa.array(spans, pa.binary())],
-        names=["bucket", "triggers", "docs", "starts", "sizes", "data", "spans"],
+        names=["bucket", "triggers", "docs", "rows", "starts", "sizes", "data", "spans"],
     )
 
 
