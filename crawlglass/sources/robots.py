@@ -150,12 +150,12 @@ def prefix_index(policy: DataFrame) -> DataFrame:
     paths = F.transform("rules", lambda r, i: F.struct(slot_of(r.path).alias("slot"), F.struct(i.alias("seq"), r.allow.alias("allow"), r.path.alias("path")).alias("rule")))
     empty = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(i.alias("slot"), F.lit(None).cast("struct<seq:int,allow:boolean,path:string>").alias("rule")))
     # Dealt out by host once: both aggregates find it so.
-    rows = policy.filter(n > 0).repartition("host").select(
-        "host", F.array_distinct(F.transform("rules", lambda r: F.length(r.path))).alias("lengths"), F.inline(F.concat(paths, empty))
+    rows = policy.filter(n > 0).repartition("host").select("host", F.inline(F.concat(paths, empty)))
+    slots = rows.groupBy("host", "slot").agg(
+        F.collect_list("rule").alias("paths"), F.collect_set(F.length("rule.path")).alias("lengths")
     )
-    slots = rows.groupBy("host", "slot").agg(F.collect_list("rule").alias("paths"), F.first("lengths").alias("lengths"))
     return slots.groupBy("host").agg(
-        F.first("lengths").alias("lengths"),
+        F.array_distinct(F.flatten(F.collect_list("lengths"))).alias("lengths"),
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "paths"))), lambda s: s.paths).alias("slots"),
     )
 

@@ -248,6 +248,10 @@ def test_sinks_round_trip(spark, tmp_path):
     assert {r.title for r in flat.collect()} == {'Quoted "title", ünïcode', None}
     parts = sinks.summary(report, order="url")
     assert tuple(parts["indexable"].first()) == (1, 2)
+    assert [tuple(r) for r in parts["statuses"].collect()] == [(-1, 1), (200, 1)]
+    assert [tuple(r) for r in parts["issues"].collect()] == [tuple(r) for r in tally.top_issues(report, order="url").collect()]
+    empty = sinks.summary(report.limit(0), order="url")
+    assert tuple(empty["indexable"].first()) == (0, 0) and empty["issues"].count() == 0
 
 
 def _drain(stream, tmp_path, name):
@@ -276,6 +280,42 @@ def test_streams(spark, tmp_path):
     assert by_window and set(by_window.values()) == {3}
 
 
+def test_live_tally_outlives_a_restart_and_counts_late_rows(spark, tmp_path):
+    base, source, out = datetime(2024, 1, 5), str(tmp_path / "in"), str(tmp_path / "out")
+    pages = [page(i, doc(h1=f"h{i}"), at=base + timedelta(minutes=25 * i)) for i in range(8)]
+    late = [page(20 + i, doc(h1=f"l{i}"), at=base - timedelta(days=3)) for i in range(3)]
+    changed = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        def run(wanted) -> None:
+            """Until a batch's progress is as wanted: by its input rows, and the counts that are not told yet."""
+            told = streaming.stream_live_tally(streaming.read_fetch_stream(spark, source), wait_ms=10_000)
+            query = (told.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+                     .trigger(processingTime="1 second").start())
+            until = datetime.now() + timedelta(seconds=150)
+            while datetime.now() < until and not query.awaitTermination(0.2):
+                for done in query.recentProgress:
+                    if wanted(done["numInputRows"], sum(o["numRowsTotal"] for o in done["stateOperators"])):
+                        return query.stop()
+            raise AssertionError("the stream did not get there")
+
+        log(spark, pages).coalesce(1).write.parquet(source)
+        run(lambda rows, pending: rows and pending)  # stopped with counts that are not told
+        log(spark, late).coalesce(1).write.mode("append").parquet(source)
+        run(lambda rows, pending: not rows and not pending)  # nothing is left in the state
+        schema = "window_start timestamp, issue string, n bigint"
+        told = {(r.window_start, r.issue): r[2] for r in spark.read.schema(schema).parquet(out).groupBy("window_start", "issue").agg(F.sum("n")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    issues = page_facts(log(spark, pages + late), keep=["fetched_at"]).select("fetched_at", F.explode("page_issues").alias("i"))
+    key = [F.date_trunc("hour", "fetched_at").alias("w"), tally.issue_key(F.col("i.message")).alias("issue")]
+    assert told == {(r.w, r.issue): r["count"] for r in issues.groupBy(*key).count().collect()}
+
+
 def test_nothing_is_capped_unless_asked(spark):
     from crawlglass.plans.run import audit_run
 
