@@ -291,21 +291,21 @@ def test_live_tally_outlives_a_restart_and_counts_late_rows(spark, tmp_path):
         spark.conf.set(k, v)
     try:
         def run(wanted) -> None:
-            """Until a batch's progress is as wanted: by its input rows, and the counts that are not told yet."""
+            """Until its batches are as wanted: by their input rows, and the counts that are not told yet."""
             told = streaming.stream_live_tally(streaming.read_fetch_stream(spark, source), wait_ms=10_000)
             query = (told.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
                      .trigger(processingTime="1 second").start())
             until = datetime.now() + timedelta(seconds=150)
             while datetime.now() < until and not query.awaitTermination(0.2):
-                for done in query.recentProgress:
-                    if wanted(done["numInputRows"], sum(o["numRowsTotal"] for o in done["stateOperators"])):
-                        return query.stop()
+                done = [(p["numInputRows"], sum(o["numRowsTotal"] for o in p["stateOperators"])) for p in query.recentProgress]
+                if done and wanted(done):
+                    return query.stop()
             raise AssertionError("the stream did not get there")
 
         log(spark, pages).coalesce(1).write.parquet(source)
-        run(lambda rows, pending: rows and pending)  # stopped with counts that are not told
+        run(lambda done: done[-1][0] and done[-1][1])  # stopped with counts that are not told
         log(spark, late).coalesce(1).write.mode("append").parquet(source)
-        run(lambda rows, pending: not rows and not pending)  # nothing is left in the state
+        run(lambda done: any(rows for rows, _ in done) and done[-1] == (0, 0))  # all is read, and nothing left in the state
         schema = "window_start timestamp, issue string, n bigint"
         told = {(r.window_start, r.issue): r[2] for r in spark.read.schema(schema).parquet(out).groupBy("window_start", "issue").agg(F.sum("n")).collect()}
     finally:
