@@ -46,20 +46,25 @@ lines AS (
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)),
 firsts AS (
   SELECT words, min((doc_id, line_no)) AS f, len(words) AS n FROM lines WHERE len(words) > 0 GROUP BY words),
+joined AS (SELECT words, f, n, array_to_string(words, ' ') AS s FROM firsts WHERE n <= 8),
+units AS (
+  SELECT 'word' AS unit, words, f, words AS u, n FROM firsts WHERE n >= 8
+  UNION ALL
+  SELECT 'character', words, f, [substring(s, i, 1) FOR i IN range(1, length(s) + 1)], length(s) FROM joined WHERE length(s) >= 8),
 halves AS (
-  SELECT words, f, n, m, side, CASE side WHEN 0 THEN words[1:m] ELSE words[n - m + 1:n] END AS half
-  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS m FROM firsts WHERE n >= 8),
+  SELECT *, CASE side WHEN 0 THEN u[1:m] ELSE u[n - m + 1:n] END AS half
+  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS m FROM units),
        (VALUES (0), (1)) AS sides(side)),
 pairs AS (
-  SELECT DISTINCT x.words, x.n, x.f, y.words AS other, y.n AS other_n, y.f AS other_f
-  FROM halves x JOIN halves y ON x.side = y.side AND x.m = y.m AND x.half = y.half
+  SELECT DISTINCT x.unit, x.words, x.u, x.n, x.f, y.u AS other, y.n AS other_n, y.f AS other_f
+  FROM halves x JOIN halves y ON x.unit = y.unit AND x.side = y.side AND x.m = y.m AND x.half = y.half
   WHERE y.f < x.f AND abs(x.n - y.n) <= 1),
 near AS (
   SELECT words, min(other_f) AS g FROM pairs
   WHERE len(list_filter(range(1, greatest(n, other_n) + 1),
-          lambda i: CASE WHEN n = other_n THEN list_concat(words[1:i - 1], words[i + 1:n]) = list_concat(other[1:i - 1], other[i + 1:n])
-                    WHEN n > other_n THEN list_concat(words[1:i - 1], words[i + 1:n]) = other
-                    ELSE list_concat(other[1:i - 1], other[i + 1:other_n]) = words END)) > 0
+          lambda i: CASE WHEN n = other_n THEN list_concat(u[1:i - 1], u[i + 1:n]) = list_concat(other[1:i - 1], other[i + 1:n])
+                    WHEN n > other_n THEN list_concat(u[1:i - 1], u[i + 1:n]) = other
+                    ELSE list_concat(other[1:i - 1], other[i + 1:other_n]) = u END)) > 0
   GROUP BY words)
 SELECT l.doc_id, l.line_no, len(l.words) AS n_words,
        coalesce(f.f[1], l.doc_id) AS first_doc_id, coalesce(f.f[2], l.line_no) AS first_line_no,

@@ -247,25 +247,34 @@ def test_passage_quality(spark, docs, none):
     assert passage_quality.score(table, blank).count() == len(got)
 
 
-def brute_lines(texts, least):
+def one_edit(x, y):
+    return x != y and (
+        any(x[:k] + x[k + 1 :] == y for k in range(len(x))) or any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
+        or any(x[:k] + x[k + 1 :] == y[:k] + y[k + 1 :] for k in range(len(x)) if len(x) == len(y)))
+
+
+def near_lines(x, y, least=8):
+    if min(len(x), len(y)) >= least and one_edit(x, y):
+        return True
+    one, other = " ".join(x), " ".join(y)
+    return max(len(x), len(y)) <= least and min(len(one), len(other)) >= least and one_edit(one, other)
+
+
+def brute_lines(texts):
     lines = [(i, k, words(line)) for i, t in sorted(texts.items()) if t is not None for k, line in enumerate(t.split("\n"))]
     first = {}
     for i, k, w in lines:
         first.setdefault(tuple(w), (i, k))
     out = {}
     for i, k, w in lines:
-        near = None
-        if len(w) >= least:
-            others = [at for o, at in first.items() if o != tuple(w) and len(o) >= least and at < first[tuple(w)]
-                      and line_dedup.within_one(list(o), w)]
-            near = min(others, default=None)
+        near = min((at for o, at in first.items() if at < first[tuple(w)] and near_lines(list(o), w)), default=None)
         out[i, k] = (first[tuple(w)] if w else (i, k), near, not w or (first[tuple(w)] == (i, k) and near is None))
     return out
 
 
 def test_lines(docs, none):
     got = line_dedup.line_classes(docs).collect()
-    wanted = brute_lines({r[0]: r[1] for r in rows() if r[0] is not None}, 8)
+    wanted = brute_lines({r[0]: r[1] for r in rows() if r[0] is not None})
     assert {(r.doc_id, r.line_no) for r in got if r.doc_id is not None} == set(wanted)
     assert len(got) == len(wanted) + 3 + 1 + 1  # id 9 twice, id 5 twice, the null id
     for r in got:
@@ -280,9 +289,35 @@ def test_lines(docs, none):
     assert 1 not in texts and 2 not in texts and 16 not in texts  # nothing of their own is left
     assert texts[9] == LINE + "\nmore" and 10 not in texts  # of 10, one line is in 9 and one in 3
     assert texts[4] is None and texts[6] == "   \n\t" and texts[17] == "x\n"
+    assert texts[3] == DE and 14 in texts and 15 not in texts
     assert line_dedup.line_classes(none).count() == 0 and line_dedup.without_duplicate_lines(none).count() == 0
 
 
+def test_short_and_unspaced_lines_are_compared_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_VARIANTS", 50)  # lines of many units are emitted in parts
+    draw = np.random.default_rng(5)
+    seeds = ["foo bar baz", "文字列の比較は文字ごとに行われます", "one two three four five six seven", "one two three four five six seven eight",
+             "short 1", "short line 1", "😀😀 emoji line", "x" * 300, "a b c d e f g h", "tail", "12345678", "1234567", "one  two\tthree four five six seven"]
+    made = []
+    for i in range(120):
+        lines = []
+        for _ in range(3):
+            line = list(draw.choice(seeds))
+            for _ in range(draw.integers(0, 3)):
+                at = int(draw.integers(0, len(line) + 1))
+                line[at : at + int(draw.integers(0, 2))] = [str(draw.choice(["", " ", "x", "語", "😀"]))]
+            lines.append("".join(line))
+        made.append((i, "\n".join(lines)))
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(6)
+    wanted = brute_lines(dict(made))
+    got = {}
+    for r in line_dedup.line_classes(table).collect():
+        near = None if r.near_doc_id is None else (r.near_doc_id, r.near_line_no)
+        got[r.doc_id, r.line_no] = ((r.first_doc_id, r.first_line_no), near, r.kept)
+    assert got == wanted
+    assert sum(near is not None for _, near, _ in wanted.values()) > 50
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, docs, none, size):
     base = [f"t{i}" for i in range(60)]
@@ -359,16 +394,11 @@ def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
     table = spark.createDataFrame([(i, t, "s") for i, t in made], "doc_id long, text string, source string").repartition(4)
     places = [(i, k, words(line)) for i, t in made if t is not None and i is not None for k, line in enumerate(t.split("\n"))]
 
-    def within_one(x, y):
-        return x != y and (
-            any(x[:k] + x[k + 1 :] == y for k in range(len(x))) or any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
-            or any(x[:k] + x[k + 1 :] == y[:k] + y[k + 1 :] for k in range(len(x)) if len(x) == len(y)))
-
     def kept(i, k, line):
         if not line or i is None:
             return True
         first = min((a, b) for a, b, other in places if other == line)
-        near = any((a, b) < first and min(len(line), len(other)) >= line_dedup.MIN_WORDS and within_one(line, other) for a, b, other in places)
+        near = any((a, b) < first and near_lines(line, other) for a, b, other in places)
         return first == (i, k) and not near
 
     want = []
