@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Time is cut into slots; each slot carries one block of documents.  A target weight is a number ``n`` of blocks in a
-round of ``H`` slots (``H`` is the sum of all ``n``).  Block ``j`` of a source with ``n`` blocks a round is released
-at slot ``floor(j * H / n)`` and due by slot ``ceil((j + 1) * H / n)``.  In each slot the released block with the
-earliest deadline runs.  As the weights add up to one, every slot is filled and no deadline is missed, so at every
-moment each source is less than one block away from its exact share, until its blocks run out.
-
-All rounds are alike, so only one round is scheduled: a fold over ``H`` slots whose state is one counter a source.
-``H`` is at most ``resolution`` + the number of sources, whatever the size of the data; the round is the one thing
-that is broadcast.  The resolution follows the number of sources, so that the one block that even
-the smallest source gets takes little from the others.  Documents find their block from running sums that are cut into many ranges of a source, so a hot
-source is never sorted or summed by one task.
+Time is cut into slots; each slot carries one block of documents.  A target weight is a number ``n`` of ``h`` parts (``h``
+is the sum of all ``n``, about ``RESOLUTION``).  Block ``j`` of a source is released at slot ``floor(j * h / n)`` and due
+by slot ``ceil((j + 1) * h / n)``.  In each slot the released block with the earliest deadline runs.  As the weights add
+up to one, every slot is filled and no deadline is missed, so at every moment each source is less than one block away
+from its exact share, until its blocks run out.
+
+The schedule is not run from its beginning.  Which blocks have run before any slot ``t`` follows from the weights alone:
+all that are due by then, and of those that are released but not yet due the most urgent ones, as far as they fit: of the
+blocks released at or after a slot ``u``, at most ``t - u`` can have run.  Going through ``u`` from ``t`` downwards and
+putting the least urgent ones off whenever there are too many tells which they are.  So the schedule is cut into segments
+of ``SEGMENT`` slots, each a row of its own, and only segments in which some document's block may run are made.
+
+Documents find their block from running sums that are cut into many ranges of a source, so a hot source is never sorted
+or summed by one task.
 """
 
 from __future__ import annotations
@@ -19,15 +22,26 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from crawlglass.llm.rows import name, packed
+from crawlglass.llm.rows import packed
 
-RESOLUTION, BLOCK_CHARS, MAX_SOURCES = 256, 20_000, 4_096
-SLOTS_EACH = 12  # parts of a round for each source, if that is more than RESOLUTION
+RESOLUTION, BLOCK_CHARS, MAX_SOURCES = 1 << 28, 20_000, 4_096
+LEAST, LEAST_EACH = 256, 12  # a source has at least one in LEAST parts, or in LEAST_EACH a source if that is more
+SEGMENT = 512
+BROADCAST_BLOCKS = 500_000  # up to so many blocks, their slots (some 40 bytes each) go to all tasks
 PLAN = ["n_chars", "start", "block", "release", "deadline", "slot"]
 
 
-def _weights(sums: DataFrame, targets: Mapping[str | None, float] | None, resolution: int | None) -> DataFrame:
-    """key, n: blocks of a source in each round, at least one; more than ``MAX_SOURCES`` sources are refused."""
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, which are computed once a row even where a lambda function refers to them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def _weights(sums: DataFrame, targets: Mapping[str | None, float] | None, resolution: int) -> DataFrame:
+    """key, n: parts of a source; more than ``MAX_SOURCES`` sources are refused."""
     mass = sums.groupBy("key").agg(F.sum("mass").alias("mass"))
     if targets is None:
         weight = F.sqrt(F.col("mass").cast("double"))
@@ -38,60 +52,72 @@ def _weights(sums: DataFrame, targets: Mapping[str | None, float] | None, resolu
     shares = mass.select("key", weight.alias("weight"))
     total = shares.agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("sources"))
     share = F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(0.0)
-    slots = F.greatest(F.lit(RESOLUTION), F.col("sources") * SLOTS_EACH) if resolution is None else F.lit(resolution)
     refused = F.raise_error(F.concat(F.col("sources").cast("string"), F.lit(f" sources; a mixture has at most {MAX_SOURCES}")))
-    slots = F.when(F.col("sources") > MAX_SOURCES, refused.cast("long")).otherwise(slots)
-    n = F.greatest(F.lit(1), F.floor(share * slots + 0.5)).cast("int")
+    sources = F.when(F.col("sources") > MAX_SOURCES, refused.cast("long")).otherwise(F.col("sources"))
+    least = F.greatest(F.lit(1), _div(F.lit(resolution), F.greatest(F.lit(LEAST), sources * LEAST_EACH)))
+    n = F.greatest(least, F.floor(share * resolution + 0.5)).cast("long")
     # one row on the right
     return shares.join(F.broadcast(total)).select("key", n.alias("n"))
 
 
 def _window(j: Column, n: Column, h: Column) -> tuple[Column, Column]:
-    """Release and deadline of block ``j`` in a round."""
-    return F.floor(j * h / n), F.ceil((j + 1) * h / n)
+    """Release and deadline of block ``j``."""
+    return _div(j * h, n), _div((j + 1) * h + n - 1, n)
 
 
-def round_of(weights: DataFrame) -> DataFrame:
-    """The schedule of one round: key, n, h, j, release, deadline, slot; one row a slot.
+def schedule(weights: DataFrame, segments: DataFrame, slots: int = SEGMENT) -> DataFrame:
+    """key, block, slot of all slots of the given segments (``segment``, a long); segment 0 has the first ``slots``.
 
-    ``weights`` (key, n) has at most ``MAX_SOURCES`` rows.
+    ``weights`` (key, n) has at most ``MAX_SOURCES`` rows and is sent to all tasks as one row.
     """
-    one = weights.agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("sources"), F.sum("n").alias("h")).filter(
-        F.col("h") > 0
-    )
-    state = F.struct(
-        F.transform("sources", lambda s: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("picks")
-    )
+    one = weights.agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("sources"), F.sum("n").alias("h"))
+    h, t0 = F.col("h"), F.col("t0")
+    rows = _once(segments.select((F.col("segment") * slots).alias("t0")).join(F.broadcast(one)),
+                 due=F.transform("sources", lambda s: _div(s["n"] * t0, h)))
+
+    def waiting(s: Column, i: Column) -> Column:
+        release, deadline = _window(F.get("due", i), s["n"], h)
+        return F.struct(deadline.alias("deadline"), i.alias("i"), release.alias("release"))
+
+    rows = _once(rows, open=F.filter(F.transform("sources", waiting), lambda x, i: F.get("sources", i)["n"] * t0 % h != 0))
+    rows = _once(rows, since=F.array_min(F.transform("open", lambda x: x["release"])))
+    add = lambda acc, x: acc + x
+    nothing = F.lit(0).cast("long")
+
+    def fit(kept: Column, u: Column) -> Column:
+        """The most urgent of the open blocks released at ``u`` or later that can have run."""
+        due = F.zip_with("sources", "due", lambda s, d: F.greatest(nothing, d - _div(s["n"] * u + h - 1, h)))
+        new = F.filter("open", lambda x: x["release"] == u)
+        return F.slice(F.array_sort(F.concat(kept, new)), F.lit(1), (t0 - u - F.aggregate(due, nothing, add)).cast("int"))
+
+    back = F.when(F.col("since").isNotNull(), F.sequence(t0 - 1, F.col("since"), F.lit(-1).cast("long")))
+    none = F.filter("open", lambda x: F.lit(False))
+    rows = _once(rows, fitting=F.aggregate(F.coalesce(back, F.array().cast("array<long>")), none, fit))
+    left = (t0 - F.aggregate("due", nothing, add)).cast("int")
+    rows = _once(rows, ran=F.transform(F.slice("fitting", F.lit(1), left), lambda x: x["i"]))
+    rows = _once(rows, done=F.transform("due", lambda d, i: d + F.array_contains("ran", i).cast("long")))
+    state = F.struct(F.col("done").alias("done"), F.array().cast("array<struct<i:int,block:bigint>>").alias("picks"))
 
     def step(acc: Column, t: Column) -> Column:
-        h = F.col("h")
-
         def urgency(s: Column, i: Column) -> Column:
             j = F.get(acc["done"], i)
             release, deadline = _window(j, s["n"], h)
-            ready = (j < s["n"]) & (release <= t)
-            return F.when(ready, F.struct(deadline.alias("deadline"), i.alias("i")))
+            return F.when(release <= t, F.struct(deadline.alias("deadline"), i.alias("i"), j.alias("block")))
 
         def chosen(pick: Column) -> Column:
             return F.struct(
-                F.transform(acc["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d)).alias("done"),
-                F.array_append(acc["picks"], pick).alias("picks"),
+                F.transform(acc["done"], lambda d, i: F.when(i == pick["i"], d + 1).otherwise(d)).alias("done"),
+                F.array_append(acc["picks"], F.struct(pick["i"].alias("i"), pick["block"].alias("block"))).alias("picks"),
             )
 
         # The pick is passed through an array of one, so that it is evaluated once a slot.
-        pick = F.array_min(F.transform("sources", urgency))["i"]
+        pick = F.array_min(F.transform("sources", urgency))
         return F.get(F.transform(F.array(pick), chosen), F.lit(0))
 
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("h") - 1), state, step, lambda acc: acc["picks"])
-    slots = one.select("sources", "h", F.posexplode(picks).alias("slot", "i")).select(
-        F.get("sources", "i").alias("s"), "h", "slot"
-    )
-    j = F.row_number().over(W.partitionBy("s.key").orderBy("slot")) - 1
-    release, deadline = _window(F.col("j"), F.col("n"), F.col("h"))
-    return (
-        slots.select("s.key", "s.n", "h", "slot", j.cast("long").alias("j"))
-        .withColumn("release", release)
-        .withColumn("deadline", deadline)
+    picks = F.aggregate(F.sequence(t0, t0 + (slots - 1)), state, step, lambda acc: acc["picks"])
+    return rows.select("sources", "t0", F.posexplode(picks).alias("at", "pick")).select(
+        F.get("sources", F.col("pick.i"))["key"].alias("key"), F.col("pick.block").alias("block"),
+        (F.col("t0") + F.col("at")).alias("slot"),
     )
 
 
@@ -99,7 +125,7 @@ def mix(
     docs: DataFrame,
     targets: Mapping[str | None, float] | None = None,
     *,
-    resolution: int | None = None,
+    resolution: int = RESOLUTION,
     block_chars: int = BLOCK_CHARS,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -112,13 +138,13 @@ def mix(
     one fills the blocks it covers).  Added columns, which replace input columns of these names: ``n_chars``,
     ``start`` (characters of its source before it), ``block``, ``release``, ``deadline``, ``slot``.
 
-    ``targets`` gives weights by source name; without it a weight is the square root of a source's characters.  A
-    source without a positive target gets the smallest share, one block a round, so no row is ever lost.
+    ``targets`` gives weights by source name; without it a weight is the square root of a source's characters.  Weights
+    are rounded to one in ``resolution`` parts.  So that no row is ever lost, each source has at least one in 256 parts,
+    or in 12 a source if that is more, also without a positive target; all weights are then brought to a sum of one.
 
     Null or empty texts have no characters but keep their row; null sources are a source of their own; rows with a
     null id come first; repeated rows each keep a place; equal deadlines go to the smaller source name.  No rows
-    give no rows.  More than ``MAX_SOURCES`` sources are refused.  Weights are rounded to ``resolution`` parts; without
-    it, to 12 a source and at least 256.
+    give no rows.  More than ``MAX_SOURCES`` sources are refused.
     """
     n_chars = F.coalesce(F.length(F.col("row").getField(text)), F.lit(0)).cast("long")
     own = F.col("row").getField(source)
@@ -129,7 +155,7 @@ def mix(
         F.coalesce(F.md5(F.col("row").getField(doc_id).cast("string").cast("binary")), F.lit("")).alias("hash"),
     )
     # Ranges of a source: as many as hold about the square root of all rows each.
-    count = docs.count()
+    count, chars = rows.agg(F.count(F.lit(1)), F.sum(F.col("n_chars") + 1)).first()
     digits = 1
     while 16 ** (2 * digits) < count:
         digits += 1
@@ -142,18 +168,20 @@ def mix(
     placed = rows.join(starts, ["key", "range"]).withColumn(
         "start", F.col("first") + F.coalesce(F.sum(mass).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     )
-    plan = round_of(_weights(sums, targets, resolution))
-    shares = F.broadcast(plan.select("key", "n", "h").distinct())
-    slots = F.broadcast(plan.select("key", "j", "release", "deadline", "slot"))
-    block = F.floor(F.col("start") / block_chars)
-    turn = F.floor(F.col("block") / F.col("n")) * F.col("h")
-    mixed = (
-        placed.withColumn("block", block)
-        .join(shares, "key")
-        .withColumn("j", F.pmod(F.col("block"), F.col("n")))
-        .join(slots, ["key", "j"])
-        .select("row", "n_chars", "start", "block", *((turn + F.col(c)).alias(c) for c in ("release", "deadline", "slot")))
+    weights = _weights(sums, targets, resolution)
+    shares = weights.join(F.broadcast(weights.agg(F.sum("n").alias("h"))))
+    # All blocks that a source has, whether or not a document starts in each.
+    blocks = sums.groupBy("key").agg(F.sum("mass").alias("mass")).join(F.broadcast(shares), "key").select(
+        "key", "n", "h", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("mass") - 1, F.lit(block_chars)))).alias("block")
     )
+    release, deadline = _window(F.col("block"), F.col("n"), F.col("h"))
+    windows = blocks.select("key", "block", release.alias("release"), deadline.alias("deadline"))
+    first, last = _div(F.col("release"), F.lit(SEGMENT)), _div(F.col("deadline") - 1, F.lit(SEGMENT))
+    segments = windows.select(F.explode(F.sequence(first, last)).alias("segment")).distinct()
+    slots = windows.join(schedule(weights, segments), ["key", "block"])
+    if (chars or 0) // block_chars + MAX_SOURCES <= BROADCAST_BLOCKS:
+        slots = F.broadcast(slots)
+    mixed = placed.withColumn("block", _div(F.col("start"), F.lit(block_chars))).join(slots, ["key", "block"])
     kept = [c for c in docs.columns if c not in PLAN]
     return mixed.select(*(F.col("row").getField(c).alias(c) for c in kept), *PLAN)
 

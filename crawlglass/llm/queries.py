@@ -14,29 +14,26 @@ placed AS (
 weights AS (
   SELECT key, sqrt(CAST(sum(n_chars + 1) AS DOUBLE)) AS weight FROM rows_ GROUP BY key),
 shares AS (
-  SELECT key, greatest(1, CAST(floor(weight / (SELECT sum(weight) FROM weights) * 256 + 0.5) AS BIGINT)) AS n
+  SELECT key, greatest(268435456 // (SELECT greatest(256, 12 * count(*)) FROM weights),
+    CAST(floor(weight / (SELECT sum(weight) FROM weights) * 268435456 + 0.5) AS BIGINT)) AS n
   FROM weights),
-round_ AS (
+all_ AS (
   SELECT list(key ORDER BY key) AS keys, list(n ORDER BY key) AS ns, CAST(sum(n) AS BIGINT) AS h,
          CAST(count(*) AS BIGINT) AS k FROM shares),
+last_ AS (SELECT max(((start // 20000 + 1) * h + n - 1) // n) AS t_end FROM placed JOIN shares USING (key), all_),
 schedule AS (
-  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, [CAST(0 AS BIGINT) FOR x IN keys] AS done FROM round_
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, [CAST(0 AS BIGINT) FOR x IN keys] AS done FROM all_
   UNION ALL
   SELECT t + 1, pick_, [done[i] + CASE WHEN i = pick_ THEN 1 ELSE 0 END FOR i IN range(1, k + 1)]
   FROM (
-    SELECT t, done, k, list_aggregate([CASE WHEN done[i] < ns[i] AND (done[i] * h) // ns[i] <= t + 1
-        THEN -((-(done[i] + 1) * h) // ns[i] - CASE WHEN ((done[i] + 1) * h) % ns[i] = 0 THEN 0 ELSE 1 END) * 100000 + i
-        END FOR i IN range(1, k + 1)], 'min') % 100000 AS pick_
-    FROM schedule, round_ WHERE t + 1 < h)),
+    SELECT t, done, k, list_aggregate([CASE WHEN (done[i] * h) // ns[i] <= t + 1
+        THEN (((done[i] + 1) * h + ns[i] - 1) // ns[i]) * 100000 + i END FOR i IN range(1, k + 1)], 'min') % 100000 AS pick_
+    FROM schedule, all_, last_ WHERE t + 1 < t_end)),
 slots AS (
-  SELECT keys[pick] AS key, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j
-  FROM schedule, round_ WHERE t >= 0)
-SELECT p.doc_id, p.source, p.n_chars, p.start, p.start // 20000 AS block,
-       (p.start // 20000) // s.n * h + (l.j * h) // s.n AS release,
-       (p.start // 20000) // s.n * h + CAST(ceil((l.j + 1) * h / s.n) AS BIGINT) AS deadline,
-       (p.start // 20000) // s.n * h + l.slot AS slot
-FROM placed p JOIN shares s USING (key) CROSS JOIN round_
-JOIN slots l ON l.key = p.key AND l.j = (p.start // 20000) % s.n""",
+  SELECT keys[pick] AS key, t AS slot, done[pick] - 1 AS block FROM schedule, all_ WHERE t >= 0)
+SELECT p.doc_id, p.source, p.n_chars, p.start, l.block, (l.block * h) // s.n AS release,
+       ((l.block + 1) * h + s.n - 1) // s.n AS deadline, l.slot
+FROM placed p JOIN shares s USING (key) CROSS JOIN all_ JOIN slots l ON l.key = p.key AND l.block = p.start // 20000""",
     "op9_deletion_neighbourhood_lines": """
 WITH split AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),

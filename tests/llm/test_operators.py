@@ -129,18 +129,54 @@ def test_mixing_keeps_every_row_within_a_block_of_its_share(spark, docs, none):
     assert mixed.count() == len(rows())
     assert mixing.mix(none).count() == 0
     assert mixing.in_order(docs).columns == docs.columns and mixing.in_order(docs).count() == len(rows())
-    weights = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1), ("e", 1)], "key string, n int")
-    plan = mixing.round_of(weights).orderBy("slot").collect()
-    done, shares = {k: 0 for k in "abcde"}, {"a": 5, "b": 3, "c": 3, "d": 1, "e": 1}
-    assert [r.slot for r in plan] == list(range(13))
-    for t, r in enumerate(plan, 1):
-        assert r.release <= r.slot < r.deadline
-        done[r.key] += 1
-        assert all(abs(done[k] - t * shares[k] / 13) < 1 for k in done)
     given = mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, block_chars=100)
     assert given.count() == len(rows())
 
 
+def earliest_deadline_first(parts, slots):
+    """Source and block of each slot."""
+    h, done, out = sum(parts), [0] * len(parts), []
+    for t in range(slots):
+        ready = [(-(-(done[i] + 1) * h // n), i) for i, n in enumerate(parts) if done[i] * h // n <= t]
+        pick = min(ready)[1]
+        out.append((pick, done[pick]))
+        done[pick] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_segments_of_a_schedule_are_those_of_the_whole(spark, seed):
+    draw = np.random.default_rng(seed)
+    parts = [[5, 3, 3, 1, 1], [1, 1, 1], draw.integers(1, 10**6, 12).tolist(), (10**6 / np.arange(1, 31) ** 2).astype(int).tolist()][seed]
+    weights = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(parts)], "key string, n long")
+    wanted = earliest_deadline_first(parts, 32 * 40)
+    got = mixing.schedule(weights, spark.range(40).toDF("segment"), 32).collect()
+    assert sorted((r.slot, int(r.key[1:]), r.block) for r in got) == [(t, *x) for t, x in enumerate(wanted)]
+    far = mixing.schedule(weights, spark.range(1).select((F.col("id") + 1_000_000).alias("segment")), 32).orderBy("slot").collect()
+    h = sum(parts)
+    for r in far:
+        n = parts[int(r.key[1:])]
+        assert r.block * h // n <= r.slot < -(-(r.block + 1) * h // n)
+
+
+def test_no_source_is_ever_a_block_away_from_its_target(spark):
+    draw = np.random.default_rng(9)
+    targets = np.exp(draw.normal(size=300) * 0.7)
+    sums = spark.createDataFrame([(f"=s{i:03}", 1) for i in range(300)], "key string, mass long")
+    weights = mixing._weights(sums, {f"s{i:03}": float(w) for i, w in enumerate(targets)}, mixing.RESOLUTION)
+    assert min(targets) / sum(targets) > 1 / 3_600  # none is lifted
+    segments = spark.range(200).toDF("segment").repartition(16)
+    got = mixing.schedule(weights, segments, 512).select("key", "slot").toPandas().sort_values("slot")
+    assert len(got) == 102_400 and (got["slot"] == np.arange(102_400)).all()
+    source = got["key"].str[2:].astype(int).to_numpy()
+    parts = {int(r.key[2:]): r.n for r in weights.collect()}
+    h, t, rounding = sum(parts.values()), np.arange(1, 102_401), 0.0
+    for i, share in enumerate(targets / targets.sum()):
+        assert (np.abs(np.cumsum(source == i) * h - t * parts[i]) < h).all()  # exact, in whole numbers
+        rounding = max(rounding, 102_400 * abs(parts[i] / h - share))
+    assert rounding < 0.001  # of a block, over all slots
+
+
 def test_mixing_meets_targets_among_many_sources(spark, monkeypatch):
     data = [(i, "x" * 9, "s0") for i in range(900)] + [(1_000 + i, "x" * 9, f"s{i}") for i in range(1, 300)]
     table = spark.createDataFrame(data, "doc_id long, text string, source string")
