@@ -27,7 +27,7 @@ from crawlglass.llm.rows import packed
 RESOLUTION, BLOCK_CHARS, MAX_SOURCES = 1 << 28, 20_000, 4_096
 LEAST, LEAST_EACH = 256, 12  # a source has at least one in LEAST parts, or in LEAST_EACH a source if that is more
 SEGMENT = 512
-BROADCAST_BLOCKS = 500_000  # up to so many blocks, their slots (some 40 bytes each) go to all tasks
+BROADCAST_BLOCKS = 100_000  # up to so many blocks, their slots (some 300 bytes each) go to all tasks
 PLAN = ["n_chars", "start", "block", "release", "deadline", "slot"]
 
 

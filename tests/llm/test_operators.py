@@ -177,6 +177,15 @@ def test_no_source_is_ever_a_block_away_from_its_target(spark):
     assert rounding < 0.001  # of a block, over all slots
 
 
+def test_mixing_without_broadcast_gives_the_same(docs, monkeypatch):
+    sent = mixing.mix(docs, block_chars=100).select("doc_id", "slot", "start", "release", "deadline").collect()
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", -1)
+    joined = mixing.mix(docs, block_chars=100).select("doc_id", "slot", "start", "release", "deadline").collect()
+    key = lambda r: (r.slot, r.start, r.doc_id or -1)
+    assert sorted(sent, key=key) == sorted(joined, key=key) and len(sent) == len(rows())
+    assert all(r.release <= r.slot < r.deadline for r in sent)
+
+
 def test_mixing_meets_targets_among_many_sources(spark, monkeypatch):
     data = [(i, "x" * 9, "s0") for i in range(900)] + [(1_000 + i, "x" * 9, f"s{i}") for i in range(1, 300)]
     table = spark.createDataFrame(data, "doc_id long, text string, source string")
