@@ -7,10 +7,12 @@ and checked on its own.
 Inside a block three predictions are mixed for every id.  Order 2 names the id that last followed the two ids before,
 order 1 the one that last followed the id before, each with a confidence of 0 to 3; order 0 gives every id its count so
 far (refreshed at fixed places); what no order knows is spread evenly over the vocabulary.  The mixing weights are
-counts of how often each prediction was right in the block, kept for each combination of confidences.  A carry-less
-range coder with 64-bit numbers codes the prediction that is right and then, for order 0 and new ids, the id.
+counts of how often each prediction was right in the block, kept for each combination of confidences and for guesses
+that agree or not; they too take effect at fixed places, as shares of a power of two.  A carry-less range coder with
+64-bit numbers codes the prediction that is right and then, for order 0 and new ids, the id.
 
-All blocks of a segment are coded side by side: one array operation handles one id of every block.
+All blocks of a segment are coded side by side: one array operation handles one id of every block.  What does not
+depend on the id before (hashes, shares and counts, when encoding) is done for many ids of every block at once.
 """
 
 from __future__ import annotations
@@ -29,211 +31,264 @@ from crawlglass.llm.rows import narrow, steps, texts_of
 from crawlglass.llm.tokens import encoder
 from crawlglass.storage import materialize
 
+STEP_BYTES = 8_000_000  # of text encoded together
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
-MAGIC = b"TIDS1\0"
-BLOCK_IDS, LEAST_BLOCK, LANES = 4_096, 256, 1_024
-_REFRESH = (16, 64, 256, 1_024, 2_048)
-_SLOTS = 1 << 12
-_STEP_WEIGHT, _MOST_WEIGHT = 24, 2_048
-_U = np.uint64
-_TOP, _BOTTOM, _LOW_MASK = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
-_16, _48, _52 = _U(16), _U(48), _U(52)
-_ID_MASK, _SURE = (1 << 32) - 1, 32  # of an entry: the id, and above it the confidence
+MAGIC = b"TIDS2\0"
+BLOCK_IDS, LEAST_BLOCK, FEW_LANES, LANES = 4_096, 256, 1_024, 2_048
+MOST_VOCABULARY = 1 << 20
+_PLACE_BITS = BLOCK_IDS.bit_length() - 1  # with the bits of an id at most 32
+_REFRESH = (16, 64, 256, 1_024, 2_048)  # powers of two: shares of order 0 need no division
+_SLOT_BITS, _SHARE_BITS = 11, 12
+_STEP_WEIGHT, _MOST_WEIGHT = 24, 4_096
+_U, _U32 = np.uint64, np.uint32
+_SPREAD, _SPREAD2, _SPREAD3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xBF58476D1CE4E5B9)
+_1, _2, _32, _HASH = _U(1), _U(2), _U(32), _U(64 - _SLOT_BITS)
+_SHARE, _LOW_MASK, _OVER = _U(_SHARE_BITS), _U((1 << 32) - 1), _U(1 << 32)
+# An entry is an id and, in its two lowest bits, the confidence.  The confidence after an id, by entry ^ (id << 2).
+_NEXT = np.array([1, 2, 3, 3, 1], np.int32)
+# Three fields of 16 bits, to compare one number with three at once, and the highest bits of the fields.
+_FIELDS, _HIGHEST = _U(0x0001_0001_0001), _U(0x8000_8000_8000)
+# An id that is spread evenly or counted: 20 bits each for the id and the ids below it, 24 bits for how many it is.
+_ID, _BELOW, _FIELD20, _FIELD24 = _U(44), _U(24), _U((1 << 20) - 1), _U((1 << 24) - 1)
+_EVEN, _ENTRY, _NO_SURE = _U(1 << 44 | 1 << 24), _U(42), _U((1 << 22) - 4)
+_GUESSED = _U((1 << 64) - (1 << 44))
 FILES = "part int, segment int, data binary"
 READ = "part int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long"
-# Weights at first of order 2, order 1, order 0 and a new id, for confidences (order 2, order 1).
-_START = [(6 * sure2, 4 * sure1, 24, 16) for sure2 in range(4) for sure1 in range(4)]
+# Weights at first of order 2, order 1, order 0 and a new id, for confidences and for guesses that differ or agree.
+_START = [(6 * sure2, 4 * sure1 * differ, 24, 16) for sure2 in range(4) for differ in (0, 1) for sure1 in range(4)]
+_CONTEXTS = len(_START)
+
+
+def _borders(n: int) -> list[int]:
+    """The places where weights take effect; those of order 0 are among them."""
+    return [0, *(p for p in (16, 32, *range(64, 512, 64), *range(512, n, 128)) if p < n), n]
 
 
 class Mixer:
     """The statistics of all blocks: the same for the encoder and the decoder."""
 
     def __init__(self, blocks: int):
-        self.lane = np.arange(blocks)
-        self.base, self.base16 = self.lane * _SLOTS, self.lane * 16
-        self.table = [np.zeros(blocks * _SLOTS, np.int64) for _ in range(2)]
-        self.weights = [np.tile(np.array([w[k] for w in _START], np.int64), blocks) for k in range(4)]
-        self.last, self.older = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-        self.seen = self.left = self.count = np.zeros((blocks, 0), np.int64)  # sorted ids so far
-        self.upto = np.zeros((5, blocks), np.uint64)
-
-    def refresh(self, ids: np.ndarray) -> None:
-        """Order 0 from now on: the ids so far (blocks x ids)."""
-        self.seen = np.sort(ids, axis=1)
-        n = ids.shape[1]
-        edge = np.ones((len(ids), 1), bool)
-        new = np.concatenate([edge, self.seen[:, 1:] != self.seen[:, :-1]], axis=1)
-        place = np.arange(n)
-        self.left = np.maximum.accumulate(np.where(new, place, 0), axis=1)
-        last = np.concatenate([new[:, 1:], edge], axis=1)
-        right = np.minimum.accumulate(np.where(last, place, n)[:, ::-1], axis=1)[:, ::-1]
-        self.count = right - self.left + 1
-
-    def predict(self) -> None:
-        one, two = self.last.view(np.uint64), self.older.view(np.uint64)
-        single = one * _U(0x9E3779B97F4A7C15)
-        both = (single ^ (two * _U(0xC2B2AE3D27D4EB4F))) * _U(0xBF58476D1CE4E5B9)
-        self.slot1 = self.base + (single >> _52).view(np.int64)
-        self.slot2 = self.base + (both >> _52).view(np.int64)
-        found1, found2 = self.table[0][self.slot1], self.table[1][self.slot2]
-        self.sure1, self.sure2 = found1 >> _SURE, found2 >> _SURE
-        self.guess1, self.guess2 = found1 & _ID_MASK, found2 & _ID_MASK
-        self.context = self.base16 + self.sure2 * 4 + self.sure1
-        upto = self.upto
-        upto[1] = self.weights[0][self.context]
-        # the same guess counts once
-        upto[2] = upto[1] + (self.weights[1][self.context] * ((found1 ^ found2) & _ID_MASK != 0)).view(np.uint64)
-        upto[3] = upto[2]
-        if self.seen.shape[1]:
-            upto[3] += self.weights[2][self.context].view(np.uint64)
-        upto[4] = upto[3] + self.weights[3][self.context].view(np.uint64)
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
-        for table, slot, guess, sure in (
-            (self.table[0], self.slot1, self.guess1, self.sure1), (self.table[1], self.slot2, self.guess2, self.sure2)
-        ):
-            # an empty entry has no confidence, so the id 0 starts at one like any other
-            table[slot] = ids | (np.minimum(sure * (guess == ids) + 1, 3) << _SURE)
-        for k in range(4):
-            some = self.context[event == k]
-            if len(some):
-                raised = self.weights[k][some] + _STEP_WEIGHT
-                self.weights[k][some] = raised
-                if raised.max() > _MOST_WEIGHT:
-                    many = some[raised > _MOST_WEIGHT]
-                    for w in self.weights:
-                        w[many] = (w[many] + 1) >> 1
-        self.last, self.older = ids, self.last
-
-
-def _shift(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """The blocks whose coder has settled its next 16 bits, or must, lest its span becomes too small."""
-    settled = (low ^ (low + span)) < _TOP
-    small = span < _BOTTOM
-    lanes = np.flatnonzero(settled | small)
-    if len(lanes) and small.any():
-        short = np.flatnonzero(small & ~settled)
-        span[short] = (~low[short] + _U(1)) & _LOW_MASK
-    return lanes
+        self.base = (np.arange(2 * blocks, dtype=np.uint64) << _U(_SLOT_BITS)).reshape(2, blocks)  # order 1, order 2
+        self.table = np.zeros(2 * blocks << _SLOT_BITS, np.int32)
+        self.context0 = np.arange(blocks) * _CONTEXTS
+        self.weights = np.tile(np.array(_START, np.float64).T, blocks)  # events x (contexts of all blocks); whole numbers
+        self.rows = self.weights.shape[1]
+
+    def slots(self, last: np.ndarray, older: np.ndarray) -> np.ndarray:
+        """Places in the table (.., order, block) for the entries before (.., block)."""
+        slots = np.empty((*last.shape[:-1], 2, last.shape[-1]), np.uint64)
+        single, both = slots[..., 0, :], slots[..., 1, :]
+        np.multiply(last, _SPREAD, out=single)
+        np.multiply(older, _SPREAD2, out=both)
+        both ^= single
+        both *= _SPREAD3
+        slots >>= _HASH
+        slots += self.base
+        return slots.view(np.int64)
+
+    def contexts(self, found: np.ndarray) -> np.ndarray:
+        """Columns of the weights (.., block) for entries found (.., order, block)."""
+        sure = found & 3
+        context = np.minimum(found[..., 0, :] ^ found[..., 1, :], 4)
+        context &= 4  # the guesses differ
+        context |= sure[..., 0, :]
+        context |= sure[..., 1, :] << 3
+        return context + self.context0
+
+    def shares(self, order0: bool) -> tuple[np.ndarray, np.ndarray]:
+        """As the weights: where the shares of the predictions begin, and the shares, in parts of 2**_SHARE_BITS."""
+        weights = self.weights if order0 else self.weights * [[1], [1], [0], [1]]
+        scale = ((1 << _SHARE_BITS) - 4) / weights.sum(axis=0)
+        begins, shares = np.zeros(weights.shape, np.uint64), np.empty(weights.shape, np.uint64)
+        for k in range(3):
+            shares[k] = np.ceil(weights[k] * scale)  # none for no weight
+            np.add(begins[k], shares[k], out=begins[k + 1])
+        np.subtract(_U(1 << _SHARE_BITS), begins[3], out=shares[3])
+        return begins, shares
+
+    def learn(self, marks: np.ndarray) -> None:
+        """Count the events (event * rows + column of the weights) of a stretch."""
+        self.weights += _STEP_WEIGHT * np.bincount(marks.ravel(), minlength=4 * self.rows).reshape(4, self.rows)
+        many = np.flatnonzero(self.weights.sum(axis=0) > _MOST_WEIGHT)
+        self.weights[:, many] = np.ceil(self.weights[:, many] / 2)
+
+
+def _bottom(vocabulary: int) -> np.uint64:
+    """The least span: a share of it can be told, and in that each id of the vocabulary or counted by order 0."""
+    return _U(1 << (_SHARE_BITS + max(vocabulary - 1, _REFRESH[-1] - 1).bit_length()))
+
+
+def _settle(low: np.ndarray, span: np.ndarray, bottom: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``low`` and ``span`` after 32 bits are done with where the span has become too small, and where that is."""
+    small = span < bottom
+    # A span across the next multiple of 2**32 is cut there, so that the upper 32 bits are settled.
+    within = np.minimum(span, _OVER - (low & _LOW_MASK)) << _32
+    return np.where(small, low << _32, low), np.where(small, within, span), small
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id (blocks x ids), as (ids x blocks): how many ids before the last refresh are smaller, and equal."""
+    blocks, n = ids.shape
+    smaller, equal = np.zeros((n, blocks), np.uint16), np.zeros((n, blocks), np.uint16)
+    places = [r for r in _REFRESH if r < n]
+    for first in range(0, blocks, 64):
+        some = ids[first : first + 64]
+        row0 = np.arange(len(some))[:, None] * n
+        pairs = np.sort(some << _U32(_PLACE_BITS) | np.arange(n, dtype=np.uint32), axis=1)  # of id and place
+        sorted_ = pairs >> _U32(_PLACE_BITS)
+        new = np.zeros(some.shape, np.int64)
+        new[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
+        rank = np.empty(some.shape, np.int64)
+        rank.ravel()[(pairs & _U32((1 << _PLACE_BITS) - 1)) + row0] = new.cumsum(axis=1) + row0
+        for begin, end in zip(places, [*places[1:], n]):
+            count = np.bincount(rank[:, :begin].ravel(), minlength=some.size).reshape(some.shape)
+            before = count.cumsum(axis=1) - count
+            at = rank[:, begin:end]
+            equal[begin:end, first : first + 64] = count.ravel()[at].T
+            smaller[begin:end, first : first + 64] = before.ravel()[at].T
+    return smaller, equal
 
 
 def _encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """The coded bytes of each row of ``ids`` (blocks x ids)."""
-    ids = ids.astype(np.int64)
     blocks, n = ids.shape
-    mixer = Mixer(blocks)
+    mixer, bottom, evenly = Mixer(blocks), _bottom(vocabulary), _U(vocabulary)
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
-    out, used = np.zeros((blocks, n * 3 + 8), np.uint16), np.zeros(blocks, np.int64)
-    by_step = np.ascontiguousarray(ids.T)
-
-    def emit(lanes: np.ndarray) -> None:
-        low_ = low[lanes]
-        out[lanes, used[lanes]] = low_ >> _48
-        used[lanes] += 1
-        low[lanes] = low_ << _16
-        span[lanes] <<= _16
-
-    borders = [0, *(r for r in _REFRESH if r < n), n]
-    for begin, end in zip(borders, borders[1:]):
-        # Where each id of this stretch stands among the ids so far; new ids are spread evenly.
-        start, part = by_step[begin:end].astype(np.uint64), np.ones((end - begin, blocks), np.uint64)
-        wide, old = np.full((end - begin, blocks), vocabulary, np.uint64), np.zeros((end - begin, blocks), bool)
-        if begin:
-            mixer.refresh(ids[:, :begin])
-            lane = mixer.lane << 32
-            known, asked = (lane[:, None] + mixer.seen).ravel(), (lane + by_step[begin:end])
-            at = np.minimum(np.searchsorted(known, asked.ravel()), len(known) - 1).reshape(asked.shape)
-            old = known[at] == asked
-            start[old], part[old], wide[old] = mixer.left.ravel()[at[old]], mixer.count.ravel()[at[old]], begin
-        event = np.where(old, 2, 3)
-        for t in range(end - begin):
-            mixer.predict()
-            own = by_step[begin + t]
-            hit = event[t]
-            hit[(mixer.guess1 == own) & (mixer.upto[2] > mixer.upto[1])] = 1
-            hit[(mixer.guess2 == own) & (mixer.upto[1] > 0)] = 0
-            named = hit < 2
-            place = hit * blocks + mixer.lane
-            before = mixer.upto.ravel()[place]
-            each = span // mixer.upto[4]
-            low += each * before
-            span = each * (mixer.upto.ravel()[place + blocks] - before)
-            each = span // np.where(named, _U(1), wide[t])
-            low += each * np.where(named, _U(0), start[t])
-            span = each * np.where(named, _U(1), part[t])
-            mixer.update(own, hit)
-            while len(lanes := _shift(low, span)):
-                emit(lanes)
-    for _ in range(4):
-        emit(mixer.lane)
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(blocks)]
+    out, used = np.zeros(blocks * (n + 2), "<u4"), np.arange(blocks) * (n + 2)  # at most one word an id, and two
+    smaller, equal = _counted(ids)
+    table, order0 = mixer.table, 0
+    previous = np.zeros((2, blocks), np.uint64)
+    for begin, end in zip(borders := _borders(n), borders[1:]):
+        order0 = begin if begin in _REFRESH else order0
+        own = ids[:, begin:end].T.astype(np.uint64)
+        by_step = np.concatenate([previous, own << _2])
+        previous, entry = by_step[-2:], by_step[2:].astype(np.int32)
+        slots = mixer.slots(by_step[1:-1], by_step[:-2])
+        found = np.empty(slots.shape, np.int32)
+        for slot, old, new in zip(slots, found, entry):
+            np.take(table, slot, out=old, mode="clip")
+            table[slot] = new + _NEXT.take(old ^ new, mode="clip")
+        # The event of each id: named by order 2, by order 1, counted by order 0, new.
+        off = found ^ entry[:, None]
+        named = (off > 0) & (off < 4)
+        event = np.where(equal[begin:end] > 0, 2, 3)
+        event[named[:, 0]] = 1
+        event[named[:, 1]] = 0
+        mark = mixer.contexts(found) + event * mixer.rows
+        begins, shares = mixer.shares(order0 > 0)
+        before, share = begins.ravel()[mark], shares.ravel()[mark]
+        mixer.learn(mark)
+        is_new, counted = event == 3, event == 2
+        start = np.where(is_new, own, np.where(counted, smaller[begin:end], _U(0)))
+        part = np.where(counted, equal[begin:end], _1)
+        halvings = np.where(counted, _U(max(order0, 1).bit_length() - 1), _U(0))
+        for before_, share_, start_, part_, halvings_, new in zip(before, share, start, part, halvings, is_new):
+            span >>= _SHARE
+            before_ *= span
+            low += before_
+            span *= share_
+            each = np.where(new, span // evenly, span >> halvings_)
+            start_ *= each
+            low += start_
+            span = each * part_
+            out[used] = low >> _32  # stays if it is settled
+            low, span, small = _settle(low, span, bottom)
+            used += small
+    for _ in range(2):
+        out[used] = low >> _32
+        used += 1
+        low <<= _32
+    return [out[i * (n + 2) : end].tobytes() for i, end in enumerate(used)]
 
 
 def _decode(coded: list[bytes], n: int, vocabulary: int) -> np.ndarray:
     """The ids (blocks x ``n``) of blocks coded by :func:`_encode`."""
     blocks = len(coded)
-    mixer = Mixer(blocks)
-    words = [np.frombuffer(c, "<u2") for c in coded]
-    width = max(len(w) for w in words) + 4
-    given = np.zeros((blocks, width), np.uint16)
-    for i, w in enumerate(words):
-        given[i, : len(w)] = w
-    code = np.zeros(blocks, np.uint64)
-    for j in range(4):
-        code = (code << _16) | given[:, j]
-    used = np.full(blocks, 4)
+    mixer, bottom, evenly = Mixer(blocks), _bottom(vocabulary), _U(vocabulary)
+    given = np.zeros((blocks, n + 2), np.uint32)
+    for row, c in zip(given, coded):
+        words = np.frombuffer(c, "<u4")[: n + 2]
+        row[: len(words)] = words
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
-    by_step = np.zeros((n, blocks), np.int64)
-    borders = [0, *(r for r in _REFRESH if r < n), n]
-    wide = np.array([1, 1, 1, vocabulary], np.uint64)
-    for begin, end in zip(borders, borders[1:]):
-        if begin:
-            mixer.refresh(np.ascontiguousarray(by_step[:begin].T))
-            seen, left, count = mixer.seen.ravel(), mixer.left.ravel(), mixer.count.ravel()
-            wide[2] = begin
-        for t in range(begin, end):
-            mixer.predict()
-            upto = mixer.upto
-            each = span // upto[4]
-            value = np.minimum((code - low) // each, upto[4] - _U(1))
-            event = (value >= upto[1]).astype(np.int64)
-            event += value >= upto[2]
-            event += value >= upto[3]
-            place = event * blocks + mixer.lane
-            before = upto.ravel()[place]
-            low += each * before
-            span = each * (upto.ravel()[place + blocks] - before)
-            own = np.where(event == 0, mixer.guess2, mixer.guess1)
-            total = wide[event]
-            span //= total
-            lanes = np.flatnonzero(event >= 2)
-            at = np.minimum((code[lanes] - low[lanes]) // span[lanes], total[lanes] - _U(1))
-            start, ids = at, at.view(np.int64)
-            if begin:
-                old = event[lanes] == 2
-                where = mixer.lane[lanes] * begin + np.where(old, ids, 0)
-                start = np.where(old, left[where].view(np.uint64), at)
-                ids = np.where(old, seen[where], ids)
-                low[lanes] += span[lanes] * start
-                span[lanes] *= np.where(old, count[where], 1).view(np.uint64)
-            else:
-                low[lanes] += span[lanes] * start
-            own[lanes] = ids
-            by_step[t] = own
-            mixer.update(own, event)
-            while len(lanes := _shift(low, span)):
-                low[lanes] <<= _16
-                span[lanes] <<= _16
-                code[lanes] = (code[lanes] << _16) | given[lanes, used[lanes]]
-                used[lanes] = np.minimum(used[lanes] + 1, width - 1)
-    return np.ascontiguousarray(by_step.T).astype(np.uint32)
+    code = given[:, 0] << _32 | given[:, 1]
+    given, used = given.ravel(), np.arange(blocks) * (n + 2) + 2
+    lane = np.arange(blocks)
+    by_step = np.empty((n, blocks), np.int32)  # ids << 2
+    last = older = np.zeros(blocks, np.uint64)
+    table, found, order0 = mixer.table, np.empty((2, blocks), np.int32), 0
+    counts, row0 = np.zeros(1, np.uint64), lane
+    for begin, end in zip(borders := _borders(n), borders[1:]):
+        if begin in _REFRESH:
+            order0 = begin
+            counts, row0 = _packed_counts(by_step[:begin].T), lane * begin
+        halvings = np.array([0, 0, max(order0, 1).bit_length() - 1, 0], np.uint64)
+        begins, shares = mixer.shares(order0 > 0)
+        # Taken from a number with its highest bits set, a field keeps the bit where the number reaches that share.
+        tests = _HIGHEST - (begins[1] | begins[2] << _U(16) | begins[3] << _32)
+        parts = (begins << _32 | shares).ravel()
+        marks = np.empty((end - begin, blocks), np.int64)
+        for entry, mark in zip(by_step[begin:], marks):
+            slot = mixer.slots(last, older)
+            np.take(table, slot, out=found, mode="clip")
+            context = mixer.contexts(found)
+            span >>= _SHARE
+            ahead = code - low
+            share = ahead // span
+            share *= _FIELDS
+            share += tests.take(context)
+            share &= _HIGHEST
+            event = np.bitwise_count(share).astype(np.int64)
+            np.multiply(event, mixer.rows, out=mark)
+            mark += context
+            share = parts.take(mark)
+            before = share >> _32
+            before *= span
+            low += before
+            ahead -= before
+            share &= _LOW_MASK
+            span *= share
+            # Order 0 and new ids: which one.  A named id is the only one, in the whole span.
+            is_new = event == 3
+            each = np.where(is_new, span // evenly, span >> halvings.take(event))
+            ahead //= each
+            which = np.where(is_new, ahead * _EVEN + _1, counts.take(ahead.view(np.int64) + row0, mode="clip"))
+            guess = np.where(event == 1, found[0], found[1]).astype(np.uint64)
+            guess <<= _ENTRY
+            which = np.where(event < 2, guess & _GUESSED | _1, which)
+            low += each * ((which >> _BELOW) & _FIELD20)
+            np.multiply(each, which & _FIELD24, out=span)
+            which >>= _ENTRY
+            which &= _NO_SURE
+            last, older = which, last
+            entry[:] = which
+            table[slot] = entry + _NEXT.take(found ^ entry, mode="clip")
+            low, span, small = _settle(low, span, bottom)
+            code = np.where(small, code << _32 | given.take(used, mode="clip"), code)
+            used += small
+        mixer.learn(marks)
+    return np.ascontiguousarray(by_step.T).view(np.uint32) >> 2
+
+
+def _packed_counts(ids: np.ndarray) -> np.ndarray:
+    """The sorted entries of each row as packed ids, with the numbers of smaller and of equal ones in their row."""
+    seen = np.sort(ids >> 2, axis=1)
+    new = np.ones(seen.shape, bool)
+    new[:, 1:] = seen[:, 1:] != seen[:, :-1]
+    firsts = np.flatnonzero(new)
+    sizes = np.diff(firsts, append=seen.size)
+    packed = seen.ravel()[firsts].astype(np.uint64) << _ID
+    packed |= (firsts % ids.shape[1]).astype(np.uint64) << _BELOW
+    packed |= sizes.astype(np.uint64)
+    return np.repeat(packed, sizes)
 
 
 def write_segment(doc_ids: list[int | None], docs: list[np.ndarray], vocabulary: int) -> bytes:
     """Bytes of a segment with the given documents' ids, in this order."""
+    if vocabulary > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of {vocabulary} ids; at most {MOST_VOCABULARY} can be coded")
     sizes = np.array([len(d) for d in docs], "<i8")
     ids = np.concatenate([np.empty(0, np.uint32), *docs]).astype(np.uint32)
-    n = int(np.clip(-(-len(ids) // LANES), LEAST_BLOCK, BLOCK_IDS))
+    n = int(np.clip(-(-len(ids) // FEW_LANES), LEAST_BLOCK, BLOCK_IDS))  # long blocks learn more
     blocks = -(-len(ids) // n)
     padded = np.zeros(blocks * n, np.uint32)
     padded[: len(ids)] = ids
@@ -305,9 +360,9 @@ def write_ids(
                 names=["part", "segment", "data"],
             )
 
-        for step in steps(batches):
-            for name, text_ in zip(step.column(0).to_pylist(), texts_of(step)):
-                ids = np.append(tool.encode(text_).astype(np.uint32), np.uint32(end_id))
+        for step in steps(batches, limit=STEP_BYTES):
+            for name, own in zip(step.column(0).to_pylist(), tool.encode_all(texts_of(step))):
+                ids = np.append(own.astype(np.uint32), np.uint32(end_id))
                 if held and size + len(ids) > LANES * BLOCK_IDS:
                     yield segment()
                     names, held, size, number = [], [], 0, number + 1

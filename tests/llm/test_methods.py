@@ -8,7 +8,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from crawlglass.llm import id_coder, language_id, line_dedup, minhash, passage_quality, substring_dedup, vp_search, weak_quality
+from crawlglass.llm import (
+    id_coder, language_id, line_dedup, minhash, passage_quality, substring_dedup, tokens, vp_search, weak_quality,
+)
 from crawlglass.llm.packing import best_fit
 from crawlglass.llm.sharing import pack48, key48, unpack48
 from crawlglass.llm.tokens import Encoder
@@ -30,6 +32,51 @@ def test_remembered_words_give_the_tokenizers_ids(name):
         assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("long", [tokens.LONG, 10, 2])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_encoded_together_have_the_ids_of_each_alone(name, long, monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", long)
+    path = public_tokenizers.path(name)
+    own, whole = Encoder(path), Tokenizer.from_file(path)
+    draw = random.Random(4)
+    odd = ["J\u030c J\u030ca", "word.\u0301", "It's NOT'S it's", "a<|b", "x.,Y-z9", "\u2003a b", "a\x1cb", "A.B\nC", "\u1680", "ÀÖ×ØÞß÷ÿ", "É.É,é É\u0301.É Ç1ç×"]
+    made = ["".join(draw.choice("aAbBjJéß ñ'\u030c\u0301  \n\t,.!19Σ-<|\xa0") for _ in range(draw.randint(0, 30))) for _ in range(2_000)]
+    plain = ["".join(draw.choice("aAbBjJzÉéß× ñ'  \n,.!19-") for _ in range(draw.randint(0, 30))) for _ in range(2_000)]
+    for texts in ([], [""], ["", ""], odd, ODD_TEXTS, made, plain, ODD_TEXTS + odd + made + plain):
+        got = own.encode_all(texts)
+        assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_that_differ_in_case_or_marks_are_encoded_once():
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    own.encode_all(["Word word, WORD word. (word)", "wörd,wÖrd Wörd."] * 50)
+    assert sorted(own._known) == ["(", ")", ",", ".", "word", "wörd"]
+
+
+@pytest.mark.filterwarnings("error")
+def test_blocks_of_all_lengths_and_vocabularies_round_trip():
+    draw = np.random.default_rng(5)
+    for n in (1, 2, 15, 16, 17, 33, 64, 65, 255, 257, 1_025, 2_049, id_coder.BLOCK_IDS):
+        for vocabulary in (1, 2, 300, 49_408, 1 << 16, id_coder.MOST_VOCABULARY):
+            ids = np.stack([
+                draw.integers(0, vocabulary, n), np.full(n, vocabulary - 1), np.arange(n) % min(vocabulary, 7), draw.zipf(1.2, n) % vocabulary,
+            ]).astype(np.uint32)
+            coded = id_coder._encode(ids, vocabulary)
+            assert (id_coder._decode(coded, n, vocabulary) == ids).all(), (n, vocabulary)
+    with pytest.raises(ValueError):
+        id_coder.write_segment([1], [np.array([1], np.uint32)], id_coder.MOST_VOCABULARY + 1)
+
+
+def test_shares_fill_the_whole_and_follow_the_weights():
+    mixer = id_coder.Mixer(3)
+    for order0 in (False, True):
+        begins, shares = mixer.shares(order0)
+        assert (begins[3] + shares[3] == 1 << 12).all() and (begins[1:] == begins[:3] + shares[:3]).all() and (shares[3] > 0).all()
+        assert ((shares[2] > 0) == order0).all() and (shares[:2][mixer.weights[:2] > 0] > 0).all()
+    mixer.learn(np.full(200, 2 * mixer.rows + 5))
+    assert mixer.shares(True)[1][2, 5] > 3_900
+
+
 def test_segments_round_trip_and_notice_damage():
     draw = np.random.default_rng(1)
     cases = [[], [[]], [[5]], [[1] * 900], [draw.integers(0, 49_408, 3_000)], [draw.zipf(1.3, 9_000) % 49_408, [], [3, 4, 5] * 300]]
